@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlens.llm import bpe, langid, packing, quality, simhash, toxicity
+from meetlens.llm import bpe, gru_lm, langid, packing, quality, simhash, toxicity
 from meetlens.llm.common import id_remainder, table
 
 RANKS, WORD_TOKENIZER = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
-QUALITY_FOLD, LANGUAGE_FOLD, TOXICITY_FOLD = (3, 1), (3, 1), (5, 0)
+QUALITY_FOLD, LANGUAGE_FOLD, TOXICITY_FOLD, MODEL_FOLD = (3, 1), (3, 1), (5, 0), (7, 2)
 
 
 def held_out(fold: tuple[int, int]):
@@ -23,6 +23,10 @@ def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"), held_out(MODEL_FOLD))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_retrieval_packing, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op9_language_id, op10_toxicity)
+    own = (op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op9_language_id, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
