@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlens.llm import bpe, gru_lm, langid, packing, quality, simhash, toxicity
-from meetlens.llm.common import id_remainder, table
+from meetlens.llm import ann, bpe, chat, chroma, gru_lm, langid, packing, quality, simhash, toxicity
+from meetlens.llm.common import id_remainder, materialise, table
 
 RANKS, WORD_TOKENIZER = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 QUALITY_FOLD, LANGUAGE_FOLD, TOXICITY_FOLD, MODEL_FOLD = (3, 1), (3, 1), (5, 0), (7, 2)
@@ -19,6 +19,11 @@ def held_out(fold: tuple[int, int]):
     return id_remainder(F.col("doc_id"), fold[0]) == fold[1]
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail, whose replies quote two levels, are unquoted and linked again."""
+    return chat.conversations(chat.as_mail(table(spark, sf_dir, "conversations")))
+
+
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -45,6 +50,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model), QUALITY_FOLD)
 
 
+def op7_random_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"), "score")
+
+
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings, so each embedding is played as one; queries are those whose id is divisible by 50."""
+    media = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    prints = materialise(chroma.fingerprints(media, chroma.melody, 4000, "embedding"), "fingerprints")
+    return chroma.align(prints, F.coalesce(F.col("id") % 50 == 0, F.lit(False))).withColumnRenamed("id", "vec_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.label(docs, langid.fit(docs, ~held_out(LANGUAGE_FOLD)))
@@ -58,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op9_language_id, op10_toxicity)
+    own = (op1_quotation_linking, op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op7_random_projection_forest, op8_chroma_fingerprints, op9_language_id, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
