@@ -15,12 +15,13 @@ once, so a task that runs again gives the same rows.
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,66 +29,100 @@ from pyspark.sql import functions as F
 from meetlens.llm.common import columns, materialise, slices
 
 WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 2, 4_000_000, 1 << 15, 12, 1.2, 0.75
-#: Entries that a worker keeps of each of its two word caches.
-CACHE = 250_000
+#: Units that a worker remembers.
+CACHE = 1_000_000
 
 
 class WordEncoder:
-    """Ids of whole texts, by a tokenizer that lower-cases, drops white space and merges inside pre-tokens only.
+    """Ids of whole texts, by a tokenizer that lower-cases, drops white space and merges inside its pre-tokens.
 
-    Such a tokenizer gives a text the ids of its white-space-separated chunks, one after the other, and a chunk those of its
-    pre-tokens; both are kept, so that a repeated word is merged once. The pre-token pattern is read from the tokenizer's
-    file. Texts with a letter whose lower case depends on its neighbours, or not in composed form, take the plain way.
+    Such a tokenizer gives a text the ids of its white-space-separated chunks, one after the other, so each distinct unit is
+    encoded once and remembered, and Arrow and numpy split the texts and lay out the ids. A chunk that is a word of Latin
+    letters, perhaps with one mark of punctuation behind, is two units: the lower-cased word and the mark. New words go
+    through the file's merges many to a line, without the steps that change nothing in a lower-case word, and are told apart
+    by their last token, which bears the end of a word. Any other chunk is a unit that the whole tokenizer encodes.
     """
 
+    LINE, WORD, MARKS = 256, r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+[.,;:!?]?$", ".,;:!?"
+
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+            parts = json.load(f)
+        parts |= {"normalizer": None, "post_processor": None, "added_tokens": []}
+        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(x for x in parts["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")]}
+        self.merges = Tokenizer.from_str(json.dumps(parts))
         vocabulary = self.plain.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.size = len(self.ends)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for line, found in zip(lines, self.plain.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+        self.units: dict[str, bytes] = {}
+
+    def _wholly(self, new: list[str]) -> None:
+        self.units.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(new, self.plain.encode_batch_fast(new, add_special_tokens=False)))
+
+    def _mixed(self, new: list[str]) -> None:
+        """Chunks that are not a word with one mark; an ASCII word before any run of punctuation is two units still."""
+        parts = {}
+        for c in new:
+            word = c.rstrip(punctuation)
+            if len(word) < len(c) and word.isascii() and word.isalpha():
+                parts[c] = word.lower(), c[len(word) :]
+        words, marks = ({x[k] for x in parts.values()} for k in (0, 1))
+        self._words([w for w in words if w not in self.units])
+        self._wholly([c for c in [*marks, *(c for c in new if c not in parts)] if c not in self.units])
+        self.units.update((c, self.units[word] + self.units[mark]) for c, (word, mark) in parts.items())
+
+    def _words(self, new: list[str]) -> None:
+        known, lines = self.units, [new[i : i + self.LINE] for i in range(0, len(new), self.LINE)]
+        for line, found in zip(lines, self.merges.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stops) == len(line):
                 raw, at = ids.tobytes(), 0
                 for word, stop in zip(line, stops):
-                    self.words[word] = raw[4 * at : 4 * stop]
+                    known[word] = raw[at:stop]
                     at = stop
             else:
-                self.words.update((w, np.array(self.plain.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in line)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split, chunks = [], self.chunks
-        if len(chunks) > CACHE:
-            chunks.clear()
-        for text in texts:
-            easy = text.isascii() or "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text)
-            split.append(text.lower().split() if easy and not any(c in text for c in "\x1c\x1d\x1e\x1f") else None)
-        new = {c for x in split if x for c in x if c not in chunks}
-        parts = {c: self.split.findall(c) for c in new}
-        words, seen = self.words, {w for x in parts.values() for w in x}
-        if missing := [w for w in seen if w not in words]:
-            self._learn(missing)
-            if more := [w for w in seen if w not in words]:
-                self._learn(more)
-        chunks.update((c, b"".join([words[w] for w in x])) for c, x in parts.items())
-        return [np.array(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join([chunks[c] for c in x]) for t, x in zip(texts, split)]
+                self._wholly(line)
+
+    def _ids(self, units: list[str], learn) -> list[bytes]:
+        raw = list(map(self.units.get, units))
+        if new := [u for u, x in zip(units, raw) if x is None]:
+            learn(new)
+            raw = [self.units[u] for u in units]
+        return raw
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        if len(self.units) > CACHE:
+            self.units.clear()
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        chunks, at = coded.dictionary, coded.indices.to_numpy()
+        if not len(at):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        easy = pc.match_substring_regex(chunks, self.WORD)
+        is_easy = easy.to_numpy(zero_copy_only=False)
+        simple = chunks.filter(easy)
+        words = pc.utf8_lower(pc.ascii_rtrim(simple, self.MARKS)).dictionary_encode()
+        raw = [b"", *self._ids(list(self.MARKS), self._wholly), *self._ids(words.dictionary.to_pylist(), self._words), *self._ids(chunks.filter(pc.invert(easy)).to_pylist(), self._mixed)]
+        first = 1 + len(self.MARKS)
+        unit = np.zeros((len(chunks), 2), np.int32)
+        unit[is_easy, 0] = words.indices.to_numpy() + first
+        unit[~is_easy, 0] = np.arange(first + len(words.dictionary), len(raw))
+        for k, mark in enumerate(self.MARKS, 1):
+            unit[np.flatnonzero(is_easy)[pc.ends_with(simple, mark).to_numpy(zero_copy_only=False)], 1] = k
+        ids, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
+        own = unit[at].ravel()
+        starts, each = np.cumsum(sizes, dtype=np.int32) - sizes, sizes[own]
+        ends = np.cumsum(each, dtype=np.int32)
+        flat = ids[np.repeat(starts[own] - (ends - each), each) + np.arange(ends[-1], dtype=np.int32)]
+        stops = np.append(0, ends[1::2])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(stops, stops[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -107,9 +142,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
         enc = encoder(tokenizer)
         kind = _kind(max(enc.size, end_id + 1))
         end = np.array([end_id], kind).tobytes()
-        for batch in slices(batches):
-            found = enc.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in found], pa.binary())], ["doc_id", "ids"])
+        for batch in slices(batches, 4096):
+            found = enc.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(kind).tobytes() + end for x in found], pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -123,10 +158,13 @@ def statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, df, docs, total = _kind(size), np.zeros(size, np.int64), 0, 0
+        seen = np.zeros(size, bool)
         for batch in slices(batches):
             for (raw,) in zip(*columns(batch, "ids")):
                 ids = np.frombuffer(raw, kind)
-                df[np.unique(ids)] += 1
+                seen[ids] = True
+                df += seen
+                seen[ids] = False
                 docs, total = docs + 1, total + len(ids)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(df[used], [docs, total]))], ["term", "n"])
