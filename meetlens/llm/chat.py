@@ -14,6 +14,8 @@ returned; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +61,20 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def threads(parents: DataFrame) -> DataFrame:
-    """conv_id, turn, root_conv, root_turn, depth of every message with a parent (conv_id, turn, to_conv, to_turn)."""
-    state = materialise(parents.select("conv_id", "turn", F.col("to_conv").alias("root_conv"), F.col("to_turn").alias("root_turn"), F.lit(1).alias("depth"), F.lit(True).alias("moved")), "threads")
-    while state.where("moved").limit(1).count():
-        up = state.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("depth").alias("more"))
-        joined = state.join(up, ["root_conv", "root_turn"], "left")
-        state = materialise(joined.select("conv_id", "turn", F.coalesce("up_conv", "root_conv").alias("root_conv"), F.coalesce("up_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")), "threads")
-    return state.drop("moved")
+    """conv_id, turn, root_conv, root_turn, depth of every message with a parent (conv_id, turn, to_conv, to_turn).
+
+    Only messages that have not reached their root take part in a round; a round doubles the distance.
+    """
+    names = ["conv_id", "turn", "root_conv", "root_turn", "depth"]
+    moving = materialise(parents.select("conv_id", "turn", F.col("to_conv").alias("root_conv"), F.col("to_turn").alias("root_turn"), F.lit(1).alias("depth")), "threads")
+    done: list[DataFrame] = []
+    while moving.limit(1).count():
+        all_now = reduce(DataFrame.union, done, moving)
+        up = all_now.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("depth").alias("more"))
+        step = materialise(moving.join(up, ["root_conv", "root_turn"], "left"), "threads")
+        done.append(step.where("more IS NULL").select(names))
+        moving = step.where("more IS NOT NULL").select("conv_id", "turn", F.col("up_conv").alias("root_conv"), F.col("up_turn").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"))
+    return reduce(DataFrame.union, done) if done else moving
 
 
 def conversations(messages: DataFrame) -> DataFrame:
