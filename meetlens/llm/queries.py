@@ -21,7 +21,12 @@ def held_out(fold: tuple[int, int]):
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as mail, whose replies quote two levels, are unquoted and linked again."""
-    return chat.conversations(chat.as_mail(table(spark, sf_dir, "conversations")))
+    return chat.conversations(chat.as_mail(table(spark, sf_dir, "conversations"))).drop("n_lines")
+
+
+#: What the operator must find again: each turn replies to the one before, and its own text is the table's.
+OP1_SQL = r"""SELECT conv_id, turn, role, regexp_replace(text, '^\n+|\n+$', '', 'g') AS own_text, least(turn, 2) AS levels,
+CASE WHEN turn > 0 THEN conv_id END AS to_conv, CASE WHEN turn > 0 THEN turn - 1 END AS to_turn, conv_id AS root_conv, 0::BIGINT AS root_turn, turn AS depth FROM conversations"""
 
 
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +91,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quotation_linking": OP1_SQL}
