@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from meetlens.llm.common import materialise
 
-TOP, TREES, DEPTH, SAMPLE, LEAF, BLOCK, SHARE = 20, 6, 6, 16384, 4096, 4096, 1.6
+TOP, TREES, DEPTH, SAMPLE, LEAF, BLOCK, SHARE, LEAST = 20, 6, 6, 16384, 4096, 4096, 1.6, 16
 
 
 @dataclass
@@ -122,9 +122,11 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     equal = Window.partitionBy("v").orderBy("vec_id")
     indexed = materialise(rows.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= top + 1).drop("n"), "indexed")
     stat = indexed.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
+    if not stat.n:
+        return rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    depth = max(DEPTH, math.ceil(math.log2(max(stat.n, 1) / LEAF)))
-    forest = context.broadcast(grow(np.array([r.v for r in sample], float).reshape(len(sample), -1), math.sqrt(stat.m or 0), trees, depth))
+    depth = max(DEPTH, math.ceil(math.log2(stat.n / LEAF)))
+    forest = context.broadcast(grow(np.array([r.v for r in sample]), math.sqrt(stat.m), trees, depth))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +139,13 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     sizes = [count.get(k, 0) for k in range(trees * 2**depth)]
     blocks = [max(1, -(-n // BLOCK)) for n in sizes]
     queries = rows.where(is_query)
-    parts = max(1, math.ceil(queries.count() * share / trees / BLOCK))
+    wanted = max(share * stat.n, trees * min(stat.n, LEAST * (top + 1)))  # few rows are all visited
+    parts = max(1, math.ceil(queries.count() * wanted / stat.n / trees / BLOCK))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = forest.value.visits(_matrix(batch.column("v")), sizes, share * stat.n)
+                found = forest.value.visits(_matrix(batch.column("v")), sizes, wanted)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(list(found), pa.list_(pa.int64()))], ["vec_id", "v", "leaves"])
 
     visits = queries.repartition(max(8, parts), "vec_id").mapInArrow(asked, f"vec_id {kind}, v array<double>, leaves array<long>")
