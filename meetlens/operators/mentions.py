@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Keys = list[str]
@@ -49,6 +49,8 @@ def flagged(articles: DataFrame, alias_table: DataFrame, returns: DataFrame, har
     from meetlens.functions import text as T
 
     found = mentions(articles, "id", "text", alias_table, "athlete", "alias").join(alias_table.select("athlete", "alias", "surname_only"), ["athlete", "alias"])
+    full = Window.partitionBy("id", "athlete")
+    found = found.withColumn("_f", F.min("surname_only").over(full)).where("surname_only = _f").drop("_f")  # a full name outranks its surname
     named = found.groupBy("id").agg(F.collect_set("alias").alias("_names"))
     rows = articles.join(found, "id").join(named, "id").withColumns({"_h": T.whole_word_hits("text", hard), "_s": T.whole_word_hits("text", soft)})
     own = lambda words: F.filter(words, lambda k: T.nearest_name("text", F.col("_names"), k) == F.col("alias"))

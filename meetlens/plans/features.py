@@ -9,7 +9,9 @@ from meetlens.operators import aggregates as A
 from meetlens.operators import ranking as R
 from meetlens.plans.base import PLACED_SQL, TOTALS_SQL, placed, query, runs, totals
 
-DAY = F.lit("1998-01-01").cast("date")
+
+def day(text="1998-01-01"):
+    return F.lit(text).cast("date")
 
 
 @query("SELECT l_suppkey AS athlete, min(l_extendedprice) AS best FROM lineitem GROUP BY 1")
@@ -151,8 +153,8 @@ def recent_trend3(t):
 
 @query(f"""WITH {PLACED_SQL} SELECT s_suppkey AS athlete, coalesce(date_diff('day', max(d), DATE '1998-01-01'), 999) AS days_since_last FROM supplier LEFT JOIN runs ON athlete = s_suppkey AND d < DATE '1998-01-01' GROUP BY 1""")
 def days_since_last(t):
-    before = runs(t).where(F.col("d") < DAY).select("athlete", "d")
-    return R.days_since(t("supplier").select(F.col("s_suppkey").alias("athlete")).join(before, "athlete", "left"), ["athlete"], "d", DAY)
+    before = runs(t).where(F.col("d") < day()).select("athlete", "d")
+    return R.days_since(t("supplier").select(F.col("s_suppkey").alias("athlete")).join(before, "athlete", "left"), ["athlete"], "d", day())
 
 
 @query(f"""WITH {PLACED_SQL}, x AS (SELECT DISTINCT athlete, y, d FROM runs), g AS (SELECT athlete, y, date_diff('day', lag(d) OVER (PARTITION BY athlete, y ORDER BY d), d) AS gap FROM x)
@@ -165,7 +167,7 @@ def gap_variability(t):
 r AS (SELECT *, season_best / recent AS ratio FROM g)
 SELECT tier, athlete, season_best, coalesce(date_diff('day', peak, DATE '1998-01-01'), 999) AS peak_age_days, round(coalesce(ratio, median(ratio) OVER (PARTITION BY tier), 1), 6) AS recent_ratio FROM r""")
 def peak_age_and_recent_ratio(t):
-    out = R.form_ratio(runs(t).where("y = 1997"), ["athlete"], ["tier"], "d", "v", DAY, True)
+    out = R.form_ratio(runs(t).where("y = 1997"), ["athlete"], ["tier"], "d", "v", day(), True)
     return out.withColumn("recent_ratio", F.round("recent_ratio", 6))
 
 
