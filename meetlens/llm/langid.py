@@ -183,12 +183,13 @@ class Reader:
 
 
 def fit(docs: DataFrame, learn_from: Column, rows: int = TRAIN_ROWS, words_of_row: int = 400) -> Model:
-    """Fits on at most `rows` documents with a language (those with the smallest hashes) that meet learn_from.
+    """Fits on at most `rows` documents with a language (those with the smallest hashes of id and language) that meet learn_from.
 
     Of each, at most words_of_row distinct words, the most frequent first, reach the driver.
     """
-    chosen = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from)
-    chosen = chosen.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "lang").limit(rows)
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from).withColumn("_h", F.xxhash64("doc_id", "lang"))
+    least = known.select("_h").distinct().orderBy("_h").limit(rows)  # hashes first, so that no task gathers texts it will not use
+    chosen = known.join(F.broadcast(least), "_h").groupBy("_h", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, learn_from: Column, rows: int = TRAIN_ROWS, words_of_ro
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([[w for w, _ in x] for x in own], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in own], pa.list_(pa.int64()))], ["lang", "words", "counts"])
 
     total: dict[str, Counter] = {}
-    for r in chosen.repartition(8).mapInArrow(run, "lang string, words array<string>, counts array<long>").toLocalIterator():
+    for r in chosen.mapInArrow(run, "lang string, words array<string>, counts array<long>").toLocalIterator():
         total.setdefault(r.lang, Counter()).update(dict(zip(r.words, r.counts)))
     languages = sorted(k for k, v in total.items() if v)
     if not languages:
