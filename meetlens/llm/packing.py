@@ -30,7 +30,7 @@ from meetlens.llm.common import columns, materialise, slices
 
 WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 2, 4_000_000, 1 << 15, 12, 1.2, 0.75
 #: Units that a worker remembers.
-CACHE = 1_000_000
+CACHE = 700_000
 
 
 class WordEncoder:
