@@ -197,6 +197,28 @@ def in_order(value: str | Column, cases: list[tuple[str, object]], otherwise=Non
     return F.lit(otherwise) if out is None else out.otherwise(F.lit(otherwise))
 
 
+# Tiers of competitions by name, in order, and what weighs a mark by its venue.
+TIERS = [
+    (r"(?i)olympic|world (athletics )?championships", "global"),
+    (r"(?i)european (athletics )?championships|continental cup", "continental"),
+    (r"(?i)^diamond league final$", "dl_final"),
+]
+MAJOR_KEYWORDS = ["olympic", "world championship", "world athletics", "european championship"]
+CIRCUIT_CITIES = ["doha", "shanghai", "suzhou", "shaoxing", "rabat", "florence", "paris", "oslo", "lausanne", "stockholm", "silesia", "monaco", "london", "zurich", "brussels", "eugene", "birmingham", "rome", "xiamen"]
+
+
+def competition_tier(name: str | Column) -> Column:
+    """global, continental, dl_final or tour; the first that matches."""
+    return in_order(name, TIERS, "tour")
+
+
+def competition_weight(venue: str | Column) -> Column:
+    """1.3 at a major championship, 1.2 in a city of the circuit, else (and without a venue) 1.0."""
+    v = F.lower(col(venue))
+    has = lambda words: F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(v, w)), F.lit(False))
+    return F.when(has(MAJOR_KEYWORDS), 1.3).when(has(CIRCUIT_CITIES), 1.2).otherwise(1.0)
+
+
 def points_gap_reason(label: str | Column, status: str | Column, gap: str | Column) -> Column:
     """Why standings leave an entrant outside: out of reach, a gap (singular or plural) or level with the cut."""
     g = col(gap)

@@ -222,18 +222,23 @@ def strength(form: str, career: str, consistency: Column) -> Column:
     return F.when(F.col(career).isNull() | (F.col(form) >= F.col(career)), F.col(form)).otherwise(weight * F.col(form) + (1 - weight) * F.col(career))
 
 
-def faded_level(df: DataFrame, final: Keys, now: str, old: list[tuple[str, Column]], last_season: float = 0.5, per_year: float = 0.5, cap: float = 0.5) -> DataFrame:
+#: How much last season's best lifts, what each further year leaves of it, and the share of the gap to the leader it may close.
+FADE_LAST_SEASON, FADE_PER_YEAR, FADE_CAP = 0.35, 0.3, 0.75
+
+
+def faded_level(df: DataFrame, final: Keys, now: str, old: list[tuple[str, Column]], last_season: float = FADE_LAST_SEASON, per_year: float = FADE_PER_YEAR, cap: float = FADE_CAP) -> DataFrame:
     """Season level plus the largest faded lift of older bests, at most `cap` of the gap to the field's best season level.
 
-    old: (column of a best, how many seasons ago). The cap is on season levels, so an old mark never passes the leader.
+    old: (column of a best, how many seasons ago). lift_from is the column that lifts. The cap is on season levels, so an
+    old mark never passes the leader.
     """
-    lifts = [F.coalesce((F.col(c) - F.col(now)) * F.lit(last_season) * F.pow(F.lit(per_year), ago - 1), F.lit(0.0)) for c, ago in old]
-    room = (F.max(now).over(Window.partitionBy(*final)) - F.col(now)) * cap
-    lift = F.greatest(F.lit(0.0), *lifts) if len(lifts) > 1 else F.greatest(F.lit(0.0), lifts[0])
-    return df.withColumns({"lift": F.least(lift, room), "level": F.col(now) + F.least(lift, room)})
+    w = Window.partitionBy(*final)
+    lifts = F.array(*(F.struct(F.greatest(F.lit(0.0), F.coalesce((F.col(c) - F.col(now)) * last_season * F.pow(F.lit(per_year), ago - 1), F.lit(0.0))).alias("lift"), F.lit(-i).alias("order"), F.lit(c).alias("name")) for i, (c, ago) in enumerate(old)))
+    room = F.greatest(F.lit(0.0), F.max(now).over(w) - F.col(now)) * cap
+    out = df.withColumn("_l", F.array_max(lifts)).withColumn("lift", F.least(F.col("_l.lift"), room))
+    return out.withColumns({"level": F.col(now) + F.col("lift"), "lift_from": F.when(F.col("lift") > 0, F.col("_l.name"))}).drop("_l")
 
 
-def old_mark_reason(now: str, old: list[tuple[str, str]], lift: str) -> Column:
-    """Which older best counted, if any."""
-    gains = F.array(*(F.struct((F.col(c) - F.col(now)).alias("gain"), F.lit(name).alias("name")) for c, name in old))
-    return F.when(F.col(lift) > 0, F.array_max(gains)["name"])
+def old_mark_reason(now: str, lift: str = "lift", source: str = "lift_from") -> Column:
+    """Which older best counted and what it closed, as text; null if none."""
+    return F.when(F.col(lift) > 0, F.format_string("%s: +%.1f on %.1f", F.col(source), F.col(lift), F.col(now)))

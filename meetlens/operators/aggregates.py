@@ -116,7 +116,7 @@ def coverage(df: DataFrame, keys: Keys, group: str, scored: Column, podium: Colu
     return out.withColumn("gate_met", F.col("share_scored") >= gate)
 
 
-def race_summary(df: DataFrame, keys: Keys, date: str, score: str, cutoff: Column, big: Column, place: str, recent_days: int = 42, marks: int = 5, most_podiums: int = 5) -> DataFrame:
+def race_summary(df: DataFrame, keys: Keys, date: str, score: str, cutoff: Column, big: Column, place: str, recent_days: int = 42, marks: int = 3, most_podiums: int = 5) -> DataFrame:
     """From rows before the cut-off: mean and deviation of the best scores, best of the last days, races, big podiums (capped)."""
     rows = df.where(F.to_date(date) < cutoff)
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score))))

@@ -30,17 +30,31 @@ def status(df: DataFrame, reasons: list[tuple[str, Column]], otherwise: str, nam
     return df.withColumn(name, out.otherwise(otherwise))
 
 
-def storylines(field: DataFrame, group: Keys, athlete: str, chance: str, close: float = 0.06, limit: int = 4) -> DataFrame:
-    """Stories of each field by rule (close race, one to watch, debut), the most surprising first.
+#: Surprise of a story: background, worth saying, against an expectation, against the model's own call.
+CONTEXT, NOTABLE, DEFIES, CONTRADICTS = 0, 1, 2, 3
 
-    Wants the flags watch and debut. A rule is a filter and a score; all of them share the field's one window.
+
+def storylines(field: DataFrame, rivalries: DataFrame, group: Keys, athlete: str, chance: str, closest: float = 6.0, streak: int = 3, limit: int = 4) -> DataFrame:
+    """Stories of each field by six rules, the most surprising first; equal ones in the order of the rules, then of chances.
+
+    field: with flags watch, champion, debut and the length of the winning streak. rivalries: the leader of a pair's record
+    with wins and losses. All rules share the field's one window.
     """
     w = Window.partitionBy(*group).orderBy(F.desc(chance), athlete)
-    k = field.withColumns({"_n": F.row_number().over(w), "_next": F.lead(chance).over(w)})
-    c = F.col(chance)
-    rules = F.array(F.when((F.col("_n") == 1) & (c - F.col("_next") <= close), F.struct(F.lit("close").alias("kind"), (1 - (c - F.col("_next"))).alias("surprise"))), F.when((F.col("_n") == 1) & F.col("watch"), F.struct(F.lit("watch").alias("kind"), (0.5 - c).alias("surprise"))), F.when((F.col("_n") <= 3) & F.col("debut"), F.struct(F.lit("debut").alias("kind"), (0.4 + c).alias("surprise"))))
-    told = k.select(*group, athlete, F.explode(F.array_compact(rules)).alias("s")).select(*group, "s.kind", athlete, "s.surprise")
-    return told.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("surprise"), "kind", athlete))).where(F.col("rank") <= limit)
+    k = field.withColumns({"_n": F.row_number().over(w), "_gap": 100 * (F.col(chance) - F.lead(chance).over(w))})
+    k = k.join(rivalries.select(*group, athlete, (F.col("wins") == F.col("losses")).alias("_level")), [*group, athlete], "left")
+    n, first = F.col("_n"), F.col("_n") == 1
+    rules = [
+        ("photo_finish", first & (F.col("_gap") <= closest), F.when(F.col("_gap") <= 2, DEFIES).otherwise(NOTABLE)),
+        ("injury_watch", F.col("watch"), F.when(first, CONTRADICTS).when(n <= 3, DEFIES).otherwise(NOTABLE)),
+        ("returning_champion", F.col("champion"), F.lit(NOTABLE)),
+        ("debutant", F.col("debut"), F.when(first, DEFIES).otherwise(CONTEXT)),
+        ("rivalry", F.col("_level").isNotNull(), F.when(F.col("_level") | first, NOTABLE).otherwise(CONTRADICTS)),
+        ("hot_streak", F.col("streak") >= streak, F.lit(NOTABLE)),
+    ]
+    told = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("kind"), F.lit(i).alias("order"), score.alias("surprise"))) for i, (name, test, score) in enumerate(rules))))
+    stories = k.select(*group, athlete, "_n", F.explode(told).alias("s")).select(*group, "s.kind", athlete, "s.surprise", "s.order", "_n")
+    return stories.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("surprise"), "order", "_n"))).where(F.col("rank") <= limit).drop("order", "_n")
 
 
 def directory(df: DataFrame, score: str, name: str) -> DataFrame:

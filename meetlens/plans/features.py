@@ -194,7 +194,7 @@ def year_over_year(t):
 
 
 @query(f"""WITH {PLACED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY athlete ORDER BY v DESC) AS n FROM runs WHERE d < DATE '1997-09-01')
-SELECT athlete, round(avg(CASE WHEN n <= 5 THEN v END), 4) AS form_score, round(coalesce(stddev_samp(CASE WHEN n <= 5 THEN v END), 0), 4) AS form_spread, max(CASE WHEN d >= DATE '1997-09-01' - 42 THEN v END) AS recent_score,
+SELECT athlete, round(avg(CASE WHEN n <= 3 THEN v END), 4) AS form_score, round(coalesce(stddev_samp(CASE WHEN n <= 3 THEN v END), 0), 4) AS form_spread, max(CASE WHEN d >= DATE '1997-09-01' - 42 THEN v END) AS recent_score,
  count(*) AS races, least(count(CASE WHEN tier LIKE '1%' AND place <= 3 THEN 1 END), 5) AS big_podiums FROM b GROUP BY 1""")
 def race_summary_topk(t):
     out = A.race_summary(runs(t), ["athlete"], "d", "v", F.lit("1997-09-01").cast("date"), F.col("tier").startswith("1"), "place")

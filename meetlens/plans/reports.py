@@ -175,13 +175,13 @@ def top3_log_likelihood(t):
 
 
 @query(f"""WITH {PLACED_SQL}, b AS (SELECT tier, athlete, max(CASE WHEN y = 1997 THEN v END) AS now, max(CASE WHEN y = 1996 THEN v END) AS one, max(CASE WHEN y = 1995 THEN v END) AS two FROM runs GROUP BY 1, 2),
-l AS (SELECT *, greatest(0, coalesce((one - now) * 0.5, 0), coalesce((two - now) * 0.25, 0)) AS raw, (max(now) OVER (PARTITION BY tier) - now) * 0.5 AS room FROM b WHERE now IS NOT NULL)
-SELECT tier, athlete, round(least(raw, room), 4) AS lift, round(now + least(raw, room), 4) AS level, CASE WHEN least(raw, room) > 0 THEN CASE WHEN coalesce(two - now, -1e9) > coalesce(one - now, -1e9) THEN 'two' ELSE 'one' END END AS reason FROM l""")
+l AS (SELECT *, greatest(0, coalesce((one - now) * 0.35, 0)) AS a, greatest(0, coalesce((two - now) * 0.35 * 0.3, 0)) AS b, (max(now) OVER (PARTITION BY tier) - now) * 0.75 AS room FROM b WHERE now IS NOT NULL)
+SELECT tier, athlete, round(least(greatest(a, b), room), 6) AS lift, round(now + least(greatest(a, b), room), 6) AS level, CASE WHEN least(greatest(a, b), room) > 0 THEN CASE WHEN b > a THEN 'two' ELSE 'one' END END AS reason FROM l""")
 def faded_level(t):
     best = lambda y: F.max(F.when(F.col("y") == y, F.col("v")))
     b = runs(t).groupBy("tier", "athlete").agg(best(1997).alias("now"), best(1996).alias("one"), best(1995).alias("two")).where("now IS NOT NULL")
     out = P.faded_level(b, ["tier"], "now", [("one", F.lit(1)), ("two", F.lit(2))])
-    return out.select("tier", "athlete", F.round("lift", 4).alias("lift"), F.round("level", 4).alias("level"), P.old_mark_reason("now", [("one", "one"), ("two", "two")], "lift").alias("reason"))
+    return out.select("tier", "athlete", F.round("lift", 6).alias("lift"), F.round("level", 6).alias("level"), F.col("lift_from").alias("reason"))
 
 
 @query("""WITH b AS (SELECT l_suppkey AS athlete, avg(l_extendedprice) AS form, max(l_extendedprice) AS career, least(greatest(count(*), 1), 5) / 5e0 * greatest(0, 1 - coalesce(stddev_samp(l_quantity), 0) / 50) AS c FROM lineitem WHERE l_discount = 0.05 GROUP BY 1)
@@ -223,12 +223,16 @@ def search_country(t):
     return R.ranked_search(n, "code", "n_name", "_1", [F.asc("n_name")]).drop("code")
 
 
-@query(f"""WITH {CHANCE_SQL}, k AS (SELECT *, lead(chance) OVER (PARTITION BY grp ORDER BY n) AS nx, count(*) OVER (PARTITION BY grp) AS c FROM field),
-s AS (SELECT grp, 'close' AS kind, athlete, 1 - (chance - nx) AS surprise FROM k WHERE n = 1 AND chance - nx <= 0.06 UNION ALL SELECT grp, 'watch', athlete, 0.5 - chance FROM k WHERE n = 1 AND athlete % 3 = 0 UNION ALL SELECT grp, 'debut', athlete, 0.4 + chance FROM k WHERE n <= 3 AND athlete % 5 = 0)
-SELECT grp, kind, athlete, round(surprise, 6) AS surprise, rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY surprise DESC, kind, athlete) AS rank FROM s) WHERE rank <= 4""")
+@query(f"""WITH {CHANCE_SQL}, k AS (SELECT *, 100 * (chance - lead(chance) OVER (PARTITION BY grp ORDER BY n)) AS gap FROM field),
+s AS (SELECT grp, 'photo_finish' AS kind, 0 AS o, athlete, n, CASE WHEN gap <= 2 THEN 2 ELSE 1 END AS surprise FROM k WHERE n = 1 AND gap <= 6 UNION ALL SELECT grp, 'injury_watch', 1, athlete, n, CASE WHEN n = 1 THEN 3 WHEN n <= 3 THEN 2 ELSE 1 END FROM k WHERE athlete % 3 = 0
+ UNION ALL SELECT grp, 'returning_champion', 2, athlete, n, 1 FROM k WHERE athlete % 7 = 0 UNION ALL SELECT grp, 'debutant', 3, athlete, n, CASE WHEN n = 1 THEN 2 ELSE 0 END FROM k WHERE athlete % 5 = 0
+ UNION ALL SELECT grp, 'rivalry', 4, athlete, n, CASE WHEN athlete % 3 = athlete % 2 THEN 1 ELSE 3 END FROM k WHERE n = 2 UNION ALL SELECT grp, 'hot_streak', 5, athlete, n, 1 FROM k WHERE athlete % 4 = 0)
+SELECT grp, kind, athlete, surprise::BIGINT AS surprise, rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY surprise DESC, o, n) AS rank FROM s) WHERE rank <= 4""")
 def storylines(t):
-    f = field(t).withColumns({"watch": F.col("athlete") % 3 == 0, "debut": F.col("athlete") % 5 == 0})
-    return Q.storylines(f, ["grp"], "athlete", "chance").withColumn("surprise", F.round("surprise", 6))
+    a = F.col("athlete")
+    f = field(t).withColumns({"watch": a % 3 == 0, "champion": a % 7 == 0, "debut": a % 5 == 0, "streak": F.when(a % 4 == 0, 3).otherwise(1)})
+    rivals = f.where("n = 2").select("grp", "athlete", (a % 3).alias("wins"), (a % 2).alias("losses"))
+    return Q.storylines(f, rivals, ["grp"], "athlete", "chance")
 
 
 @query(f"""WITH {TOTALS_SQL}, n AS (SELECT grp, athlete, max(v) AS v FROM totals WHERE y = 1997 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v DESC, athlete) AS rank FROM n), one AS (SELECT * FROM r WHERE athlete <= 200)

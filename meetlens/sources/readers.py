@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -110,6 +111,75 @@ def finals_of_competition(df: DataFrame, known: DataFrame | None = None) -> Data
     return first if known is None else first.join(known.select("name").distinct(), "name", "left_semi")
 
 
+def competition_athletes(df: DataFrame) -> DataFrame:
+    """The first id and birth date of each (discipline, name) in a competition's nested results (as finals_of_competition)."""
+    rows = df.select("competition", "year", F.posexplode("events").alias("_e", "e")).select("competition", "year", "_e", F.col("e.discipline").alias("discipline"), F.posexplode("e.races").alias("_r", "r")).select("competition", "year", "_e", "_r", "discipline", F.posexplode("r.results").alias("_i", "x")).select("*", "x.*")
+    order = F.struct("_e", "_r", "_i")
+    return rows.where("athlete_id IS NOT NULL").groupBy("competition", "year", "discipline", "name").agg(F.min_by("athlete_id", order).alias("athlete_id"), F.min_by("birth_date", order).alias("birth_date"))
+
+
+def entries(df: DataFrame) -> DataFrame:
+    """A row per entrant of nested entry lists (event, athletes array<struct<name, nation, id>>)."""
+    return df.select("event", F.explode_outer("athletes").alias("a")).select("event", "a.*")
+
+
+def entry_list(text: DataFrame, page: str = "text", event: str = r"^(.+?) \((\d+)\)$", athlete: str = r"^(\d+)\s+(.+)\s+[A-Z]{3}\b", sex: str = r"^(MEN|WOMEN)$") -> DataFrame:
+    """Entry lists in running text to (event, athlete) rows, by patterns for the lines that name a sex, an event with its count
+    and an athlete. A document in which any count disagrees with the rows found gives none."""
+    import pandas as pd
+
+    def one(batches):
+        for rows in batches:
+            out = []
+            for doc, body in zip(rows["doc"], rows[page]):
+                now, found, wanted = [None, None], {}, {}
+                for line in map(str.strip, (body or "").splitlines()):
+                    if m := re.match(sex, line.upper()):
+                        now = [m[1].title(), None]
+                    elif now[0] and (m := re.match(event, line)):
+                        now[1] = f"{now[0]}'s {m[1].strip()}"
+                        wanted[now[1]], found[now[1]] = int(m[2]), []
+                    elif now[1] and (m := re.match(athlete, line)):
+                        found[now[1]].append(m[2].strip())
+                if all(len(v) == wanted[k] for k, v in found.items()):
+                    out += [(doc, k, name) for k, v in found.items() for name in v]
+            yield pd.DataFrame(out, columns=["doc", "event", "athlete"])
+
+    return text.select(F.col("doc").cast("string").alias("doc"), page).mapInPandas(one, "doc string, event string, athlete string")
+
+
+def calendar(meetings: DataFrame, indoor: str = r"(?i)\bindoor\b") -> DataFrame:
+    """Meetings of month-by-month pages, once per id, without indoor ones."""
+    return meetings.where(~F.coalesce(F.col("name").rlike(indoor), F.lit(False))).groupBy("id").agg(*(F.min(c).alias(c) for c in meetings.columns if c != "id"))
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """A season's rows with parsed dates, the age at the race to one decimal and a mark; those without a mark go."""
+    wind = F.col("wind") if "wind" in df.columns else F.lit(None).cast("string")
+    rows = df.withColumns({"wind": wind, "date": marks.result_date("date"), "dob": marks.result_date("dob")})
+    return rows.withColumns({"age": marks.age_years("dob", "date"), "value": marks.clock_value("mark")}).dropna(subset=["mark"])
+
+
+def profile_best(results: DataFrame, keys: list[str], cutoff: Column, hand_times: bool = False, season: Column | None = None) -> DataFrame:
+    """Best score of legal, outdoor, dated results before a cut-off (of one season, if given), and its date; the earliest of equal ones."""
+    day = marks.result_date("date")
+    rows = results.withColumn("_d", day).where((F.col("_d") < cutoff) & ~F.coalesce("notLegal", F.lit(False)) & ~marks.result_is_indoor("indoor", "venue", "competition") & F.col("resultScore").isNotNull())
+    if not hand_times:
+        rows = rows.where(~F.coalesce(F.col("mark").endswith("h"), F.lit(False)))
+    if season is not None:
+        rows = rows.where(F.year("_d") == season)
+    return rows.groupBy(*keys).agg(F.max("resultScore").alias("score"), F.max_by("_d", F.struct("resultScore", (-F.unix_date("_d")).alias("t"))).alias("date"))
+
+
+def resolved_event(events: DataFrame, dimension: DataFrame, mile_as_1500: bool = False) -> DataFrame:
+    """The discipline key of (gender, event) by the dimension's names; the mile counts as the 1500 m only where asked."""
+    from meetlens.functions.names import event_key
+
+    key = F.when(F.lit(mile_as_1500) & (event_key("event") == "mile"), F.lit("1500m")).otherwise(event_key("event"))
+    own = dimension.select(F.col("gender"), F.lower("event").alias("_k"), F.col("key").alias("discipline"))
+    return events.withColumn("_k", key).join(F.broadcast(own), ["gender", "_k"], "left").drop("_k")
+
+
 def paged(pages: list[DataFrame], size: int, outside: Column, key: str, most_outside: float = 0.05) -> DataFrame:
     """Pages in order up to the first empty or short one, unique by key; fails if too large a share lies outside the area."""
     kept = []

@@ -291,7 +291,7 @@ def test_fit_recovers_and_control_fails():
 def test_old_mark_never_passes_the_leader(spark):
     df = spark.createDataFrame([("f", "a", 100.0, 100.0), ("f", "b", 80.0, 500.0), ("f", "c", 90.0, 95.0)], "f string, a string, now double, old double")
     got = table(pl.faded_level(df, ["f"], "now", [("old", F.lit(1))]), "a")
-    assert got["a"].level == 100.0 and got["b"].level == 90.0 and got["c"].level == 92.5
+    assert got["a"].level == 100.0 and got["b"].level == 95.0 and got["c"].level == 91.75
 
 
 def test_slower_entrant_changes_no_gap(spark):
@@ -336,6 +336,11 @@ def test_short_query_finds_nothing(spark):
     assert R.search(df, "n", "a", [F.asc("r")]).count() == 0 and R.search(df, "n", "NN", [F.asc("r")]).count() == 1
 
 
+def test_tiers_and_weights(spark):
+    got = one(spark, *[marks.competition_tier(F.lit(c)) for c in ("World Championships 2019", "IAAF Continental Cup", "Diamond League Final", "Golden Spike")], *[marks.competition_weight(F.lit(v).cast("string")) for v in ("Olympic Stadium", "Bislett, Oslo (NOR)", "Ostrava", None)])
+    assert list(got) == ["global", "continental", "dl_final", "tour", 1.3, 1.2, 1.0, 1.0]
+
+
 def test_meeting_order(spark):
     df = spark.createDataFrame([("c", i, date(2026, 5, i)) for i in range(1, 6)], "c string, i int, d date")
     got = {k: r.status for k, r in table(R.meeting_status(df, ["c"], "d", F.lit("2026-05-03").cast("date"), F.col("i") == 5, ["i"]), "i").items()}

@@ -44,6 +44,25 @@ def test_finals_first_listing_wins(spark):
     assert readers.finals_of_competition(df, spark.createDataFrame([("b",)], "name string")).count() == 0
 
 
+def test_entry_lists(spark):
+    good, bad = "WOMEN\n100 Metres (2)\n12 Ann LEE GBR\n13 Bo XU CHN\n", "MEN\nLong Jump (2)\n1 Al Oh USA\n"
+    rows = readers.entry_list(spark.createDataFrame([(1, good), (2, bad), (3, None)], "doc int, text string")).collect()
+    assert {(r.doc, r.event, r.athlete) for r in rows} == {("1", "Women's 100 Metres", "Ann LEE"), ("1", "Women's 100 Metres", "Bo XU")}
+
+
+def test_profile_best(spark):
+    rows = [("a", "1 MAY 2026", "9.9", 1200.0, False, "Rome", None), ("a", "2 MAY 2026", "9.8h", 1250.0, False, "Rome", None), ("a", "3 MAY 2026", "9.7", 1300.0, True, "Rome", None), ("a", "4 MAY 2026", "9.7", 1300.0, False, "Berlin (i)", None), ("a", "9 MAY 2026", "9.6", 1400.0, False, "Rome", None)]
+    df = spark.createDataFrame([(*r, False) for r in rows], "k string, date string, mark string, resultScore double, notLegal boolean, venue string, competition string, indoor boolean")
+    cut = F.lit("2026-05-09").cast("date")
+    assert readers.profile_best(df, ["k"], cut).first().score == 1200.0 and readers.profile_best(df, ["k"], cut, hand_times=True).first().score == 1250.0
+
+
+def test_resolved_events(spark):
+    e = spark.createDataFrame([("men", "Men's 100 Metres"), ("women", "Women's Mile"), ("men", "Men's Sack Race")], "gender string, event string")
+    find = lambda **k: {r.event: r.discipline for r in readers.resolved_event(e, schemas.disciplines(spark), **k).collect()}
+    assert find() == {"Men's 100 Metres": "men_100m", "Women's Mile": None, "Men's Sack Race": None} and find(mile_as_1500=True)["Women's Mile"] == "women_1500m"
+
+
 def test_pages_stop_and_guard(spark):
     page = lambda *r: spark.createDataFrame(list(r), "i int, area string")
     rows = readers.paged([page((1, "a"), (2, "a")), page((2, "a")), page((9, "a"))], 2, F.col("area") != "a", "i")
