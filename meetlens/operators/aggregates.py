@@ -170,15 +170,14 @@ def field_gap(df: DataFrame, partition: Keys, value: str, higher_is_better: bool
 def score_context(df: DataFrame, group: Keys, score: str, at: DataFrame) -> DataFrame:
     """For probe scores (group keys, probe): the share of all rows and of the group's rows at or below, in percent.
 
-    cume_dist over the union of rows and probes needs no pair of the two.
+    Probes are few (a page's athletes) and broadcast; rows are counted where they are, before any shuffle, so a group of any
+    size costs no task more than its share. Scores are first counted by value.
     """
-    rows = df.select(*group, F.col(score).alias("_s"), F.lit(1).alias("_row"), F.lit(None).cast("double").alias("probe")).union(at.select(*group, F.col("probe").alias("_s"), F.lit(0).alias("_row"), "probe"))
-    own = Window.partitionBy(*group).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumns({"_below": F.sum("_row").over(own), "_n": F.sum("_row").over(Window.partitionBy(*group))})
-    totals = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
-    probes = at.select("probe").distinct()
-    overall = totals.crossJoin(F.broadcast(probes)).groupBy("probe").agg(F.sum(F.when(F.col("_s") <= F.col("probe"), F.col("_c")).otherwise(0)).alias("_under"), F.sum("_c").alias("_total"))
-    return inside.where("_row = 0").join(F.broadcast(overall), "probe").select(*group, "probe", F.round(100.0 * F.col("_under") / F.col("_total"), 4).alias("overall_percentile"), F.round(100.0 * F.col("_below") / F.col("_n"), 4).alias("group_percentile"))
+    under = lambda n: F.sum(F.when(F.col(score) <= F.col("probe"), F.col("_c")).otherwise(0)).alias(n)
+    counts = df.groupBy(*group, score).agg(F.count("*").alias("_c"))
+    inside = counts.join(F.broadcast(at.select(*group, "probe").distinct()), group).groupBy(*group, "probe").agg(under("_below"), F.sum("_c").alias("_n"))
+    overall = counts.crossJoin(F.broadcast(at.select("probe").distinct())).groupBy("probe").agg(under("_under"), F.sum("_c").alias("_total"))
+    return inside.join(F.broadcast(overall), "probe").select(*group, "probe", F.round(100.0 * F.col("_under") / F.col("_total"), 4).alias("overall_percentile"), F.round(100.0 * F.col("_below") / F.col("_n"), 4).alias("group_percentile"))
 
 
 def depth_index(df: DataFrame, group: Keys, score: str, athlete: str, chance: str) -> DataFrame:
