@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meetlens.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,6 +18,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
             return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t in ("int", "smallint", "tinyint")}) if not df.isStreaming else df
 
