@@ -98,13 +98,25 @@ def json_profile_flatten(t):
     return t("events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query()
+def _text(x):
+    """Twin of an element's text: tags out, entities decoded, white space collapsed."""
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{c}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _elements(pattern):
+    return f"SELECT page_id, unnest(range(len(m))) AS n, unnest(m) AS e FROM (SELECT page_id, regexp_extract_all(html, '{pattern}') AS m FROM pages)"
+
+
+@query(f"""WITH x AS ({_elements('<a href="[^"]*">.*?</a>')}) SELECT page_id, n AS link_no, {_text("regexp_extract(e, 'href=\"([^\"]*)\"', 1)")} AS href, {_text("e")} AS anchor FROM x""")
 def html_links(t):
-    """Links of every page, by the UDTF; no SQL twin (SQL has no HTML parser)."""
+    """Links of every page, by the UDTF; the twin holds for the pages' plain markup."""
     return html.links(t("pages"), ["page_id"])
 
 
-@query()
+@query(f"""WITH x AS ({_elements("<h[1-6]>.*?</h[1-6]>")}) SELECT page_id, n AS heading_no, CAST(substr(e, 3, 1) AS BIGINT) AS depth, {_text("e")} AS heading FROM x""")
 def html_headings(t):
     return html.headings(t("pages"), ["page_id"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -101,7 +102,7 @@ class Links:
 class Headings:
     def eval(self, html: str):
         for i, m in enumerate(re.finditer(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>", html or "")):
-            yield i, int(m[1]), " ".join(re.sub(r"<[^>]+>", " ", m[2]).split())
+            yield i, int(m[1]), " ".join(unescape(re.sub(r"<[^>]+>", " ", m[2])).split())
 
 
 def _rows(pages: DataFrame, udtf, keys: list[str], html: str) -> DataFrame:
