@@ -72,17 +72,21 @@ def field_mean(field: DataFrame, edges: DataFrame, group: Keys, name: str, never
 
 
 def as_of_rates(records: DataFrame, cutoffs: DataFrame, keys: Keys, date: str, least: int = 2) -> DataFrame:
-    """Rates of each ordered pair before each distinct cut-off of its group, by one running sum per pair.
+    """Rates of each ordered pair before each distinct cut-off of its group; a record on a cut-off's own day comes after it.
 
-    Records and cut-offs are merged by date and summed along it, so records are never multiplied by cut-offs. A record on the
-    day of a cut-off comes after it.
+    Each record is counted at the first cut-off after it, a running sum per pair carries it on, and a sum is written for the
+    cut-offs up to the pair's next record: as many rows as the result has, and no product of records and cut-offs.
     """
-    days = records.where(F.col(date).isNotNull()).groupBy(*keys, "athlete_a", "athlete_b", F.to_date(date).alias("_d")).agg(F.sum("a_wins").alias("_w"), F.count("*").alias("_m"))
-    pair = Window.partitionBy(*keys, "athlete_a", "athlete_b")
-    running = days.withColumns({"wins": F.sum("_w").over(pair.orderBy("_d")), "meetings": F.sum("_m").over(pair.orderBy("_d")), "_until": F.lead("_d").over(pair.orderBy("_d"))})
-    spans = running.join(F.broadcast(cutoffs.select(*keys, F.col("cutoff").alias("cutoff")).distinct()) if not keys else cutoffs.select(*keys, "cutoff").distinct(), keys) if keys else running.crossJoin(F.broadcast(cutoffs.select("cutoff").distinct()))
-    valid = spans.where((F.col("_d") < F.col("cutoff")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("cutoff"))) & (F.col("meetings") >= least))
-    return valid.select(*keys, "cutoff", "athlete_a", "athlete_b", F.col("wins").cast("long").alias("wins"), F.col("meetings").cast("long").alias("meetings"), (F.col("wins") / F.col("meetings")).alias("win_rate"))
+    ordered = cutoffs.where("cutoff IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_set(F.to_date("cutoff"))).alias("_cuts"))
+    rows = records.where(F.col(date).isNotNull())
+    rows = rows.join(ordered, keys) if keys else rows.crossJoin(F.broadcast(ordered))
+    rows = rows.withColumn("_k", F.size(F.filter("_cuts", lambda c: c <= F.to_date(F.col(date))))).where(F.col("_k") < F.size("_cuts"))
+    sums = rows.groupBy(*keys, "athlete_a", "athlete_b", "_k").agg(F.sum("a_wins").alias("_w"), F.count("*").alias("_m"))
+    pair = Window.partitionBy(*keys, "athlete_a", "athlete_b").orderBy("_k")
+    running = sums.select(*keys, "athlete_a", "athlete_b", "_k", F.sum("_w").over(pair).cast("long").alias("wins"), F.sum("_m").over(pair).alias("meetings"), F.lead("_k").over(pair).alias("_next")).where(F.col("meetings") >= least)
+    running = running.join(ordered, keys) if keys else running.crossJoin(F.broadcast(ordered))
+    until = F.coalesce("_next", F.size("_cuts"))
+    return running.select(*keys, F.explode(F.slice("_cuts", F.col("_k") + 1, until - F.col("_k"))).alias("cutoff"), "athlete_a", "athlete_b", "wins", "meetings", (F.col("wins") / F.col("meetings")).alias("win_rate"))
 
 
 def top_rivals(field: DataFrame, group: Keys, name: str, score: str, k: int = 3) -> DataFrame:
@@ -116,9 +120,7 @@ def qualification(standings: DataFrame, group: Keys, name: str, points: str, ran
     left = meetings_left * per_meeting
     df = standings.withColumns({"ceiling": F.col(points) + left, "_k": F.row_number().over(w.orderBy(rank, name))})
     df = df.withColumn("cut", F.max(F.when(F.col("_k") == F.col(limit), F.col(points))).over(w))
-    both = df.select("*", F.lit(0).alias("_probe"), F.col(points).alias("_x"))
-    marks = both.select(*group, name, F.col(points).alias("_p"), "ceiling")
-    # strictly above my ceiling: points > ceiling
+    marks = df.select(*group, F.col(points).alias("_p"), "ceiling")
     above = _count_above(marks, group, "_p", "ceiling", strict=True).select(*group, F.col("_at").alias("ceiling"), F.col("_n").alias("above"))
     reach = _count_above(marks, group, "ceiling", "_p", strict=False).select(*group, F.col("_at").alias(points), F.col("_n").alias("_reach"))
     out = df.join(above, [*group, "ceiling"], "left").join(reach, [*group, points], "left")
