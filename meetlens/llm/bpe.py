@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meetlens.llm.common import slices
+from meetlens.llm.common import hold, slices
 
 #: Characters of a text above which it is cut, and about which pieces are that long.
 PIECE = 1 << 15
@@ -64,6 +64,7 @@ _CODECS: dict[tuple[str, str], BytePairs] = {}
 
 
 def codec(path: str, pattern: str) -> BytePairs:
+    hold("byte pairs", _CODECS.clear)
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = BytePairs(path, pattern)
     return _CODECS[path, pattern]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meetlens.session import ship
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -18,6 +21,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,12 +50,27 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+_HOLDER: list = [None, None]
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Called by an operator that remembers things in its worker: what another operator remembered there goes.
+
+    Workers are used again by later stages; a pipeline's operators would otherwise fill them one after the other.
+    """
+    if _HOLDER[0] != name:
+        if _HOLDER[1]:
+            _HOLDER[1]()
+        _HOLDER[:] = [name, release]
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(n).to_pylist() for n in names]
 
 
 def slices(batches, rows: int = 512):
-    """Small record batches, so that a worker holds the Python objects of few texts at a time."""
+    """Small record batches, so that a worker holds the Python objects of few texts at a time; Arrow's free memory goes back."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()

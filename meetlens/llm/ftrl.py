@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlens.llm.common import slices
+from meetlens.llm.common import hold, slices
 
 TRAIN_ROWS = 6000
 
@@ -114,8 +114,9 @@ def token_hashes(tokens: list[bytes]) -> np.ndarray:
     """32-bit hashes; a worker remembers those of frequent tokens."""
     import xxhash
 
+    hold("hashes", _HASHES.clear)
     known, of = _HASHES, xxhash.xxh32_intdigest
-    if len(known) > 300_000:
+    if len(known) > 200_000:
         known.clear()
     try:
         return np.array([known[t] for t in tokens], np.uint32)

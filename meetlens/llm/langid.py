@@ -1,11 +1,11 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 The network reads windows of bytes, labels every position, and a document's probabilities are its positions' mean. A window
-is a white-space-separated word (a longer word: pieces of MAX_BYTES), read from a zero state in both directions, so equal
-words have equal position labels wherever they stand: a worker reads each distinct word of a batch once and weighs it by
-its count. That is an exact rearrangement of the sum over all positions of the whole text, not a sample of it. Training is
-backpropagation through time in numpy, on a bounded sample of documents with a language (TRAIN_ROWS); words are drawn by
-their frequency there.
+is a word between ASCII white space, without punctuation at its ends (a longer word: pieces of MAX_BYTES), read from a zero
+state in both directions, so equal words have equal position labels wherever they stand: a worker reads each distinct word
+once and adds its sums wherever it occurs. That is an exact rearrangement of the sum over all positions of the whole text,
+not a sample of it. Training is backpropagation through time in numpy, on a bounded sample of documents with a language
+(TRAIN_ROWS); words are drawn by their frequency there.
 
 Defined cases: a text that is null, empty or without a letter is `und` with score 0; words without a letter take no part;
 rows with a null id are labelled and learned from like others; repeated rows are labelled alike; without any known
@@ -17,13 +17,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlens.llm.common import slices
+from meetlens.llm.common import hold, slices
 
 UND = "und"
 TRAIN_ROWS, MAX_BYTES, EMBED, HIDDEN, STEPS, BATCH, RATE = 2000, 24, 12, 16, 600, 256, 0.02
@@ -149,37 +151,49 @@ def read(model: Model, words: list[str], batch: int = 2048) -> np.ndarray:
 
 
 class Reader:
-    """Probabilities of texts, whole; remembers the sums of the words it has read, of KEPT at most."""
+    """Probabilities of texts, whole; remembers the sums of the words it has read, of KEPT at most.
 
-    KEPT = 200_000
+    Arrow finds a batch's distinct words; a text's sums are those of its words, added up in numpy.
+    """
+
+    KEPT = 250_000
 
     def __init__(self, model: Model):
         self.model, self.at, self.sums = model, {}, np.zeros((0, len(model.languages) + 1))
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if not self.model.languages:
-            return [(UND, 0.0)] * len(texts)
-        counts = [Counter(t.split()) if t else Counter() for t in texts]
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Where the sums of these words are."""
         if len(self.at) > self.KEPT:
             self.at, self.sums = {}, self.sums[:0]
-        new = [w for w in dict.fromkeys(w for c in counts for w in c) if w not in self.at]
-        if new:
+        if new := [w for w in words if w not in self.at]:
             sums = np.zeros((len(new), self.sums.shape[1]))
             letters = [i for i, w in enumerate(new) if lettered(w)]
             if letters:
                 sums[letters] = read(self.model, [new[i] for i in letters])
             self.at.update((w, len(self.sums) + i) for i, w in enumerate(new))
             self.sums = np.concatenate([self.sums, sums])
-        out = []
-        for c in counts:
-            total = np.fromiter(c.values(), float, len(c)) @ self.sums[[self.at[w] for w in c]] if c else np.zeros(1)
-            if not total[-1]:
-                out.append((UND, 0.0))
-                continue
-            pooled = total[:-1] / total[-1]
-            best = int(pooled.argmax())
-            out.append((self.model.languages[best], float(min(1.0, pooled[best]))))
-        return out
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:
+        n, languages = len(texts), self.model.languages
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        if not languages or not len(coded):
+            return [(UND, 0.0)] * n
+        words = bare(coded.dictionary).dictionary_encode()
+        rows = self._rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        each = np.concatenate([self.sums[rows[coded.indices.to_numpy()]], np.zeros((1, len(languages) + 1))])
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        total = np.add.reduceat(each, offsets[:-1], axis=0)
+        total[offsets[1:] == offsets[:-1]] = 0
+        share = total[:, :-1] / np.maximum(total[:, -1:], 1)
+        best = share.argmax(1)
+        return [(languages[k], min(1.0, float(p[k]))) if positions else (UND, 0.0) for k, p, positions in zip(best.tolist(), share, total[:, -1].tolist())]
+
+
+def bare(words: pa.Array) -> pa.Array:
+    """Words without punctuation at their ends."""
+    return pc.ascii_trim(words, punctuation)
 
 
 def fit(docs: DataFrame, learn_from: Column, rows: int = TRAIN_ROWS, words_of_row: int = 400) -> Model:
@@ -193,7 +207,7 @@ def fit(docs: DataFrame, learn_from: Column, rows: int = TRAIN_ROWS, words_of_ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [Counter(w for w in t.split() if lettered(w)).most_common(words_of_row) for t in batch.column("text").to_pylist()]
+            own = [Counter(w for w in bare(pc.ascii_split_whitespace(t).values).to_pylist() if lettered(w)).most_common(words_of_row) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([[w for w, _ in x] for x in own], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in own], pa.list_(pa.int64()))], ["lang", "words", "counts"])
 
     total: dict[str, Counter] = {}
@@ -214,9 +228,10 @@ def label(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     shared, kept = docs.sparkSession.sparkContext.broadcast(model), keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("words", lambda: None)
         own = Reader(shared.value)
-        for batch in slices(batches):
-            found = own(batch.column("text").to_pylist())
+        for batch in slices(batches, 1024):
+            found = own(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*kept, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)

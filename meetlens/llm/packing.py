@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetlens.llm.common import columns, materialise, slices
+from meetlens.llm.common import columns, hold, materialise, slices
 
-WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 2, 4_000_000, 1 << 15, 12, 1.2, 0.75
+WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 2, 2_000_000, 1 << 15, 12, 1.2, 0.75
 #: Units that a worker remembers.
-CACHE = 700_000
+CACHE = 300_000
 
 
 class WordEncoder:
@@ -130,6 +130,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """A worker builds the encoder of a file once."""
+    hold("packing", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -142,7 +143,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
         enc = encoder(tokenizer)
         kind = _kind(max(enc.size, end_id + 1))
         end = np.array([end_id], kind).tobytes()
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 1536):
             found = enc.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(kind).tobytes() + end for x in found], pa.binary())], ["doc_id", "ids"])
 
@@ -181,17 +182,21 @@ class Shard:
     """Inverted index over a bounded set of documents, with the impacts of BM25 laid into the postings."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs)) if docs else ((), ())
+        terms, counts = [], []
+        for d in docs:
+            t, n = np.unique(d, return_counts=True)
+            terms.append(t)
+            counts.append(n.astype(np.float32))
         sizes = np.array([len(t) for t in terms], np.int64)
         self.starts = np.append(0, np.cumsum(sizes))
-        term = np.concatenate(terms).astype(np.int64) if docs else np.zeros(0, np.int64)
-        tf = np.concatenate(counts).astype(np.float32) if docs else np.zeros(0, np.float32)
+        term = np.concatenate(terms).astype(np.int32) if docs else np.zeros(0, np.int32)
+        tf = np.concatenate(counts) if docs else np.zeros(0, np.float32)
         lengths = np.array([len(d) for d in docs], np.float32)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         norm = K1 * (1 - B + B * lengths / max(mean, 1))
         self.impact = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
         self.term = term
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term, kind="stable").astype(np.int32)
         self.posting_doc, self.posting_impact = owner[order], self.impact[order]
         self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.free, self.n = np.ones(len(docs), bool), len(docs)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlens.llm.common import ascii_words, materialise, slices
+from meetlens.llm.common import ascii_words, hold, materialise, slices
 from meetlens.llm.graph import components
 
 RADIUS, SHINGLE, SEED, HEAVY = 2, 3, 42, 2048
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp long (the 64 bits as a signed number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("fingerprints", lambda: None)
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def test_remembered_words_equal_direct_reading():
             for x in langid.windows(word):
                 p, m = langid.padded([x])
                 total += np.append(langid.positions(model.weights, p, m)[0][0].sum(0), len(x))
-    found = langid.Reader(model)([text, None, "", "123"])
+    found = langid.Reader(model)(pa.array([text, None, "", "123"]))
     assert np.isclose(found[0][1], (total[:2] / total[2]).max(), atol=1e-5) and [x[0] for x in found[1:]] == ["und"] * 3
 
 
