@@ -22,10 +22,10 @@ def _hits(words):
     return "list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda k: regexp_matches(x, '\\b' || k || '\\b'))"
 
 
-@query(f"{CODES} SELECT doc_id, {_hits(HARD)} AS hard, {_hits(SOFT)} AS soft FROM h WHERE len({_hits(HARD + SOFT)}) > 0")
+@query(f"{CODES} SELECT doc_id, array_to_string({_hits(HARD)}, ',') AS hard, array_to_string({_hits(SOFT)}, ',') AS soft FROM h WHERE len({_hits(HARD + SOFT)}) > 0")
 def keyword_hits(t):
     out = _heads(t).select("doc_id", T.whole_word_hits("x", HARD).alias("hard"), T.whole_word_hits("x", SOFT).alias("soft"))
-    return out.where((F.size("hard") > 0) | (F.size("soft") > 0))
+    return out.where((F.size("hard") > 0) | (F.size("soft") > 0)).withColumns({c: F.array_join(c, ",") for c in ("hard", "soft")})
 
 
 @query("""WITH tok AS (SELECT s_suppkey AS id, unnest(string_split(lower(s_name) || ' ' || CASE WHEN s_suppkey % 2 = 0 THEN 'star' || (s_suppkey // 2) ELSE 'common' END, ' ')) AS tk FROM supplier)
@@ -65,9 +65,10 @@ def _articles(t):
 
 @query(f"""{CODES}, m AS (SELECT *, {STATUS} AS status, list_concat({_hits(HARD)}, {_hits(SOFT)}) AS kw, lang || '-' || (n_chars % 500) AS url, left(x, 40) AS headline FROM h),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, url ORDER BY doc_id DESC, headline) AS k FROM m WHERE status IS NOT NULL) WHERE k = 1)
-SELECT source, count(*) AS articles, list(headline ORDER BY doc_id DESC, headline DESC) AS headlines, list_sort(list_distinct(flatten(list(kw)))) AS keywords, CASE max(CASE status WHEN 'remove' THEN 2 ELSE 1 END) WHEN 2 THEN 'remove' ELSE 'watch' END AS status, max(doc_id) AS newest FROM o GROUP BY 1""")
+SELECT source, count(*) AS articles, string_agg(headline, ' | ' ORDER BY doc_id DESC, headline DESC) AS headlines, array_to_string(list_sort(list_distinct(flatten(list(kw)))), ',') AS keywords, CASE max(CASE status WHEN 'remove' THEN 2 ELSE 1 END) WHEN 2 THEN 'remove' ELSE 'watch' END AS status, max(doc_id) AS newest FROM o GROUP BY 1""")
 def news_rollup(t):
-    return A.news_rollup(_articles(t), ["source"], "url", "headline", "doc_id", "status", "keywords")
+    out = A.news_rollup(_articles(t), ["source"], "url", "headline", "doc_id", "status", "keywords")
+    return out.withColumns({"headlines": F.array_join("headlines", " | "), "keywords": F.array_join("keywords", ",")})
 
 
 @query(f"""{CODES}, f AS (SELECT source, max(doc_id) AS flagged FROM h WHERE {STATUS} IS NOT NULL GROUP BY 1), r AS (SELECT source, max(doc_id) AS back FROM h WHERE contains(x, 'mit license') GROUP BY 1) SELECT f.source, f.flagged FROM f LEFT JOIN r USING (source) WHERE back IS NULL OR back <= flagged""")
