@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding by a local rank file.
 
 Long texts are first cut at safe boundaries: before a single space that stands between two non-space characters. No match
-of the pre-token pattern contains such a space but at its start, so the pieces' ids are the text's ids.
+of the pre-token pattern contains such a space but at its start, so the pieces' ids are the text's ids. Long runs of white
+space are taken out before the pattern sees them (its look-ahead would overflow the library's stack): such a run is one match,
+without its last character if a non-space character follows it.
 
 Defined cases: null and empty texts have no ids; ids of rows with a null id or repeated rows are given for each row;
 decoding returns raw bytes, which need not be UTF-8; an empty table gives no rows; extra columns are ignored.
@@ -22,6 +24,8 @@ from meetlens.llm.common import hold, slices
 #: Characters of a text above which it is cut, and about which pieces are that long.
 PIECE = 1 << 15
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space as the pattern has it (Unicode's property), in runs that are taken out.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 
 
 class BytePairs:
@@ -38,8 +42,14 @@ class BytePairs:
         """Ids as of one call for the whole text; special tokens are ordinary text."""
         if not text:
             return []
-        out: list[int] = []
-        for piece in pieces(text):
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            for piece in pieces(text[at : run.start()]):
+                out += self.encoding.encode_ordinary(piece)
+            out += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        for piece in pieces(text[at:]):
             out += self.encoding.encode_ordinary(piece)
         return out
 

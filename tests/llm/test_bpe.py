@@ -6,6 +6,7 @@ import regex
 
 from meetlens.llm import bpe
 
+SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"  # the property, which \\s of this library exceeds
 ARGS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -13,7 +14,7 @@ def brute(text):
     """Merges of each match by rank, pair by pair."""
     ranks = {b: i for i, b in bpe.codec(*ARGS).bytes.items()}
     out = []
-    for m in regex.findall(ARGS[1], text or ""):
+    for m in regex.findall(regex.sub(r"\\s", SPACE, ARGS[1].replace(r"[^\s", r"[^" + SPACE[1:-1])).replace(r"\S", f"[^{SPACE[1:-1]}]"), text or ""):
         parts = [bytes([b]) for b in m.encode()]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 30), i))
@@ -51,3 +52,14 @@ def test_cuts_change_nothing():
 
 def test_special_tokens_are_text():
     assert bpe.codec(*ARGS).decode(bpe.codec(*ARGS).encode("<|endoftext|>")) == b"<|endoftext|>"
+
+
+def test_long_runs():
+    for space in (" ", "\n", "\t \n", "\u2003", "\x1c"):
+        for n in (255, 256, 257, 700):
+            run = (space * n)[:n]
+            for text in (run, f"a{run}", f"{run}b", f"a{run}b c", f"a {run} !{run}1"):
+                assert bpe.codec(*ARGS).encode(text) == brute(text), (space, n)
+    for text in (" " * 1_000_000 + "x", "x" * 300_000, "!" * 300_000, "7" * 300_000, "\n " * 200_000):
+        own = bpe.codec(*ARGS)
+        assert own.decode(own.encode(text)) == text.encode()
