@@ -88,6 +88,7 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 def as_mail(messages: DataFrame) -> DataFrame:
     """The table as mail: a reply holds its own text, the previous turn's as a quotation and, nested, the one before."""
+    messages = messages.select("conv_id", "turn", "role", "text")
     ids = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     before = [ids.select("conv_id", (F.col("turn") + k).alias("turn"), quoted(F.col("text"), k).alias(f"q{k}")) for k in (1, 2)]
     joined = messages.join(before[0], ["conv_id", "turn"], "left").join(before[1], ["conv_id", "turn"], "left")
