@@ -20,8 +20,19 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are longer than the rows that is meant for.
+BATCH_ROWS, _CONF = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package where it is missing, and keeps Arrow's batches of texts small unless the session sets their size."""
     ship(spark)
+    if spark.conf.get(_CONF) == "10000":
+        spark.conf.set(_CONF, BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

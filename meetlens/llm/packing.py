@@ -30,7 +30,7 @@ from meetlens.llm.common import columns, hold, materialise, slices
 
 WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 2, 2_000_000, 1 << 15, 12, 1.2, 0.75
 #: Units that a worker remembers.
-CACHE = 300_000
+CACHE = 250_000
 
 
 class WordEncoder:
@@ -143,7 +143,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
         enc = encoder(tokenizer)
         kind = _kind(max(enc.size, end_id + 1))
         end = np.array([end_id], kind).tobytes()
-        for batch in slices(batches, 1536):
+        for batch in slices(batches, 2000):
             found = enc.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(kind).tobytes() + end for x in found], pa.binary())], ["doc_id", "ids"])
 
