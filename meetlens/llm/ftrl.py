@@ -92,8 +92,8 @@ def fit(sampled: DataFrame, features: Callable[[str | None], np.ndarray], settin
     return train([(np.frombuffer(r.at, "<u4"), r.label) for r in found], settings)
 
 
-def score(docs: DataFrame, model: Model, features: Callable[[str | None], np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id), then score double: the sigmoid of a sparse dot product, for every row."""
+def score(docs: DataFrame, model: Model, features: Callable[[str | None], np.ndarray], keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The kept columns (doc_id), then score double (under a prefix, if given): the sigmoid of a sparse dot product, for every row."""
     shared, kept = docs.sparkSession.sparkContext.broadcast(model), keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +101,10 @@ def score(docs: DataFrame, model: Model, features: Callable[[str | None], np.nda
         w = model.dense()
         for batch in slices(batches):
             found = [float(sigmoid(model.bias + w[features(t)].sum(dtype=np.float64))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.float64())], [*kept, f"{prefix}score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{schema}, `{prefix}score` double")
 
 
 _HASHES: dict[bytes, int] = {}

@@ -223,8 +223,8 @@ def fit(docs: DataFrame, learn_from: Column, rows: int = TRAIN_ROWS, words_of_ro
     return train([x for x, _, _ in own], np.array([p for _, p, _ in own]), np.array([k for _, _, k in own]), languages)
 
 
-def label(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id), then lang_pred string, score double."""
+def label(docs: DataFrame, model: Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The kept columns (doc_id), then lang_pred string, score double; a prefix keeps these apart from kept columns."""
     shared, kept = docs.sparkSession.sparkContext.broadcast(model), keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def label(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         own = Reader(shared.value)
         for batch in slices(batches, 1024):
             found = own(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*kept, f"{prefix}lang_pred", f"{prefix}score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{schema}, `{prefix}lang_pred` string, `{prefix}score` double")

@@ -38,5 +38,5 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = ftrl
     return ftrl.fit(ftrl.sample(docs, labels, "quality", learn_from, rows), features, SETTINGS)
 
 
-def score(docs: DataFrame, model: ftrl.Model, keep: list[str] | None = None) -> DataFrame:
-    return ftrl.score(docs, model, features, keep)
+def score(docs: DataFrame, model: ftrl.Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    return ftrl.score(docs, model, features, keep, prefix)

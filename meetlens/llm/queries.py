@@ -62,7 +62,7 @@ def op7_random_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no recordings, so each embedding is played as one; queries are those whose id is divisible by 50."""
-    media = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    media = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     prints = materialise(chroma.fingerprints(media, chroma.melody, 4000, "embedding"), "fingerprints")
     return chroma.align(prints, F.coalesce(F.col("id") % 50 == 0, F.lit(False))).withColumnRenamed("id", "vec_id")
 

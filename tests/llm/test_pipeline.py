@@ -24,11 +24,12 @@ def test_stages_by_brute_force(spark, sf):
 
 
 def test_awkward_rows(spark, awkward, tmp_path):
-    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = awkward.withColumnsRenamed({"label": "lang_pred", "block": "kept_id"})  # beside score: names that stages use
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for own in (docs, docs.limit(0)):
         now = own
         for name, stage in P.STAGES:
+            assert now.columns == docs.columns
             now = P.materialise(stage(spark, now, str(tmp_path)), name)
         kept = [r.doc_id for r in now.select("doc_id").distinct().collect()]
         assert set(kept) <= {1, None, 6, 7, 9, 10} and (1 in kept or own is not docs)
