@@ -28,3 +28,5 @@ _stream("streaming_latest_flag", "SELECT user_id, max(ts) AS ts, arg_max(event_t
 _stream("streaming_gravest", "SELECT user_id, max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END)::BIGINT AS severity FROM events GROUP BY 1", lambda df: S.gravest(df.withColumn("severity", F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)), ["user_id"], "severity"), "complete")
 _stream("streaming_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR > ts THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
 x AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM k GROUP BY user_id, n) SELECT * FROM x WHERE "end" <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", lambda df: S.sessions(df, ["user_id"], "ts", "6 hours"), "append")
+_stream("streaming_recent_windows", """WITH w AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP - INTERVAL (k) DAY AS start, value FROM events, (VALUES (0), (1)) AS s(k))
+SELECT user_id, start, count(*) AS races, max(value) AS best FROM w WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""", lambda df: S.recent_windows(df, ["user_id"], "ts", "value", 2, "1 day"), "append")
