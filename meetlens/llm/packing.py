@@ -159,13 +159,15 @@ def statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, df, docs, total = _kind(size), np.zeros(size, np.int64), 0, 0
-        seen = np.zeros(size, bool)
+        first, order = np.zeros(size, np.int64), np.arange(1 << 16)
         for batch in slices(batches):
             for (raw,) in zip(*columns(batch, "ids")):
                 ids = np.frombuffer(raw, kind)
-                seen[ids] = True
-                df += seen
-                seen[ids] = False
+                if len(ids) > len(order):
+                    order = np.arange(2 * len(ids))
+                at = order[: len(ids)]
+                first[ids] = at
+                df[ids[first[ids] == at]] += 1  # each id once: where it was written last
                 docs, total = docs + 1, total + len(ids)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(df[used], [docs, total]))], ["term", "n"])
