@@ -2,9 +2,9 @@
 
 Frames of a recording's spectrum are folded into twelve pitch classes, smoothed and normalised. Sixteen filters compare
 rectangles of the pitch-class image by its integral image; each result becomes two bits by three thresholds (Gray code; they
-are fixed, the quartiles over seeded random melodies), so a frame gives a 32-bit integer. Two recordings are aligned by the offset at which most of their integers are equal; they link
-if that offset has VOTES equal integers or more, OVERLAP frames in common or more, and a share of differing bits there of
-ERROR or less.
+are fixed, the quartiles over seeded random melodies), so a frame gives a 32-bit integer. Two recordings are aligned by
+histograms of the offsets between equal integers; they link if an offset has VOTES equal integers or more, OVERLAP frames in
+common or more, and a share of differing bits there of ERROR or less.
 
 Recordings with equal fingerprints form a class, and classes are aligned, not copies. Queries are the classes with a member
 that meets a condition; they are searched against all classes through the integers.
@@ -28,6 +28,8 @@ from meetlens.llm.common import materialise, slices
 
 FRAME, HOP, LOWEST, HIGHEST, WIDTH = 1024, 256, 60.0, 1760.0, 16
 VOTES, OVERLAP, ERROR = 2, 16, 0.3
+#: Queries of a block of the inverted index, and the parts that the postings of one integer are dealt into.
+BLOCK, SALT = 4096, 8
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -115,45 +117,114 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return last - first, float(np.bitwise_count(a[first:last] ^ b[first - offset : last - offset]).sum()) / (32 * (last - first))
 
 
+def matches(asking: np.ndarray, other: np.ndarray, offsets: list[int]) -> tuple[int, float] | None:
+    """Of these offsets the one with the fewest differing bits (then the nearest, then the smaller), if it passes."""
+    best = None
+    for offset in offsets:
+        overlap, error = bit_error(asking, other, offset)
+        if overlap >= OVERLAP and error <= ERROR:
+            best = min(best or (error, abs(offset), offset), (error, abs(offset), offset))
+    return (best[2], best[0]) if best else None
+
+
+def postings(prints: DataFrame, kind: str) -> DataFrame:
+    """class_id, code, at: every integer of every fingerprint (class_id, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            found = [np.frombuffer(x, "<u4") for x in batch.column("fp").to_pylist()]
+            sizes = [len(x) for x in found]
+            if sizes:
+                at = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
+                ids = pa.array(np.repeat(batch.column("class_id").to_numpy(), sizes))
+                codes = pa.array(np.concatenate(found).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, codes, pa.array(at)], ["class_id", "code", "at"])
+
+    return prints.select("class_id", "fp").mapInArrow(run, f"class_id {kind}, code long, at int")
+
+
+def votes(classes: DataFrame, kind: str) -> DataFrame:
+    """class_id, block, found (array of q, offset): where a class has VOTES equal integers or more with a query.
+
+    The queries' inverted index has a row per integer and block of queries, with the postings packed in it, so a class's
+    integer meets rows in proportion to the blocks and not to the queries that hold it. All rows of a class and a block meet
+    in one place, where the histogram of offsets is made; it holds BLOCK queries at most.
+    """
+    asking = classes.where("asks")
+    blocks = max(1, -(-asking.count() // BLOCK))
+    index = postings(asking, kind).withColumn("block", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int"))
+    index = index.groupBy("code", "block").agg(F.collect_list("class_id").alias("qs"), F.collect_list("at").alias("q_ats"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = postings(classes, kind).withColumn("salt", F.pmod(F.xxhash64("class_id", "at"), F.lit(SALT)).cast("int"))
+    met = own.join(index, ["code", "salt"]).select("class_id", "block", "at", "qs", "q_ats")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, id_type = None, [], pa.int64()
+
+        def histogram() -> tuple:
+            qs = np.concatenate([x[0] for x in held])
+            offsets = np.concatenate([x[2] - x[1] for x in held])
+            order = np.lexsort((offsets, qs))
+            qs, offsets = qs[order], offsets[order]
+            first = np.flatnonzero(np.append(True, (qs[1:] != qs[:-1]) | (offsets[1:] != offsets[:-1])))
+            often = first[np.diff(np.append(first, len(qs))) >= VOTES]
+            return now[0], [{"q": q, "offset": o} for q, o in zip(qs[often].tolist(), offsets[often].tolist())]
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (id_type, pa.list_(pa.struct([("q", id_type), ("offset", pa.int32())])))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["class_id", "found"])
+
+        for batch in slices(batches, 2048):
+            id_type, out = batch.schema.field("class_id").type, []
+            keys = zip(batch.column("class_id").to_pylist(), batch.column("block").to_pylist())
+            for key, at, qs, q_ats in zip(keys, batch.column("at").to_pylist(), batch.column("qs"), batch.column("q_ats")):
+                if key != now and held:
+                    out.append(histogram())
+                    held = []
+                now = key
+                held.append((qs.values.to_numpy(), q_ats.values.to_numpy(), at))
+            if out:
+                yield rows(out)
+        if held:
+            yield rows([histogram()])
+
+    dealt = met.repartition("class_id", "block").sortWithinPartitions("class_id", "block")
+    return dealt.mapInArrow(run, f"class_id {kind}, found array<struct<q:{kind},offset:int>>")
+
+
 def align(prints: DataFrame, is_query: Column) -> DataFrame:
     """A row per recording: id, frames, fp_crc32, class_id, n_links, best_id, best_offset, best_error.
 
     n_links: query classes other than its own that link to its class; best: the one with the fewest differing bits (of
-    equal ones the smaller id), and by how many frames it starts later.
+    equal ones the smaller id), and by how many frames it starts later. Every offset with VOTES equal integers is verified.
     """
     kind = prints.schema["id"].dataType.simpleString()
-    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.max(is_query).alias("asks")), "classes").where("class_id IS NOT NULL AND length(fp) > 0")
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            prints = [np.frombuffer(x, "<u4") for x in batch.column("fp").to_pylist()]
-            sizes = [len(x) for x in prints]
-            if sizes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("class_id").to_numpy(), sizes)), pa.array(np.concatenate(prints).astype(np.int64)), pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int32))], ["class_id", "code", "at"])
-
-    schema = f"class_id {kind}, code long, at int"
-    asked = classes.where("asks").select("class_id", "fp").mapInArrow(postings, schema).withColumnsRenamed({"class_id": "q", "at": "q_at"})
-    votes = asked.join(classes.select("class_id", "fp").mapInArrow(postings, schema), "code").where("q <> class_id")
-    votes = votes.groupBy("q", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= VOTES)
-    best = votes.groupBy("q", "class_id").agg(F.max(F.struct("n", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("o"))).alias("x")).select("q", "class_id", (-F.col("x.o")).alias("offset"))
-    pairs = best.join(classes.select("class_id", F.col("fp").alias("r_fp")), "class_id").join(classes.select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp")), "q")
+    named = prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.max(is_query).alias("asks"))
+    named = materialise(named, "classes")
+    classes = named.where("class_id IS NOT NULL AND length(fp) > 0")
+    pairs = votes(classes, kind).select("class_id", F.explode("found").alias("x")).where("x.q <> class_id")
+    pairs = pairs.groupBy("class_id", F.col("x.q").alias("q")).agg(F.sort_array(F.collect_list("x.offset")).alias("offsets"))
+    pairs = pairs.join(classes.select("class_id", F.col("fp").alias("r_fp")), "class_id")
+    pairs = pairs.join(classes.where("asks").select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp")), "q")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             out = []
-            for q, r, offset, a, b in zip(*(batch.column(c).to_pylist() for c in ("q", "class_id", "offset", "r_fp", "q_fp"))):
-                overlap, error = bit_error(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), offset)
-                if overlap >= OVERLAP and error <= ERROR:
-                    out.append((q, r, offset, error))
+            for q, r, offsets, a, b in zip(*(batch.column(c).to_pylist() for c in ("q", "class_id", "offsets", "r_fp", "q_fp"))):
+                if good := matches(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), offsets):
+                    out.append((q, r, *good))
             if out:
                 id_type = batch.schema.field("q").type
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (id_type, id_type, pa.int32(), pa.float64()))], ["q", "class_id", "offset", "error"])
+                kinds = (id_type, id_type, pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["q", "class_id", "offset", "error"])
 
     linked = pairs.mapInArrow(verified, f"q {kind}, class_id {kind}, offset int, error double")
     linked = linked.groupBy("class_id").agg(F.count("*").alias("n"), F.min(F.struct("error", "q", "offset")).alias("x"))
-    named = materialise(prints.groupBy("fp").agg(F.min("id").alias("class_id")).join(linked, "class_id", "left"), "linked")
-    size = F.length("fp") / 4
-    return prints.join(named, "fp").select("id", size.cast("int").alias("frames"), F.crc32("fp").alias("fp_crc32"), "class_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.col("x.q").alias("best_id"), F.col("x.offset").alias("best_offset"), F.round("x.error", 6).alias("best_error"))
+    named = materialise(named.select("fp", "class_id").join(linked, "class_id", "left"), "linked")
+    best = [F.col("x.q").alias("best_id"), F.col("x.offset").alias("best_offset"), F.round("x.error", 6).alias("best_error")]
+    size = (F.length("fp") / 4).cast("int").alias("frames")
+    found = prints.join(named, "fp")
+    return found.select("id", size, F.crc32("fp").alias("fp_crc32"), "class_id", F.coalesce("n", F.lit(0)).alias("n_links"), *best)
 
 
 def melody(vector: list | None, rate: int = 4000, seconds: float = 0.125) -> np.ndarray | None:
