@@ -3,13 +3,15 @@
 Trees are fitted on a bounded sample (SAMPLE rows, by the hash of the id): each node splits at the median of the projections
 on the line between two sample points. Every row is indexed, in one leaf per tree. Vectors of unequal length are lifted by one
 coordinate, so that the largest inner product is the nearest point. A query pops leaves from one priority queue over all
-trees, by the least margin on the way to a leaf, until the leaves popped hold SHARE times as many rows as there are. Each
-leaf meets its queries in blocks of bounded size; the leaf's best candidates are rescored in double precision on the original
-vectors, and a query's lists are merged. SHARE sets recall: vectors without any structure (random directions in 64
-dimensions) need about as many leaf rows as there are rows for a recall over 0.9; clustered vectors need few.
+trees, by the least margin on the way to a leaf, until the leaves popped hold SHARE times as many rows as there are, and
+enough for TOP candidates. Each leaf meets its queries in blocks of bounded size; the leaf's best candidates, with all that
+tie with the last of them, are rescored in double precision on the original vectors, and a query's lists are merged. SHARE
+sets recall: vectors without any structure (random directions in 64 dimensions) need about as many leaf rows as there are
+rows for a recall over 0.9; clustered vectors need few (a test holds 0.9 at a share of 0.2).
 
-Of equal vectors only the TOP + 1 smallest ids are indexed, since no query can return more; that is exact and bounds what a
-very common vector costs.
+The broadcast forest is bounded: a tree has 2**DEPTHS[1] leaves at most (32 MB of planes in 64 dimensions, at any number of
+rows), and only the planes on the way to a leaf are computed. Of equal vectors only the TOP + 1 smallest ids are indexed,
+since no query can return more; that is exact and bounds what a very common vector costs.
 
 Defined cases: vectors that are null, empty, zero, of another length than the most common one (of two, the longer), or hold
 null or non-finite components take no part, nor do rows with a null id; of rows with one id the smallest vector counts, and
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from meetlens.llm.common import materialise
 
-TOP, TREES, DEPTH, SAMPLE, LEAF, BLOCK, SHARE, LEAST = 20, 6, 6, 16384, 4096, 4096, 1.6, 16
+TOP, TREES, SAMPLE, LEAF, BLOCK, SHARE = 20, 6, 16384, 4096, 4096, 1.6
+#: Least and most levels of a tree.
+DEPTHS = 6, 13
 
 
 @dataclass
@@ -43,26 +47,25 @@ class Forest:
     depth: int
     reach: float  # length of the longest vector
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        """Rows x trees x nodes: signed distance from each node's plane; positive is right."""
-        trees, nodes, d = self.normals.shape
-        return (x @ self.normals.reshape(-1, d).T).reshape(len(x), trees, nodes) - self.offsets
-
     def lifted(self, v: np.ndarray) -> np.ndarray:
         return np.column_stack([v, np.sqrt(np.maximum(0, self.reach**2 - (v * v).sum(1)))])
 
     def leaves(self, v: np.ndarray) -> np.ndarray:
-        """The leaf of each row in each tree, numbered over the forest."""
-        m, trees = self.margins(self.lifted(v)), self.normals.shape[0]
-        at = np.zeros((len(v), trees), np.int64)
-        for _ in range(self.depth):
-            at = 2 * at + 1 + (np.take_along_axis(m, at[:, :, None], 2)[:, :, 0] > 0)
-        return at - self.normals.shape[1] + np.arange(trees) * (self.normals.shape[1] + 1)
+        """The leaf of each row in each tree, numbered over the forest; only the nodes on its way are looked at."""
+        x, (trees, nodes) = self.lifted(v), self.offsets.shape
+        out = np.empty((len(v), trees), np.int64)
+        for t in range(trees):
+            at = np.zeros(len(v), np.int64)
+            for _ in range(self.depth):
+                right = np.einsum("nd,nd->n", x, self.normals[t, at]) > self.offsets[t, at]
+                at = 2 * at + 1 + right
+            out[:, t] = at - nodes + t * (nodes + 1)
+        return out
 
     def visits(self, v: np.ndarray, sizes: list[int], wanted: float) -> Iterator[list[int]]:
         """For each query the leaves that it pops from one queue over all trees, until they hold `wanted` rows."""
-        trees, nodes = self.normals.shape[:2]
-        for m in self.margins(np.column_stack([v, np.zeros(len(v))])).tolist():
+        trees, nodes = self.offsets.shape
+        for x in np.column_stack([v, np.zeros(len(v))]):
             queue, found, held = [(-math.inf, t, 0) for t in range(trees)], [], 0
             while queue and held < wanted:
                 p, t, at = heapq.heappop(queue)
@@ -72,7 +75,7 @@ class Forest:
                         found.append(leaf)
                         held += sizes[leaf]
                     continue
-                side = m[t][at]
+                side = float(self.normals[t, at] @ x) - self.offsets[t, at]
                 heapq.heappush(queue, (max(p, side), t, 2 * at + 1))
                 heapq.heappush(queue, (max(p, -side), t, 2 * at + 2))
             yield found
@@ -125,7 +128,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     if not stat.n:
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    depth = max(DEPTH, math.ceil(math.log2(stat.n / LEAF)))
+    depth = min(DEPTHS[1], max(DEPTHS[0], math.ceil(math.log2(stat.n / LEAF))))
     forest = context.broadcast(grow(np.array([r.v for r in sample]), math.sqrt(stat.m), trees, depth))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     sizes = [count.get(k, 0) for k in range(trees * 2**depth)]
     blocks = [max(1, -(-n // BLOCK)) for n in sizes]
     queries = rows.where(is_query)
-    wanted = max(share * stat.n, trees * min(stat.n, LEAST * (top + 1)))  # few rows are all visited
+    wanted = max(share * stat.n, trees * (top + 1))  # a row is in one leaf a tree, so these hold top + 1 different rows
     parts = max(1, math.ceil(queries.count() * wanted / stat.n / trees / BLOCK))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,16 +163,16 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
         if asking.num_rows and members.num_rows:
             q, x = (_matrix(t.column("v").combine_chunks()) for t in (asking, members))
             qid, xid = (t.column("vec_id").to_numpy() for t in (asking, members))
-            order = np.argsort(xid, kind="stable")
-            x, xid, few = x[order], xid[order], min(len(xid), 2 * top + 2)
+            few = min(len(xid), 2 * top + 2)
+            slack = 1e-9 * max(1.0, float(np.abs(q).max() * np.abs(x).max() * x.shape[1]))  # what the order of a sum can change
             for k in range(0, len(q), 512):
                 near = q[k : k + 512] @ x.T
-                at = np.argpartition(-near, few - 1, axis=1)[:, :few] if few < len(xid) else np.tile(np.arange(few), (len(near), 1))
-                exact = (q[k : k + 512, None, :] * x[at]).sum(-1)
-                for i, (own, ids, scores) in enumerate(zip(qid[k : k + 512], xid[at], exact)):
-                    ids, scores = ids[ids != own], scores[ids != own]
-                    first = np.lexsort((ids, -scores))[:top]
-                    out.append((own, ids[first].tolist(), scores[first].tolist()))
+                least = np.partition(near, len(xid) - few, axis=1)[:, len(xid) - few] - slack
+                for own, mine, row, bound in zip(qid[k : k + 512], q[k : k + 512], near, least):
+                    at = np.flatnonzero((row >= bound) & (xid != own))
+                    scores = (mine * x[at]).sum(-1)
+                    first = np.lexsort((xid[at], -scores))[:top]
+                    out.append((own, xid[at][first].tolist(), scores[first].tolist()))
         id_type = asking.schema.field("vec_id").type
         return pa.table([pa.array([o[0] for o in out], id_type), pa.array([o[1] for o in out], pa.list_(id_type)), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 

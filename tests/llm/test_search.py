@@ -53,6 +53,43 @@ def test_many_copies(spark):
     assert found == brute(rows, 20, lambda i: i % 20 == 0)
 
 
+def recall(spark, x, query, **settings):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % query == 0, **settings).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(dict(enumerate(x)), 20, lambda i: i % query == 0)
+    assert found.keys() == want.keys()
+    return np.mean([len(found[q] & {i for i, _ in want[q]}) / 20 for q in want])
+
+
+def test_recall_on_many_rows(spark):
+    """Over 10,000 rows: random directions with the query's own share, and clusters with an eighth of it."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(12_000, 64))
+    assert recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True), 200) >= 0.9
+    centres = rng.normal(size=(300, 64))
+    assert recall(spark, centres[rng.integers(0, 300, 12_000)] + rng.normal(0, 0.15, (12_000, 64)), 200, share=0.2) >= 0.9
+
+
+def test_ties_beyond_any_margin(spark):
+    """Thousands of different vectors with one score: the smallest ids come first, whatever leaf they are in."""
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(i % 3 != 1), *rng.integers(1, 1000, 3).tolist()]) for i in range(1, 9000)]
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), *((i, [float(x) for x in v]) for i, v in rows)], "vec_id long, embedding array<double>")
+    found = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0, share=10).collect())
+    assert found == [(k, i, 1.0) for k, i in enumerate([i for i, v in rows if v[0]][:20], 1)]
+
+
+def test_depth_is_bounded():
+    """A million nodes would be broadcast at 10^9 rows without the bound."""
+    sample = np.random.default_rng(0).normal(size=(500, 64))
+    forest = ann.grow(sample, 10.0, ann.TREES, ann.DEPTHS[1])
+    assert forest.normals.nbytes + forest.offsets.nbytes < 32 << 20
+    own = forest.leaves(sample)
+    assert own.shape == (500, ann.TREES) and (own // 2 ** ann.DEPTHS[1] == np.arange(ann.TREES)).all()
+
+
 # Chroma
 
 
@@ -74,17 +111,29 @@ def test_alignment(spark):
 
 
 def _linked(a, b):
-    """Offsets by brute force."""
+    """Every offset, by brute force."""
     votes = {}
     for i, x in enumerate(a):
         for j in np.flatnonzero(b == x):
             votes[i - int(j)] = votes.get(i - int(j), 0) + 1
-    votes = {k: n for k, n in votes.items() if n >= chroma.VOTES}
-    if not votes:
-        return False
-    best = max(votes, key=lambda o: (votes[o], -abs(o), -o))
-    overlap, error = chroma.bit_error(a, b, best)
-    return overlap >= chroma.OVERLAP and error <= chroma.ERROR
+    found = [chroma.bit_error(a, b, o) for o, n in votes.items() if n >= chroma.VOTES]
+    return any(overlap >= chroma.OVERLAP and error <= chroma.ERROR for overlap, error in found)
+
+
+def test_near_copies_and_a_very_long_recording(spark, monkeypatch):
+    """A group of near copies, several blocks of queries, and a recording of 40 tunes: the links of all pairs at all offsets."""
+    monkeypatch.setattr(chroma, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 0.15, 64)
+    tunes = [base + rng.normal(0, 0.02, 64) for _ in range(30)] + [rng.normal(0, 0.15, 64) for _ in range(20)]
+    tunes.append(np.concatenate([*tunes[30:], *tunes[30:], tunes[0]]))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(tunes)], "id long, v array<double>")
+    prints = chroma.fingerprints(df, chroma.melody, 4000, "v")
+    own = {r.id: np.frombuffer(r.fp, "<u4") for r in prints.collect()}
+    found = {r.id: r for r in chroma.align(prints, F.col("id") % 5 == 0).collect()}
+    want = {a: [b for b in own if b % 5 == 0 and b != a and _linked(own[a], own[b])] for a in own}
+    assert {a: r.n_links for a, r in found.items()} == {a: len(x) for a, x in want.items()}
+    assert all(found[a].best_id in want[a] for a in own if want[a]) and max(map(len, want.values())) >= 5 and len(want[50]) >= 4
 
 
 # Quotations
