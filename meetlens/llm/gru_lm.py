@@ -1,18 +1,21 @@
 """Gated recurrent language model with a class-factored softmax, for log-likelihoods of complete documents.
 
-A text is its words (A-Z lower-cased, split at ASCII white space) and one end token. A token's probability is
-P(class | what came before) x P(word | class): a gated recurrent network over the classes gives the first, counts over all
-training documents the second. Words that training lacks are one class with one member, as in the add-one base score.
-Classes are the end, the unknown word, the TOP most frequent words, and, of the others, those of one band of counts and one
-group of word endings.
+A text is its words (A-Z lower-cased, split at ASCII white space) and one end token. A token is read as a unit: the end, the
+unknown word, each of the CLUSTERS * SIZE most frequent words, and, for all rarer words, the band of counts and the group of
+word endings that they are in. P(token | what came before) = P(class | state) x P(word | class, state): the state of a gated
+recurrent network over the units gives a softmax over the classes and, inside a class of frequent words (SIZE neighbours in
+frequency), a softmax over its words. A class of rare words is one unit; inside it a word has the share of its count, since
+a softmax over all rare words would need weights in proportion to the vocabulary. Words that training lacks are one class
+with one member, as in the add-one base score.
 
 Four steps. Workers turn runs of documents (a block: BLOCK bytes of text at most) into local word numbers and one
 dictionary a block, written to the shared folder. One shuffle by word sums the dictionaries' training counts, so a word costs a
 row per block and never a row per occurrence. Each block meets its counts again, and its documents become base scores,
-in-class scores and a byte per token, its class. The network is trained from these by truncated backpropagation in numpy:
-every partition trains a copy on a fixed share of its training documents (SHARE, by hash, so training grows with the input),
-copies are averaged in two levels, in ROUNDS rounds. A training token's target is the class it would have were it not counted
-itself, so that the unknown class gets the rate at which words are new. Scoring carries the state across windows of a document.
+in-class shares and two bytes per token, its unit. The network is trained on every training document by truncated
+backpropagation in numpy: every partition trains a copy, with one optimiser's state, and copies are averaged in two levels, in
+ROUNDS rounds that take different documents. A training token's target is the unit it would have were it not counted itself,
+so that the unknown class gets the rate at which words are new. Scoring carries the state across windows of a document.
+Counts do not depend on how the rows are dealt; weights do, as far as the average of copies does.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored alike; a null id counts as empty text for
 the fold; with no training documents every word is unknown and N is 0; an empty table gives no rows; extra columns are ignored.
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 
 from meetlens.llm.common import ascii_words, materialise, slices
 
-BLOCK, TOP, BANDS, GROUPS = 24 << 20, 46, (1, 2, 4, 32), 20
-END, UNKNOWN, FIRST = 0, 1, 2
-CLASSES = FIRST + TOP + len(BANDS) * GROUPS
-EMBED, HIDDEN, SPAN, LANES, SHARE, ROUNDS, RATE = 16, 16, 32, 512, 0.25, 2, 0.01
+BLOCK, CLUSTERS, SIZE, BANDS, GROUPS = 24 << 20, 32, 64, (1, 2, 4, 16, 256), 12
+END, UNKNOWN, FIRST, TOP = 0, 1, 2, CLUSTERS * SIZE
+UNITS, CLASSES = FIRST + TOP + len(BANDS) * GROUPS, FIRST + CLUSTERS + len(BANDS) * GROUPS
+#: Marks a unit whose word would be in the band below, were this token not counted.
+EDGE = 1 << 15
+EMBED, HIDDEN, SPAN, LANES, ROUNDS, RATE, TOKENS = 16, 16, 32, 512, 2, 0.02, 4_000_000
 
 
 def group_of(word: bytes) -> int:
@@ -45,12 +50,24 @@ def group_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % GROUPS
 
 
-def band_class(counts: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Classes of words that are not among the most frequent."""
+def rare_unit(counts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Units of words that are not among the most frequent."""
     band = np.searchsorted(BANDS, counts, side="right") - 1
     return np.where(band < 0, UNKNOWN, FIRST + TOP + band * GROUPS + groups)
 
 
+def class_of(units: np.ndarray) -> np.ndarray:
+    units = np.asarray(units, np.int32)
+    return np.where(units < FIRST, units, np.where(units < FIRST + TOP, FIRST + (units - FIRST) // SIZE, units - TOP + CLUSTERS))
+
+
+def targets_of(codes: np.ndarray) -> np.ndarray:
+    """The unit of each token, were it not counted itself; codes: units, with EDGE where that is another one."""
+    units = (codes & (EDGE - 1)).astype(np.int32)
+    below = np.where(units < FIRST + TOP + GROUPS, UNKNOWN, units - GROUPS)
+    return np.where(codes & EDGE, below, units)
+
+
 # Blocks
 
 
@@ -115,8 +132,8 @@ class Counts:
     v: int
     ends: int
     top: list[tuple[int, int]] = field(default_factory=list)  # count and number of the most frequent words
-    in_class: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
-    targets: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
+    in_unit: np.ndarray = field(default_factory=lambda: np.zeros(UNITS))
+    targets: np.ndarray = field(default_factory=lambda: np.zeros(UNITS))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -126,67 +143,73 @@ def counted(rows: DataFrame) -> DataFrame:
     return entries.select("block", "pos", "word", "grp", F.sum("n").over(word).alias("c"), (F.col("block") == F.min("block").over(word)).alias("is_first"))
 
 
-def totals(entries: DataFrame, training_docs: int) -> tuple[Counts, dict[str, int]]:
-    """The totals, and the most frequent words' classes."""
+def totals(entries: DataFrame, training_docs: int) -> tuple[Counts, list[tuple[str, int]]]:
+    """The totals, and the most frequent words' units."""
     known = entries.where("is_first AND c > 0")
     limit = BANDS[-1] + 2
     found = known.groupBy(F.least("c", F.lit(limit)).alias("k"), "grp").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     top = known.select("word", "c", "grp").orderBy(F.desc("c"), "word").limit(TOP).collect()
     ends = training_docs
     out = Counts(sum(r.c for r in found) + ends, sum(r.v for r in found) + (ends > 0), ends)
-    out.in_class[END] = out.targets[END] = ends
+    out.in_unit[END] = out.targets[END] = ends
     for sign, rows in ((1, [(r.k, r.grp, r.c) for r in found]), (-1, [(min(r.c, limit), r.grp, r.c) for r in top])):
         k, g, c = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), ())))
-        np.add.at(out.in_class, band_class(k, g), sign * c)
-        np.add.at(out.targets, band_class(k - 1, g), sign * c)
+        np.add.at(out.in_unit, rare_unit(k, g), sign * c)
+        np.add.at(out.targets, rare_unit(k - 1, g), sign * c)
     for i, r in enumerate(top):
-        out.in_class[FIRST + i] = out.targets[FIRST + i] = r.c
-    out.in_class[UNKNOWN] = 1
-    return out, {r.word: FIRST + i for i, r in enumerate(top)}
+        out.in_unit[FIRST + i] = out.targets[FIRST + i] = r.c
+    out.in_unit[UNKNOWN] = 1
+    return out, [(r.word, FIRST + i) for i, r in enumerate(top)]
 
 
-def coded(rows: DataFrame, entries: DataFrame, counts: Counts, top: dict[str, int], share: float) -> DataFrame:
-    """A row per document: n_tokens, n_known, base_score, in_class, classes (a byte a token), targets (those of training)."""
+def coded(rows: DataFrame, entries: DataFrame, counts: Counts, top: list[tuple[str, int]]) -> DataFrame:
+    """A row per document: n_tokens, n_known, base_score, in_unit (log10 of the shares in rare classes), codes (two bytes a token)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    marks = [F.when(F.col("word") == F.lit(w), F.lit(k)) for w, k in top.items()]
-    own = entries.select("block", "pos", "grp", "c", (F.coalesce(*marks) if marks else F.lit(None).cast("int")).alias("top"))
+    frequent = F.broadcast(rows.sparkSession.createDataFrame(top, "word string, top int"))  # TOP rows at most
+    own = entries.join(frequent, "word", "left").select("block", "pos", "grp", "c", "top")
     base = math.log10(counts.n + counts.v + 1)
-    in_class = np.log10(np.maximum(counts.in_class, 1e-300))
-    ends, limit = counts.ends, int(share * 2**32)
+    in_unit = np.log10(np.maximum(counts.in_unit, 1e-300))
+    ends = counts.ends
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         n = words.num_rows
         pos = words.column("pos").to_numpy()
-        c, grp, cls = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
-        c[pos], grp[pos], cls[pos] = words.column("c").to_numpy(), words.column("grp").to_numpy(), words.column("top").fill_null(-1).to_numpy()
-        often = cls >= 0
-        scored, target = np.where(often, cls, band_class(c, grp)).astype(np.uint8), np.where(often, cls, band_class(c - 1, grp)).astype(np.uint8)
+        c, grp, unit = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+        c[pos], grp[pos], unit[pos] = words.column("c").to_numpy(), words.column("grp").to_numpy(), words.column("top").fill_null(-1).to_numpy()
+        often = unit >= 0
+        unit = np.where(often, unit, rare_unit(c, grp))
+        code = (unit | np.where(~often & np.isin(c, BANDS), EDGE, 0)).astype("<u2")
         base_of = np.log10(c + 1.0) - base
-        own_of = np.where(c > 0, np.log10(np.maximum(c, 1)) - in_class[scored], 0.0)
-        out, end = [], bytes([END])
-        for raw, held, doc_id in zip(*(docs.column(k).to_pylist() for k in ("ids", "held_out", "doc_id"))):
+        own_of = np.where((c > 0) & ~often, np.log10(np.maximum(c, 1)) - in_unit[unit], 0.0)
+        out, end = [], np.array([END], "<u2").tobytes()
+        for raw in docs.column("ids").to_pylist():
             ids = np.frombuffer(raw, np.int32)
-            learns = not held and zlib.crc32(b"%r" % doc_id + raw[:64]) < limit
-            out.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), float(base_of[ids].sum()) + math.log10(ends + 1) - base, float(own_of[ids].sum()), scored[ids].tobytes() + end, target[ids].tobytes() + end if learns else None))
-        made = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()))]
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "in_class", "classes", "targets"])
+            known = int((c[ids] > 0).sum()) + (ends > 0)
+            out.append((len(ids) + 1, known, float(base_of[ids].sum()) + math.log10(ends + 1) - base, float(own_of[ids].sum()), code[ids].tobytes() + end))
+        made = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "in_unit", "codes"])
 
     texts = rows.where("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids")
-    return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, in_class double, classes binary, targets binary")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, in_unit double, codes binary"
+    return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, schema)
 
 
 # Network
 
 
 def initial(targets: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """The output bias starts at the classes' shares, so an untrained network is a class unigram model."""
+    """Output biases start at the shares of classes and of words in them, so an untrained network is a unigram model."""
     rng = np.random.default_rng(seed)
-    w = {"E": rng.normal(0, 0.3, (CLASSES, EMBED)), "W": rng.normal(0, 0.3, (EMBED, 3 * HIDDEN)), "U": rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)), "b": np.zeros(3 * HIDDEN), "Y": rng.normal(0, 0.05, (HIDDEN, CLASSES)), "c": np.log((targets + 0.5) / (targets.sum() + 0.5 * CLASSES))}
-    return {k: v.astype(np.float32) for k, v in w.items()}
+    classes = np.bincount(class_of(np.arange(UNITS)), targets, CLASSES)
+    words = targets[FIRST : FIRST + TOP].reshape(CLUSTERS, SIZE)
+    w = {"E": rng.normal(0, 0.3, (UNITS, EMBED)), "W": rng.normal(0, 0.3, (EMBED, 3 * HIDDEN)), "U": rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)), "b": np.zeros(3 * HIDDEN)}
+    w |= {"Y": rng.normal(0, 0.05, (HIDDEN, CLASSES)), "c": np.log((classes + 0.5) / (classes.sum() + 0.5 * CLASSES))}
+    w |= {"V": rng.normal(0, 0.05, (CLUSTERS, HIDDEN, SIZE)), "v": np.where(words > 0, np.log(np.maximum(words, 1) / np.maximum(words.sum(1, keepdims=True), 1)), -30.0)}
+    return {k: x.astype(np.float32) for k, x in w.items()}
 
 
 def lay(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents laid one after the other into lanes: classes, their documents (-1: nothing) and where one starts (time x lane)."""
+    """Documents laid one after the other into lanes: codes, their documents (-1: nothing) and where one starts (time x lane)."""
     heap = [(0, k) for k in range(lanes)]
     places = []
     for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
@@ -194,7 +217,7 @@ def lay(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.
         places.append((i, load, k))
         heapq.heappush(heap, (load + len(docs[i]), k))
     t = max(load for load, _ in heap)
-    x, doc, start = np.zeros((t, lanes), np.uint8), np.full((t, lanes), -1, np.int32), np.zeros((t, lanes), bool)
+    x, doc, start = np.zeros((t, lanes), np.uint16), np.full((t, lanes), -1, np.int32), np.zeros((t, lanes), bool)
     for i, at, k in places:
         x[at : at + len(docs[i]), k], doc[at : at + len(docs[i]), k], start[at, k] = docs[i], i, True
     return x, doc, start
@@ -218,8 +241,8 @@ def window(w: dict, table: np.ndarray, h: np.ndarray, before: np.ndarray, start:
 
 
 def previous(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The class before each position; the end class before a document's first."""
-    before = np.vstack([np.full((1, x.shape[1]), END, np.uint8), x[:-1]])
+    """The unit before each position; the end unit before a document's first."""
+    before = np.vstack([np.full((1, x.shape[1]), END, x.dtype), x[:-1] & (EDGE - 1)])
     before[start] = END
     return before
 
@@ -228,8 +251,20 @@ def lane_count(docs: list[np.ndarray], most: int) -> int:
     return max(1, min(most, sum(map(len, docs)) // max(map(len, docs))))
 
 
+def by_cluster(units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of units of frequent words: each class with them, where they are and their number in the class."""
+    at = np.flatnonzero((units >= FIRST) & (units < FIRST + TOP))
+    own, place = np.divmod(units[at] - FIRST, SIZE)
+    order = np.argsort(own, kind="stable")
+    bounds = np.searchsorted(own[order], np.arange(CLUSTERS + 1))
+    for k in range(CLUSTERS):
+        if bounds[k] < bounds[k + 1]:
+            part = order[bounds[k] : bounds[k + 1]]
+            yield k, at[part], place[part]
+
+
 def log10_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """Of each document's whole class sequence."""
+    """Of each document's whole sequence of units."""
     if not docs:
         return np.zeros(0)
     x, doc, start = lay(docs, lane_count(docs, LANES))
@@ -238,49 +273,80 @@ def log10_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
         at = slice(t, t + SPAN)
         used = np.flatnonzero((doc[at] >= 0).any(0))
         states, h[used] = window(w, table, h[used], before[at][:, used], start[at][:, used])
-        logits = states.reshape(-1, HIDDEN) @ w["Y"] + w["c"]
-        chosen = logits[np.arange(len(logits)), x[at][:, used].ravel()].astype(np.float64)
+        flat, units = states.reshape(-1, HIDDEN), (x[at][:, used].ravel() & (EDGE - 1)).astype(np.int32)
+        logits = flat @ w["Y"] + w["c"]
+        chosen = logits[np.arange(len(logits)), class_of(units)].astype(np.float64)
         np.exp(logits, out=logits)
-        out += np.bincount(doc[at][:, used].ravel() + 1, chosen - np.log(logits.sum(1, dtype=np.float64)), len(docs) + 1)
+        chosen -= np.log(logits.sum(1, dtype=np.float64))
+        for k, i, place in by_cluster(units):
+            inside = flat[i] @ w["V"][k] + w["v"][k]
+            own = inside[np.arange(len(i)), place].astype(np.float64)
+            np.exp(inside, out=inside)
+            chosen[i] += own - np.log(inside.sum(1, dtype=np.float64))
+        out += np.bincount(doc[at][:, used].ravel() + 1, chosen, len(docs) + 1)
     return out[1:] / math.log(10)
 
 
-def train(w: dict, docs: list[np.ndarray]) -> dict:
-    """One pass of truncated backpropagation: windows of SPAN steps, the state carried, no gradient across windows."""
-    total = sum(map(len, docs))
-    x, doc, start = lay(docs, min(lane_count(docs, 64), max(1, total // (SPAN * 200))))
-    before, w = previous(x, start), {k: v.copy() for k, v in w.items()}
-    m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    h, many = np.zeros((x.shape[1], HIDDEN), np.float32), -(-len(x) // SPAN)
-    for step in range(1, many + 1):
-        at = slice((step - 1) * SPAN, step * SPAN)
-        real = (doc[at] >= 0).ravel()
-        kept: list = []
-        states, h = window(w, w["E"] @ w["W"] + w["b"], h, before[at], start[at], kept)
-        flat = states.reshape(-1, HIDDEN)
+class Trainer:
+    """Truncated backpropagation with Adam; the optimiser's state goes on from one lot of documents to the next."""
+
+    def __init__(self, w: dict):
+        self.w, self.step = {k: x.copy() for k, x in w.items()}, 0
+        self.m1, self.m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+
+    def learn(self, docs: list[np.ndarray]) -> None:
+        """One pass: windows of SPAN steps, the state carried, no gradient across windows."""
+        total = sum(map(len, docs))
+        x, doc, start = lay(docs, min(lane_count(docs, LANES), max(1, total // (SPAN * 64))))
+        before, target, h = previous(x, start), targets_of(x), np.zeros((x.shape[1], HIDDEN), np.float32)
+        for t in range(0, len(x), SPAN):
+            at = slice(t, t + SPAN)
+            grad, h = self.gradient(h, before[at], target[at], doc[at] >= 0, start[at])
+            self.update(grad)
+
+    def update(self, grad: dict) -> None:
+        self.step += 1
+        rate = RATE / (1 + self.step / 300)
+        for k, g in grad.items():
+            m1, m2 = self.m1[k], self.m2[k]
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            self.w[k] -= np.float32(rate / (1 - 0.9**self.step)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99**self.step)) + np.float32(1e-6))
+
+    def gradient(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, real: np.ndarray, start: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Of the mean cross-entropy of a window's real positions, and the state after it."""
+        w, kept, each = self.w, [], np.float32(1 / max(real.sum(), 1))
+        states, after = window(w, w["E"] @ w["W"] + w["b"], h, before, start, kept)
+        flat, units = states.reshape(-1, HIDDEN), np.where(real, target, -1).ravel()
         p = flat @ w["Y"] + w["c"]
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), x[at].ravel()] -= 1
-        p *= (real / max(real.sum(), 1)).astype(np.float32)[:, None]
-        grad = {"Y": flat.T @ p, "c": p.sum(0)}
-        dstates = (p @ w["Y"].T).reshape(states.shape)
-        dtable, du, dh = np.zeros((CLASSES, 3 * HIDDEN), np.float32), np.zeros_like(w["U"]), np.zeros_like(h)
+        np.exp(p - p.max(1, keepdims=True), out=p)
+        p *= (real.ravel() * each)[:, None] / p.sum(1, keepdims=True)
+        p[np.arange(len(p)), class_of(np.maximum(units, 0))] -= real.ravel() * each
+        grad, dflat = {"Y": flat.T @ p, "c": p.sum(0), "V": np.zeros_like(w["V"]), "v": np.zeros_like(w["v"])}, p @ w["Y"].T
+        for k, i, place in by_cluster(units):
+            q = flat[i] @ w["V"][k] + w["v"][k]
+            np.exp(q - q.max(1, keepdims=True), out=q)
+            q *= each / q.sum(1, keepdims=True)
+            q[np.arange(len(i)), place] -= each
+            grad["V"][k], grad["v"][k] = flat[i].T @ q, q.sum(0)
+            dflat[i] += q @ w["V"][k].T
+        dstates, n = dflat.reshape(states.shape), 2 * HIDDEN
+        into, du, dh = np.empty((*before.shape, 3 * HIDDEN), np.float32), np.zeros_like(w["U"]), np.zeros_like(h)
         for t in range(len(kept) - 1, -1, -1):
             hp, r, z, c, bc = kept[t]
             dh = dh + dstates[t]
-            dz, dc = dh * (c - hp) * z * (1 - z), dh * z * (1 - c * c)
-            da = np.concatenate([dc * bc * r * (1 - r), dz, dc], 1)
-            db = np.concatenate([da[:, : 2 * HIDDEN], dc * r], 1)
-            np.add.at(dtable, before[at][t], da)
+            dc = dh * z * (1 - c * c)
+            da = into[t]
+            da[:, :HIDDEN], da[:, HIDDEN:n], da[:, n:] = dc * bc * r * (1 - r), dh * (c - hp) * z * (1 - z), dc
+            db = np.concatenate([da[:, :n], dc * r], 1)
             du += hp.T @ db
-            dh = (dh * (1 - z) + db @ w["U"].T) * ~start[at][t][:, None]
-        grad |= {"U": du, "b": dtable.sum(0), "W": w["E"].T @ dtable, "E": dtable @ w["W"].T}
-        rate = RATE * (1 - 0.9 * step / many)
-        for k, g in grad.items():
-            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.99 * m2[k] + 0.01 * g * g
-            w[k] = (w[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return w
+            dh = (dh * (1 - z) + db @ w["U"].T) * ~start[t][:, None]
+        order = np.argsort(before.ravel(), kind="stable")
+        read = before.ravel()[order]
+        first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+        dtable = np.zeros((UNITS, 3 * HIDDEN), np.float32)
+        dtable[read[first]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        return grad | {"U": du, "b": dtable.sum(0), "W": w["E"].T @ dtable, "E": dtable @ w["W"].T}, after
 
 
 def _flat(w: dict) -> np.ndarray:
@@ -298,18 +364,25 @@ def _unflat(raw: np.ndarray, like: dict) -> dict:
 def fit(codes: DataFrame, targets: np.ndarray, rounds: int = ROUNDS) -> dict:
     """Rounds of local training and averaging; a round takes the documents of its share. Copies meet in 32 groups first."""
     w, context = initial(targets), codes.sparkSession.sparkContext
-    own = codes.where("targets IS NOT NULL").select("targets")
+    own = codes.where("NOT held_out").select("codes")
     for k in range(rounds):
         shared = context.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
-            now, tokens = shared.value, 0
+            trainer, tokens, docs, held = Trainer(shared.value), 0, [], 0
             for batch in batches:
-                docs = [np.frombuffer(x, np.uint8) for x in batch.column("targets").to_pylist() if zlib.crc32(x) % rounds == k]
-                if docs:
-                    now, tokens = train(now, docs), tokens + sum(map(len, docs))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([tokens], pa.int64()), pa.array([_flat(now).astype(np.float32).tobytes()], pa.binary())], ["g", "tokens", "w"])
+                for raw in batch.column("codes").to_pylist():
+                    if zlib.crc32(raw) % rounds == k:
+                        docs.append(np.frombuffer(raw, "<u2"))
+                        held += len(docs[-1])
+                        if held >= TOKENS:
+                            trainer.learn(docs)
+                            docs, tokens, held = [], tokens + held, 0
+            if docs:
+                trainer.learn(docs)
+            if tokens + held:
+                own = [pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([tokens + held], pa.int64()), pa.array([_flat(trainer.w).astype(np.float32).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, ["g", "tokens", "w"])
 
         def mean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, tokens, g = 0.0, 0, 0
@@ -326,21 +399,21 @@ def fit(codes: DataFrame, targets: np.ndarray, rounds: int = ROUNDS) -> dict:
     return w
 
 
-def score(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the whole text's probability)."""
     rows = materialise(blocks(docs, held_out), "blocks")
     training = rows.where("ids IS NOT NULL AND NOT held_out").count()
     entries = materialise(counted(rows), "counts")
     counts, top = totals(entries, training)
-    codes = materialise(coded(rows, entries, counts, top, share), "codes")
+    codes = materialise(coded(rows, entries, counts, top), "codes")
     shared = docs.sparkSession.sparkContext.broadcast(fit(codes, counts.targets))
-    own = codes.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "in_class", "classes")
+    own = codes.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "in_unit", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            found = log10_probabilities(w, [np.frombuffer(x, np.uint8) for x in batch.column("classes").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(found + batch.column("in_class").to_numpy())], [*batch.schema.names[:6], "score"])
+            found = log10_probabilities(w, [np.frombuffer(x, "<u2") for x in batch.column("codes").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(found + batch.column("in_unit").to_numpy())], [*batch.schema.names[:6], "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
