@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 
 from meetlens.llm.common import ascii_words, materialise, slices
 
-BLOCK, CLUSTERS, SIZE, BANDS, GROUPS = 24 << 20, 32, 64, (1, 2, 4, 16, 256), 12
+BLOCK, CLUSTERS, SIZE, BANDS, GROUPS = 24 << 20, 16, 64, (1, 2, 4, 16, 256), 8
 END, UNKNOWN, FIRST, TOP = 0, 1, 2, CLUSTERS * SIZE
 UNITS, CLASSES = FIRST + TOP + len(BANDS) * GROUPS, FIRST + CLUSTERS + len(BANDS) * GROUPS
 #: Marks a unit whose word would be in the band below, were this token not counted.
 EDGE = 1 << 15
 EMBED, HIDDEN, SPAN, LANES, ROUNDS, RATE, TOKENS = 16, 16, 32, 512, 2, 0.02, 4_000_000
+#: Positions whose class scores are held at a time, in one buffer that is used again: fresh memory costs more than the sums.
+CHUNK = 2048
 
 
 def group_of(word: bytes) -> int:
@@ -263,26 +265,35 @@ def by_cluster(units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             yield k, at[part], place[part]
 
 
+def class_logits(w: dict, flat: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+    """Of at most CHUNK states, in the buffer."""
+    out = np.matmul(flat, w["Y"], out=buffer[: len(flat)])
+    out += w["c"]
+    return out
+
+
 def log10_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Of each document's whole sequence of units."""
     if not docs:
         return np.zeros(0)
     x, doc, start = lay(docs, lane_count(docs, LANES))
     before, table, out, h = previous(x, start), w["E"] @ w["W"] + w["b"], np.zeros(len(docs) + 1), np.zeros((x.shape[1], HIDDEN), np.float32)
+    buffer, ones = np.empty((CHUNK, CLASSES), np.float32), np.ones(max(CLASSES, SIZE), np.float32)
     for t in range(0, len(x), SPAN):
         at = slice(t, t + SPAN)
         used = np.flatnonzero((doc[at] >= 0).any(0))
         states, h[used] = window(w, table, h[used], before[at][:, used], start[at][:, used])
         flat, units = states.reshape(-1, HIDDEN), (x[at][:, used].ravel() & (EDGE - 1)).astype(np.int32)
-        logits = flat @ w["Y"] + w["c"]
-        chosen = logits[np.arange(len(logits)), class_of(units)].astype(np.float64)
-        np.exp(logits, out=logits)
-        chosen -= np.log(logits.sum(1, dtype=np.float64))
+        chosen, own = np.empty(len(flat)), class_of(units)
+        for i in range(0, len(flat), CHUNK):
+            logits = class_logits(w, flat[i : i + CHUNK], buffer)
+            chosen[i : i + CHUNK] = logits[np.arange(len(logits)), own[i : i + CHUNK]]
+            chosen[i : i + CHUNK] -= np.log(np.exp(logits, out=logits) @ ones[:CLASSES])
         for k, i, place in by_cluster(units):
             inside = flat[i] @ w["V"][k] + w["v"][k]
             own = inside[np.arange(len(i)), place].astype(np.float64)
             np.exp(inside, out=inside)
-            chosen[i] += own - np.log(inside.sum(1, dtype=np.float64))
+            chosen[i] += own - np.log(inside @ ones[:SIZE])
         out += np.bincount(doc[at][:, used].ravel() + 1, chosen, len(docs) + 1)
     return out[1:] / math.log(10)
 
@@ -293,6 +304,8 @@ class Trainer:
     def __init__(self, w: dict):
         self.w, self.step = {k: x.copy() for k, x in w.items()}, 0
         self.m1, self.m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.buffer, self.ones = np.empty((CHUNK, CLASSES), np.float32), np.ones(max(CLASSES, SIZE), np.float32)
+        self.into = np.empty((2, 0, 3 * HIDDEN), np.float32)
 
     def learn(self, docs: list[np.ndarray]) -> None:
         """One pass: windows of SPAN steps, the state carried, no gradient across windows."""
@@ -317,35 +330,48 @@ class Trainer:
         """Of the mean cross-entropy of a window's real positions, and the state after it."""
         w, kept, each = self.w, [], np.float32(1 / max(real.sum(), 1))
         states, after = window(w, w["E"] @ w["W"] + w["b"], h, before, start, kept)
-        flat, units = states.reshape(-1, HIDDEN), np.where(real, target, -1).ravel()
-        p = flat @ w["Y"] + w["c"]
-        np.exp(p - p.max(1, keepdims=True), out=p)
-        p *= (real.ravel() * each)[:, None] / p.sum(1, keepdims=True)
-        p[np.arange(len(p)), class_of(np.maximum(units, 0))] -= real.ravel() * each
-        grad, dflat = {"Y": flat.T @ p, "c": p.sum(0), "V": np.zeros_like(w["V"]), "v": np.zeros_like(w["v"])}, p @ w["Y"].T
+        flat, units, share = states.reshape(-1, HIDDEN), np.where(real, target, -1).ravel(), real.ravel() * each
+        grad = {k: np.zeros_like(w[k]) for k in "YcVv"}
+        dflat, own = np.empty_like(flat), class_of(np.maximum(units, 0))
+        for i in range(0, len(flat), CHUNK):
+            part = slice(i, i + CHUNK)
+            p = class_logits(w, flat[part], self.buffer)
+            np.exp(p, out=p)
+            p *= (share[part] / (p @ self.ones[:CLASSES]))[:, None]
+            p[np.arange(len(p)), own[part]] -= share[part]
+            grad["Y"] += flat[part].T @ p
+            grad["c"] += p.sum(0)
+            np.matmul(p, w["Y"].T, out=dflat[part])
         for k, i, place in by_cluster(units):
             q = flat[i] @ w["V"][k] + w["v"][k]
-            np.exp(q - q.max(1, keepdims=True), out=q)
-            q *= each / q.sum(1, keepdims=True)
+            np.exp(q, out=q)
+            q *= (each / (q @ self.ones[:SIZE]))[:, None]
             q[np.arange(len(i)), place] -= each
             grad["V"][k], grad["v"][k] = flat[i].T @ q, q.sum(0)
             dflat[i] += q @ w["V"][k].T
         dstates, n = dflat.reshape(states.shape), 2 * HIDDEN
-        into, du, dh = np.empty((*before.shape, 3 * HIDDEN), np.float32), np.zeros_like(w["U"]), np.zeros_like(h)
+        if self.into.shape != (2, before.size, 3 * HIDDEN):
+            self.into = np.empty((2, before.size, 3 * HIDDEN), np.float32)
+        into, du, dh = self.into[0].reshape(*before.shape, -1), np.zeros_like(w["U"]), np.zeros_like(h)
+        db = np.empty((len(h), 3 * HIDDEN), np.float32)
         for t in range(len(kept) - 1, -1, -1):
             hp, r, z, c, bc = kept[t]
-            dh = dh + dstates[t]
-            dc = dh * z * (1 - c * c)
-            da = into[t]
-            da[:, :HIDDEN], da[:, HIDDEN:n], da[:, n:] = dc * bc * r * (1 - r), dh * (c - hp) * z * (1 - z), dc
-            db = np.concatenate([da[:, :n], dc * r], 1)
+            dh += dstates[t]
+            dz = dh * z
+            dc = dz * (1 - c * c)
+            db[:, :HIDDEN], db[:, HIDDEN:n], db[:, n:] = dc * bc * r * (1 - r), dz * (c - hp) * (1 - z), dc * r
+            into[t] = db
+            into[t, :, n:] = dc
             du += hp.T @ db
-            dh = (dh * (1 - z) + db @ w["U"].T) * ~start[t][:, None]
+            dh -= dz
+            dh += db @ w["U"].T
+            if start[t].any():
+                dh *= ~start[t][:, None]
         order = np.argsort(before.ravel(), kind="stable")
         read = before.ravel()[order]
         first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
         dtable = np.zeros((UNITS, 3 * HIDDEN), np.float32)
-        dtable[read[first]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        dtable[read[first]] = np.add.reduceat(np.take(self.into[0], order, axis=0, out=self.into[1], mode="clip"), first, axis=0)
         return grad | {"U": du, "b": dtable.sum(0), "W": w["E"].T @ dtable, "E": dtable @ w["W"].T}, after
 
 

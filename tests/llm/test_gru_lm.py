@@ -89,7 +89,7 @@ def test_gradient_by_differences():
     """Every kind of weight, through time and over a document's start."""
     rng = np.random.default_rng(0)
     w = {k: x.astype(np.float64) for k, x in G.initial(rng.random(G.UNITS) * 10).items()}
-    units = np.array([2, 3, 70, 1, 0, G.FIRST + G.TOP + 5, G.UNITS - 1, 66])
+    units = np.array([2, 3, 70, 1, 0, 900, G.FIRST + G.TOP + 5, G.UNITS - 1, 66])
     x = rng.choice(units, (6, 3)).astype(np.uint16)
     start = np.zeros((6, 3), bool)
     start[0], start[3, 1] = True, True
