@@ -1,15 +1,17 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours of a seed document.
 
-Three steps. Texts become token ids, written once to the shared folder. Document frequencies, document count and mean
-length are summed over all documents; their size is bounded by the vocabulary, so they are broadcast. Then each partition
-of the token table is cut into shards of bounded tokens; a shard's inverted index returns, for the document that opens a
-window, its best unused neighbours, and they fill the window in that order. A document that does not fit is cut, and its
-rest opens the next window, so only the end of a shard is left over; that is laid into sequences whose lengths are
-descending powers of two, which need no padding.
+Four steps. Texts become token ids, written once to the shared folder. Document frequencies, document count and mean
+length are summed over all documents; their size is bounded by the vocabulary, so they are broadcast. Documents are then
+dealt by content: by their two strongest terms (BM25 impact among terms that other documents have), in ranges, so a term of
+very many documents is split by the second term and then by the text's hash, and neighbours from anywhere in the table come
+to stand side by side. Each partition is cut into shards of bounded tokens; a shard's inverted index scores all terms of the
+document that opens a window, returns its best unused neighbours, and they fill the window in that order. A document that does
+not fit is cut, and its rest opens the next window, so only the end of a shard is left over; that is laid into sequences whose
+lengths are descending powers of two, which need no padding.
 
 Defined cases: null and empty texts hold only the end id; repeated rows are packed each for itself; a null id is kept; an
-empty table gives no rows; extra columns are ignored. Shards depend on the files of the token table, which is written
-once, so a task that runs again gives the same rows.
+empty table gives no rows; extra columns are ignored. Shards depend on the token table, which is written once, and on its
+order by content, so a task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from meetlens.llm.common import columns, hold, materialise, slices
 
-WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 2, 2_000_000, 1 << 15, 12, 1.2, 0.75
+WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, K1, B = 4096, 2, 2_000_000, 1 << 15, 1.2, 0.75
+#: A term that one document in so many of a shard has is held as a row over all of the shard's documents.
+DENSE = 8
 #: Units that a worker remembers.
 CACHE = 250_000
 
@@ -180,13 +184,48 @@ def statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
     return df, docs, total / max(docs, 1)
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and how often each is there; numbers of 16 bits are sorted by radix."""
+    own = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], np.diff(first, append=len(own))
+
+
+def impacts(counts: np.ndarray, idf: np.ndarray, length, mean: float) -> np.ndarray:
+    """BM25 impacts of terms that a document of this length has so many times."""
+    return idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / max(mean, 1)))
+
+
+def routed(tokens: DataFrame, kind: str, shared) -> DataFrame:
+    """The tokens with first, second (strongest terms that another document has, -1: none) and tie (a hash of the ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean, several = shared.value
+        common = np.where(several, idf, 0)
+        for batch in slices(batches):
+            out = []
+            for raw in batch.column("ids").to_pylist():
+                ids = np.frombuffer(raw, kind)
+                terms, counts = counted(ids)
+                force, best = impacts(counts, common[terms], len(ids), mean), []
+                for _ in range(2):
+                    k = int(force.argmax())
+                    best.append(int(terms[k]) if force[k] > 0 else -1)
+                    force[k] = 0
+                out.append((*best, zlib.crc32(raw)))
+            made = [pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["doc_id", "ids", "first", "second", "tie"])
+
+    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, first long, second long, tie long")
+
+
 class Shard:
     """Inverted index over a bounded set of documents, with the impacts of BM25 laid into the postings."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, counts = [], []
         for d in docs:
-            t, n = np.unique(d, return_counts=True)
+            t, n = counted(d)
             terms.append(t)
             counts.append(n.astype(np.float32))
         sizes = np.array([len(t) for t in terms], np.int64)
@@ -195,23 +234,32 @@ class Shard:
         tf = np.concatenate(counts) if docs else np.zeros(0, np.float32)
         lengths = np.array([len(d) for d in docs], np.float32)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        norm = K1 * (1 - B + B * lengths / max(mean, 1))
-        self.impact = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+        self.impact = impacts(tf, idf[term], lengths[owner], mean).astype(np.float32)
         self.term = term
         order = np.argsort(term, kind="stable").astype(np.int32)
         self.posting_doc, self.posting_impact = owner[order], self.impact[order]
         self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.free, self.n = np.ones(len(docs), bool), len(docs)
-
-    def neighbours(self, seed: int, terms: int = QUERY_TERMS, wanted: int = 64) -> list[int]:
-        """Unused documents that share the seed's strongest terms, best first; ties to the earlier document."""
-        own = slice(self.starts[seed], self.starts[seed + 1])
-        strong = self.term[own][np.argsort(-self.impact[own], kind="stable")[:terms]]
-        scores = np.zeros(self.n, np.float32)
-        for t in strong:
+        often = np.flatnonzero(np.diff(self.bounds) * DENSE > self.n)
+        self.row, self.rows = np.full(len(idf), -1, np.int32), np.zeros((len(often), self.n), np.float32)
+        self.row[often] = np.arange(len(often))
+        for k, t in enumerate(often):
             at = slice(self.bounds[t], self.bounds[t + 1])
-            scores[self.posting_doc[at]] += self.posting_impact[at]
-        scores *= self.free
+            self.rows[k, self.posting_doc[at]] = self.posting_impact[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of every document for all terms of the seed."""
+        own = self.term[self.starts[seed] : self.starts[seed + 1]]
+        row = self.row[own]
+        out = self.rows[row[row >= 0]].sum(0) if (row >= 0).any() else np.zeros(self.n, np.float32)
+        few = own[row < 0]
+        sizes = self.bounds[few + 1] - self.bounds[few]
+        at = np.repeat(self.bounds[few] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return out + np.bincount(self.posting_doc[at], self.posting_impact[at], self.n)
+
+    def neighbours(self, seed: int, wanted: int = 64) -> list[int]:
+        """The `wanted` best unused documents that share a term with the seed, best first; ties to the earlier document."""
+        scores = self.scores(seed) * self.free
         top = np.argpartition(-scores, wanted)[:wanted] if self.n > wanted else np.arange(self.n)
         top = top[scores[top] > 0]
         return top[np.lexsort((top, -scores[top]))].tolist()
@@ -270,10 +318,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     size = max(encoder(tokenizer).size, end_id + 1)
     tokens = materialise(tokenize(docs, tokenizer, end_id), "tokens")
     df, n, mean = statistics(tokens, size)
-    shared = tokens.sparkSession.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), mean))
+    shared = tokens.sparkSession.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), mean, df > 1))
+    order = ("first", "second", "tie", "doc_id")
+    dealt = routed(tokens, _kind(size), shared).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (idf, mean), kind = shared.value, _kind(size)
+        (idf, mean, _), kind = shared.value, _kind(size)
         part, number = TaskContext.get().partitionId() << 40, 0
 
         def packed() -> pa.RecordBatch:
@@ -300,4 +350,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         if ids:
             yield packed()
 
-    return tokens.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
+    return dealt.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")

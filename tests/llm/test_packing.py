@@ -49,19 +49,39 @@ def test_encoder_equals_the_tokenizer():
 
 
 def test_neighbours_equal_brute_force():
+    """All terms of the seed count, be they frequent (dense rows) or rare (postings)."""
     rng = np.random.default_rng(0)
-    docs = [rng.integers(0, 50, rng.integers(5, 40)).astype(np.uint16) for _ in range(60)]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50)
-    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
+    docs = [rng.integers(0, rng.integers(3, 300), rng.integers(5, 40)).astype(np.uint16) for _ in range(90)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=300)
+    idf, mean = np.log1p((90 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
     shard = packing.Shard(docs, idf, mean)
+    assert 0 < len(shard.rows) < 300
     shard.free[[0, 7]] = False
 
     def impact(d, t):
         tf = int((docs[d] == t).sum())
         return idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)) if tf else 0.0
 
-    terms = sorted(set(docs[0].tolist()), key=lambda t: (-round(float(impact(0, t)), 5), t))[: packing.QUERY_TERMS]
-    want = {d: sum(impact(d, t) for t in terms) for d in range(60) if shard.free[d]}
-    found = shard.neighbours(0)
-    assert 0 not in found and 7 not in found
-    assert np.allclose([want[d] for d in found], sorted((x for x in want.values() if x > 0), reverse=True)[: len(found)], rtol=1e-3)
+    for seed in range(12):
+        want = {d: sum(impact(d, t) for t in set(docs[seed].tolist())) for d in range(90) if shard.free[d]}
+        found = shard.neighbours(seed)
+        assert 0 not in found and 7 not in found
+        assert np.allclose([want[d] for d in found], sorted((x for x in want.values() if x > 0), reverse=True)[: len(found)], rtol=1e-3)
+
+
+def test_neighbours_from_anywhere_meet(spark):
+    """Documents of a subject that are dealt over all files share sequences, though a shard holds a tenth of them."""
+    rng = np.random.default_rng(0)
+    known = sorted(t[:-4] for t in packing.encoder(TOKENIZER).plain.get_vocab() if t.endswith("</w>") and t[:-4].isalpha() and t.isascii() and len(t) > 9)
+    vocabulary, rows = rng.permutation(known), []
+    for i in range(600):
+        subject = i % 30
+        words = list(vocabulary[12 * subject : 12 * subject + 12][rng.integers(0, 12, 20)]) + list(vocabulary[rng.integers(400, 3000, 20)])
+        rows.append((i, " ".join(rng.permutation(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
+    pieces = packing.pack(docs, TOKENIZER, window=512, shard_tokens=20_000).collect()
+    of = {}
+    for r in pieces:
+        of.setdefault(r.sequence_id, set()).add(r.doc_id)
+    pairs = [(a % 30, b % 30) for own in of.values() for a in own for b in own if a < b]
+    assert np.mean([a == b for a, b in pairs]) > 0.3  # 0.03 by chance
