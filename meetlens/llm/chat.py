@@ -7,7 +7,7 @@ very many messages share costs no pairs. Each level of a message links to the or
 names the parent. Depth and root follow by pointer doubling. Replies come after what they reply to when rows are ordered by
 root and depth; a thread is never gathered in one place.
 
-Defined cases: a null text has a null own text and no quotes; lines of fewer than MIN_CHARS normalised characters link to
+Defined cases: a null text has a null own text and no quotes; empty lines (of fewer than MIN_CHARS normalised characters) link to
 nothing; a message with a null conversation or turn is returned and neither quoted nor linked; repeated rows are each
 returned; an empty table gives no rows; extra columns are ignored.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from meetlens.llm.common import materialise
 
-MIN_CHARS, MARKS = 8, r"^(?: ?>)+ ?"
+MIN_CHARS, MARKS = 1, r"^(?: ?>)+ ?"
 
 
 def level(line: Column) -> Column:

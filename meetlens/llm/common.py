@@ -36,12 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, a single machine), a temporary one, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one, on a single machine (tests) and there alone."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="meetlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        app = context.applicationId
+        found = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="meetlens-")
     return found.rstrip("/")
 
 

@@ -77,17 +77,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, r
     """doc_id, text, label of at most `rows` labelled documents. A doc_id labelled twice counts with its larger label."""
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learn_from)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.desc("label")).limit(rows).groupBy("doc_id").agg(F.max("label").alias("label"))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(sampled: DataFrame, features: Callable[[str | None], np.ndarray], settings: Settings) -> Model:
+def fit(sampled: DataFrame, features: Callable[[str | None], np.ndarray], settings: Settings, rows: int = TRAIN_ROWS) -> Model:
+    """Fits on the sample, where an id has several texts on the `rows` smallest hashes; texts become features where they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([features(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "label", "at"])
 
     kind = sampled.schema["doc_id"].dataType.simpleString()
-    found = sampled.repartition(8).mapInArrow(run, f"doc_id {kind}, label int, at binary").collect()
+    made = sampled.mapInArrow(run, f"doc_id {kind}, label int, at binary")
+    found = made.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(rows).collect()
     found.sort(key=lambda r: (r.doc_id, r.at))
     return train([(np.frombuffer(r.at, "<u4"), r.label) for r in found], settings)
 

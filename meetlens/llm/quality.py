@@ -35,7 +35,7 @@ def features(text: str | None) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = ftrl.TRAIN_ROWS) -> ftrl.Model:
     """learn_from: a condition on doc_id; `rows` bounds the sample that the model is fitted on."""
-    return ftrl.fit(ftrl.sample(docs, labels, "quality", learn_from, rows), features, SETTINGS)
+    return ftrl.fit(ftrl.sample(docs, labels, "quality", learn_from, rows), features, SETTINGS, rows)
 
 
 def score(docs: DataFrame, model: ftrl.Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
