@@ -259,8 +259,10 @@ def lost_sections_guard(t):
     return sinks.lost_sections(p, p.where("p_size > 3 AND section <> 'Brand#11'"), "section")
 
 
-@query("""SELECT c_custkey AS id, c_name AS name, CAST(row_number() OVER () - row_number() OVER () + c_custkey AS BIGINT) AS rank FROM customer WHERE c_custkey <= 50 UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier WHERE s_suppkey > 50 AND upper(trim(s_name)) NOT IN (SELECT upper(trim(c_name)) FROM customer WHERE c_custkey <= 50)""")
+@query("""WITH world AS (SELECT c_custkey AS id, c_name AS name, c_custkey AS rank FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT * FROM world UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier
+WHERE s_suppkey NOT IN (SELECT id FROM world) AND upper(trim(s_name)) NOT IN (SELECT upper(trim(name)) FROM world)""")
 def merged_snapshot(t):
-    world = t("customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("rank"))
+    world = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("rank"))
     area = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("rank"))
     return sinks.merged_snapshot(world, area, "id", "name", "rank")

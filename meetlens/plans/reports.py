@@ -235,11 +235,11 @@ def storylines(t):
     return Q.storylines(f, rivals, ["grp"], "athlete", "chance")
 
 
-@query(f"""WITH {TOTALS_SQL}, n AS (SELECT grp, athlete, max(v) AS v FROM totals WHERE y = 1997 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v DESC, athlete) AS rank FROM n), one AS (SELECT * FROM r WHERE athlete <= 200)
+@query(f"""WITH {TOTALS_SQL}, n AS (SELECT grp, athlete, max(v) AS v FROM totals WHERE y = 1997 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v DESC, athlete) AS rank FROM n), one AS (SELECT * FROM r)
 SELECT grp, athlete, rank, CASE WHEN rank <= 8 THEN 'in_field' WHEN athlete % 9 = 0 THEN 'injured' WHEN rank <= 30 THEN 'points_cut' ELSE 'out_of_reach' END AS reason FROM one""")
 def field_status(t):
     n = totals(t).where("y = 1997").groupBy("grp", "athlete").agg(F.max("v").alias("v"))
-    r = n.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("v"), "athlete"))).where("athlete <= 200")
+    r = n.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("v"), "athlete")))
     return Q.status(r, [("in_field", F.col("rank") <= 8), ("injured", F.col("athlete") % 9 == 0), ("points_cut", F.col("rank") <= 30)], "out_of_reach").select("grp", "athlete", "rank", F.col("reason"))
 
 

@@ -145,3 +145,54 @@ def season_history(t):
     o = t("orders").select(F.col("o_custkey").alias("athlete"), F.to_date("o_orderdate").alias("date"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("mark"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("score"))
     w = Window.partitionBy("athlete", "date", "mark").orderBy(F.asc_nulls_last("score"))
     return o.withColumn("n", F.row_number().over(w)).where("n = 1").select("athlete", F.col("date").alias("d"), F.col("mark").alias("v"), "score")
+
+
+# Dates, labels and identifiers as they are shown
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d %b') AS shown, strftime(o_orderdate, '%Y-%m-%d') AS iso,
+CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS number, CAST(o_orderdate AS DATE) AS season_date, CAST(o_orderdate AS DATE) AS last_date
+FROM orders""")
+def shown_dates(t):
+    d = F.col("o_orderdate")
+    o = t("orders").withColumns({"dm": F.date_format(d, "dd MMM"), "y": F.year(d)})
+    text = F.concat(F.lit("from 3 May 1990 to "), F.date_format(d, "d MMMM"), F.lit(", as said"))
+    found = {"shown": marks.day_month(d), "iso": marks.iso(d), "number": marks.date_number(d), "season_date": marks.season_date("dm", "y"), "last_date": marks.last_date_in(text, "y")}
+    return o.select("o_orderkey", *[c.alias(k) for k, c in found.items()])
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey % 1000 AS BIGINT) AS digits, o_totalprice AS loose, o_orderkey % 2 = 0 AS is_number,
+CASE WHEN o_orderkey % 3 = 0 THEN 'Cup ' || year(o_orderdate) ELSE 'Cup ' || year(o_orderdate) END AS label,
+greatest(0.01, least(0.99, (o_orderkey % 100) / 100.0))::DOUBLE AS clamped, 0.9 * pow(0.8, o_orderkey % 4)::DOUBLE AS weight,
+CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 100) / 100.0 ELSE (o_orderkey % 100)::DOUBLE END::DOUBLE AS share FROM orders""")
+def loose_scalars(t):
+    k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    o = t("orders").withColumns({
+        "place": F.concat((k % 1000).cast("string"), F.lit(". heat")),
+        "price": F.format_number("o_totalprice", 2),
+        "text": F.when(k % 2 == 0, "12.5").otherwise("DNF"),
+        "cup": F.when(k % 3 == 0, F.concat(F.lit("Cup "), y)).otherwise("Cup"),
+        "y": y, "p": (k % 100) / 100, "ago": k % 4 + 1,
+        "pct": F.concat((k % 100).cast("string"), F.when(k % 2 == 0, "%").otherwise("")),
+    })
+    found = {"digits": marks.leading_digits("place"), "loose": marks.loose_number("price"), "is_number": marks.is_number("text"), "label": marks.labelled_with_year("cup", "y")}
+    found |= {"clamped": marks.clamped("p"), "weight": marks.fade_weight("ago", 0.9, 0.8), "share": marks.percent("pct")}
+    return o.select("o_orderkey", *[c.alias(n) for n, c in found.items()])
+
+
+@query("""SELECT p_partkey, p_partkey AS slug_id, p_partkey AS path_id, '100 metres' AS event, '100m' AS event_key, true AS matches,
+false AS other, p_brand || ' / ' || p_type AS heading FROM part""")
+def event_labels(t):
+    k, sex = F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "Women's ").otherwise("Men's ")
+    p = t("part").withColumns({"slug": F.concat(F.lit("a-name-"), k), "url": F.concat(F.lit("https://x/athletes/a-b-"), k, F.lit("/all")), "e": F.concat(sex, F.lit("100 metres")), "l": F.concat(sex, F.lit("100m 2"))})
+    matches = names.label_matches(F.lit("Final 100m 2"), F.lit("final 100m"))
+    found = {"slug_id": names.id_after_hyphen("slug"), "path_id": names.id_in_path("url", "athletes"), "event": names.without_gender("e"), "event_key": names.event_key("e"), "matches": matches}
+    found |= {"other": names.label_matches("l", F.lit("200m")), "heading": names.heading_label(F.array("p_brand", "p_type"))}
+    return p.select("p_partkey", *[c.alias(n) for n, c in found.items()])
+
+
+@query("""SELECT s_suppkey, 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') AS title, 'supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') || ' o neil' AS matched,
+['neil', 'o', 'supplier#' || lpad(s_suppkey::VARCHAR, 9, '0')] AS token_set, ['supplier#' || lpad(s_suppkey::VARCHAR, 9, '0'), 'o', 'neil'] AS tokens FROM supplier""")
+def name_words(t):
+    odd = F.concat(F.lit("  "), F.upper("s_name"), F.lit("  O'Neil "))
+    found = {"title": names.title_name(F.upper("s_name")), "matched": names.match_text(odd), "token_set": names.token_set(odd), "tokens": names.tokens(odd)}
+    return t("supplier").select("s_suppkey", *[c.alias(n) for n, c in found.items()])

@@ -1,25 +1,35 @@
 """Streaming forms: the plans take a batch or a streaming frame; `run` drives one to the end of what is there.
 
-State is bounded by the watermark. Sinks that correct earlier rows write through foreachBatch.
+recent_windows, sessions and unique drop state behind the watermark. monthly, latest and gravest keep one row a key for good,
+as their results do. Rows go to a table beside the checkpoint; sinks that correct earlier rows write through foreachBatch.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meetlens.sources.readers import exists
+
 WATERMARK = "1 day"
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """A folder (or file) of Parquet as a stream; columns of time without zone become timestamps, which watermarks need."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet" if not name.endswith(".parquet") else name)
-    return timestamps(stream.parquet(folder if name.endswith(".parquet") else path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if not is_folder(spark, path):  # streams read folders: the file alone of its own
+        path, _, name = path.rpartition("/")
+        stream = stream.option("pathGlobFilter", name)
+    return timestamps(stream.parquet(path))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """In whatever store Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
 def timestamps(df: DataFrame) -> DataFrame:
@@ -58,12 +68,21 @@ def gravest(df: DataFrame, keys: list[str], severity: str) -> DataFrame:
 
 
 def run(df: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Drives a stream over what is there; returns the rows (memory sink), or nothing where a batch function takes them."""
+    """Drives a stream over what is there; returns the table of its rows, or nothing where a batch function takes them.
+
+    A batch has a folder of its own (a complete result one for all), which running it again overwrites.
+    """
+    spark, rows = df.sparkSession, f"{checkpoint}-rows"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/__batch={0 if mode == 'complete' else n}")
+
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    name = f"s{uuid.uuid4().hex}"
-    query = (writer.foreachBatch(sink) if sink else writer.format("memory").queryName(name)).start()
-    query.awaitTermination()
-    return None if sink else df.sparkSession.table(name)
+    writer.foreachBatch(sink or keep).start().awaitTermination()
+    if sink:
+        return None
+    found = spark.read.schema(df.schema).parquet(rows) if exists(spark, rows) else spark.createDataFrame([], df.schema)
+    return found.select(df.columns)
 
 
 def upsert_batches(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:

@@ -144,3 +144,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     for n in (1, 2):
         streams.run(plan, "append", f"{tmp_path}/c3-{n}", streams.upsert_batches(path, ["user_id"]))
         assert spark.read.parquet(path).count() == batch.select("user_id").distinct().count()
+
+
+def test_streams_read_tables_of_many_files(spark, sf, tmp_path):
+    """A table that is a folder gives what its one file gives, in all registered streams."""
+    from meetlens.plans import catalog
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name, query in catalog.queries().items():
+        if name.startswith("streaming_"):
+            one, many = (sorted(map(str, query(spark, d).collect())) for d in (sf, str(tmp_path)))
+            assert one == many and one, name
