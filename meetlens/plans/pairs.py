@@ -8,7 +8,7 @@ from meetlens.operators import h2h as H
 from meetlens.operators import joins as J
 from meetlens.operators import ranking as R
 from meetlens.plans.base import PLACED_SQL, placed, query, runs
-from meetlens.sources import sinks
+from meetlens.sources import readers, sinks
 
 PAIRS_SQL = "pairs AS (SELECT a.race, a.athlete AS athlete_a, b.athlete AS athlete_b, CASE WHEN a.place < b.place THEN 1 ELSE 0 END AS a_wins FROM placed a JOIN placed b ON a.race = b.race AND a.athlete <> b.athlete AND a.place <> b.place)"
 RATES_SQL = "rates AS (SELECT athlete_a, athlete_b, CAST(sum(a_wins) AS BIGINT) AS wins, count(*) AS meetings, CAST(sum(a_wins) AS DOUBLE) / count(*) AS win_rate FROM pairs GROUP BY 1, 2 HAVING count(*) >= 2)"
@@ -239,6 +239,22 @@ def race_log_union_dedupe(t):
     return R.first_per(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["athlete", "d", "v"], [F.asc("source_priority"), F.asc("place"), F.asc("k")]).drop("k")
 
 
+@query("""WITH l AS (SELECT l_linestatus AS discipline, l_suppkey AS athlete, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS m, CAST(l_shipdate AS DATE) AS d,
+l_linenumber::BIGINT AS place, 'venue ' || l_partkey % 50 AS meeting, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS source_priority FROM lineitem)
+SELECT discipline, athlete, m || '.50' AS mark, m + 0.5::DOUBLE AS value, place, d AS date, year(d) AS year, meeting, source_priority FROM
+(SELECT *, row_number() OVER (PARTITION BY discipline, athlete, d, m ORDER BY source_priority, place, meeting) AS n FROM l) WHERE n = 1""")
+def race_log_from_sources(t):
+    """Three sources of text columns, each in the race log's shape by the readers, then one log."""
+    raw = t("lineitem").select(
+        F.col("l_linestatus").alias("discipline"), F.col("l_suppkey").alias("athlete"),
+        F.concat(F.floor(F.col("l_extendedprice") / 5000).cast("string"), F.lit(".50")).alias("mark"),
+        F.col("l_linenumber").cast("string").alias("pos"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.concat(F.lit("venue "), (F.col("l_partkey") % 50).cast("string")).alias("venue"), "l_returnflag",
+    )
+    sources = [readers.normalised(raw.where(F.col("l_returnflag") == flag).drop("l_returnflag"), flag, k) for k, flag in enumerate("RAN")]
+    return readers.race_log(sources).select("discipline", "athlete", "mark", "value", "place", "date", "year", "meeting", "source_priority")
+
+
 @query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_returnflag AS source, year(l_shipdate) AS y FROM lineitem WHERE NOT (l_returnflag = 'R' AND year(l_shipdate) IN (1994, 1995)) UNION ALL SELECT o_orderkey, 0, 'R', year(o_orderdate) FROM orders WHERE year(o_orderdate) IN (1994, 1995)""")
 def source_replace(t):
     old = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("source"), F.year("l_shipdate").alias("y"))
