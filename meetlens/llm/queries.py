@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlens.llm import ann, bpe, chat, chroma, gru_lm, langid, packing, quality, simhash, toxicity
+from meetlens.llm import ann, audit, bpe, chat, chroma, gru_lm, langid, packing, quality, simhash, toxicity
 from meetlens.llm.common import id_remainder, materialise, table
+from meetlens.llm.twins import OP1_SQL, OP11_SQL
 
 RANKS, WORD_TOKENIZER = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 QUALITY_FOLD, LANGUAGE_FOLD, TOXICITY_FOLD, MODEL_FOLD = (3, 1), (3, 1), (5, 0), (7, 2)
@@ -24,11 +25,6 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(chat.as_mail(table(spark, sf_dir, "conversations"))).drop("n_lines")
 
 
-#: What the operator must find again: each turn replies to the one before, and its own text is the table's.
-OP1_SQL = r"""SELECT conv_id, turn, role, regexp_replace(text, '^\n+|\n+$', '', 'g') AS own_text, least(turn, 2) AS levels,
-CASE WHEN turn > 0 THEN conv_id END AS to_conv, CASE WHEN turn > 0 THEN turn - 1 END AS to_turn, conv_id AS root_conv, 0::BIGINT AS root_turn, turn AS depth FROM conversations"""
-
-
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -79,8 +75,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), TOXICITY_FOLD)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quotation_linking, op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op7_random_projection_forest, op8_chroma_fingerprints, op9_language_id, op10_toxicity)
+    own = (op1_quotation_linking, op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op7_random_projection_forest, op8_chroma_fingerprints, op9_language_id, op10_toxicity, op11_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -91,4 +91,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op11_filter_audit": OP11_SQL}
