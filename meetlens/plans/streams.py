@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from meetlens.plans.base import ORACLES, QUERIES
+from meetlens.sources.shared import shared_dir
 from meetlens.streaming import streams as S
 
 
@@ -15,8 +15,7 @@ def _stream(name: str, sql: str, plan, mode: str):
     """Registers a streaming query on the events table."""
 
     def run(spark, sf_dir):
-        place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-        out = S.run(plan(S.source(spark, f"{sf_dir}/events.parquet")), mode, f"{place.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}")
+        out = S.run(plan(S.source(spark, f"{sf_dir}/events.parquet")), mode, f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}")
         return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in out.dtypes if t == "timestamp"} | {c: F.col(c).cast("long") for c, t in out.dtypes if t == "int"})
 
     run.__name__ = name
