@@ -21,3 +21,32 @@ counted AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT
   coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost FROM met GROUP BY ALL)
 SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
   toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM counted"""
+
+def _leaf(text: str) -> str:
+    fields = ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256(concat({fields}))"
+
+
+#: A-Z alone is lower-cased: translate() knows no other letters. The CRC is taken bit by bit.
+OP12_SQL = rf"""WITH RECURSIVE ids AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS id FROM documents),
+bits(id, i, crc) AS (SELECT id, 0, 4294967295::BIGINT FROM ids UNION ALL
+  SELECT id, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM (SELECT id, i, CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(id, i // 8 + 1, 1))::BIGINT) ELSE crc END AS x FROM bits WHERE i < 8 * length(id))),
+crcs AS (SELECT id, xor(arg_max(crc, i), 4294967295) AS crc FROM bits GROUP BY id),
+changed AS (SELECT d.*, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS text_now FROM documents d JOIN crcs ON id = coalesce(doc_id::VARCHAR, '')),
+made AS (SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("text_now")} AS now FROM changed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM made),
+low(tree, lvl, idx, n, h) AS (SELECT tree, 0, idx, n, leaf FROM placed UNION ALL
+  SELECT tree, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY tree, lvl, idx // 16, n),
+high(lvl, idx, n, h) AS (SELECT 0, tree, count(*) OVER (), h FROM low WHERE n = 1 UNION ALL
+  SELECT lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY lvl, idx // 16, n),
+nodes AS (SELECT tree, lvl, idx, n, h FROM low WHERE n > 1 UNION ALL SELECT -1, lvl, idx, n, h FROM high WHERE n > 1),
+starts AS (SELECT row_number() OVER () AS k, * FROM placed),
+ways AS (SELECT k, tree AS part, idx AS pos, 0 AS top FROM starts UNION ALL SELECT k, -1, tree, 1 FROM starts),
+sides AS (SELECT k, top, lvl, coalesce(string_agg(h, '' ORDER BY n.idx) FILTER (n.idx < (pos >> (4 * lvl)::INTEGER)), '') AS l, coalesce(string_agg(h, '' ORDER BY n.idx) FILTER (n.idx > (pos >> (4 * lvl)::INTEGER)), '') AS r
+  FROM ways w JOIN nodes n ON n.tree = part AND (n.idx >> 4) = (pos >> (4 * lvl + 4)::INTEGER) GROUP BY k, top, lvl, pos),
+steps AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY top, lvl) AS step FROM sides),
+folds(k, step, h) AS (SELECT k, 0, now FROM starts UNION ALL SELECT f.k, f.step + 1, sha256(l || h || r) FROM folds f JOIN steps s ON s.k = f.k AND s.step = f.step + 1),
+folded AS (SELECT k, arg_max(h, step) AS folded_root FROM folds GROUP BY k),
+proof AS (SELECT k, string_agg(l || r, '' ORDER BY step) AS joined FROM steps GROUP BY k)
+SELECT doc_id, leaf, low.h AS subroot, high.h AS root, sha256(coalesce(joined, '')) AS proof_sha256, folded_root, folded_root = high.h AS verified
+FROM starts s JOIN low ON low.tree = s.tree AND low.n = 1 JOIN high ON high.n = 1 JOIN folded f ON f.k = s.k LEFT JOIN proof p ON p.k = s.k"""
