@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlens.llm import ann, audit, bpe, chat, chroma, gru_lm, langid, merkle, packing, quality, simhash, toxicity
+from meetlens.llm import ann, audit, bpe, chat, chroma, gru_lm, langid, merkle, packing, quality, simhash, substring, toxicity
 from meetlens.llm.common import id_remainder, materialise, table
-from meetlens.llm.twins import OP1_SQL, OP11_SQL, OP12_SQL
+from meetlens.llm.twins import OP1_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 RANKS, WORD_TOKENIZER = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 QUALITY_FOLD, LANGUAGE_FOLD, TOXICITY_FOLD, MODEL_FOLD = (3, 1), (3, 1), (5, 0), (7, 2)
@@ -84,8 +84,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5) == 0)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedupe(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quotation_linking, op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op7_random_projection_forest, op8_chroma_fingerprints, op9_language_id, op10_toxicity, op11_filter_audit, op12_merkle_manifest)
+    own = (op1_quotation_linking, op2_retrieval_packing, op3_recurrent_lm, op4_simhash_dedup, op5_byte_bpe, op6_quality_classifier, op7_random_projection_forest, op8_chroma_fingerprints, op9_language_id, op10_toxicity, op11_filter_audit, op12_merkle_manifest, op13_substring_dedup)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -96,4 +100,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op11_filter_audit": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op11_filter_audit": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_substring_dedup": OP13_SQL}

@@ -50,3 +50,12 @@ folded AS (SELECT k, arg_max(h, step) AS folded_root FROM folds GROUP BY k),
 proof AS (SELECT k, string_agg(l || r, '' ORDER BY step) AS joined FROM steps GROUP BY k)
 SELECT doc_id, leaf, low.h AS subroot, high.h AS root, sha256(coalesce(joined, '')) AS proof_sha256, folded_root, folded_root = high.h AS verified
 FROM starts s JOIN low ON low.tree = s.tree AND low.n = 1 JOIN high ON high.n = 1 JOIN folded f ON f.k = s.k LEFT JOIN proof p ON p.k = s.k"""
+
+OP13_SQL = r"""WITH split AS (SELECT row_number() OVER () AS k, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
+windows AS (SELECT k, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13),
+held AS (SELECT k, doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM windows),
+first AS (SELECT w, min(doc_id) AS first FROM held GROUP BY w),
+gone AS (SELECT DISTINCT k, i + unnest(range(13)) AS i FROM held JOIN first USING (w) WHERE doc_id > first),
+each AS (SELECT k, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM split),
+kept AS (SELECT k, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS joined FROM each ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (k)"""
