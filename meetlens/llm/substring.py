@@ -42,6 +42,8 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 PIECE, CHUNK, BUCKET, LEAST_BUCKETS = 1 << 20, 1 << 23, 1 << 25, 512
 #: Most documents of a chunk, and the number in place of a document's for anchors that several documents of the chunk have.
 MOST_DOCS, ANY = 60_000, 0xFFFF
+#: Bits of the map of wanted rows at most, and its pages.
+MOST_BITS, PAGES = 1 << 28, 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -393,6 +395,47 @@ def by_document(answered: DataFrame) -> DataFrame:
     return rows.repartition("chunk").sortWithinPartitions("chunk", "own").mapInArrow(run, MARKS)
 
 
+def only(raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of raw that may be wanted (doc_id, text_hash), so that a join moves few other texts.
+
+    A bitmap of the wanted rows' hashes, eight bits a row and MOST_BITS at most, is made by pages on the executors and broadcast: 32 MB
+    however many rows there are. Rows let through by chance go in the join; where nearly all bits are set it lets all through.
+    """
+    spark, key = raw.sparkSession, F.xxhash64("doc_id", "text_hash")
+    n = wanted.count()
+    bits = min(MOST_BITS, 1 << max(16, (8 * n).bit_length()))
+    page = bits // PAGES
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(0, bool)
+        for batch in batches:
+            places = np.asarray(batch.column("place"))
+            for part in np.split(places, np.nonzero(np.diff(places // page))[0] + 1):
+                if len(part):
+                    if now != part[0] // page:
+                        if now is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()])], ["page", "bits"])
+                        now, held = int(part[0] // page), np.zeros(page, bool)
+                    held[part % page] = True
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()])], ["page", "bits"])
+
+    places = wanted.select(F.pmod(key, F.lit(bits)).alias("place"))
+    pages = places.repartition(F.floor(F.col("place") / page)).sortWithinPartitions("place").mapInArrow(fill, "page long, bits binary")
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        bitmap[row.page * page // 8 : (row.page + 1) * page // 8] = np.frombuffer(row.bits, np.uint8)
+    known = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.asarray(batch.column("place"))
+            yield batch.filter(pa.array(known.value[place // 8] >> (place % 8).astype(np.uint8) & 1 == 1))
+
+    keyed = raw.where("doc_id IS NOT NULL").withColumn("place", F.pmod(key, F.lit(bits)))
+    return keyed.mapInArrow(run, keyed.schema).drop("place")
+
+
 MARKS = "doc_id long, text_hash long, n_words long, sha string, marks binary"
 _SCHEMA_MARKS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("marks", pa.binary())])
 
@@ -449,9 +492,11 @@ def dedupe(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, buckets:
     known = own.where("doc_id IS NOT NULL")
     first = known.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
     wanted = known.where("marks IS NOT NULL").join(first, ["sha", "doc_id"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    among = materialise(raw.join(wanted.select("doc_id", "text_hash", "marks"), ["doc_id", "text_hash"]).transform(window_entries, window, period, buckets).transform(answers), "windows")
+    wanted = materialise(wanted.select("doc_id", "text_hash", "marks"), "wanted")
+    among = materialise(only(raw, wanted).join(wanted, ["doc_id", "text_hash"]).transform(window_entries, window, period, buckets).transform(answers), "windows")
     gone = by_document(among).where("marks IS NOT NULL").dropDuplicates(["doc_id", "text_hash"])
-    changed = materialise(cut(raw.join(gone.select("doc_id", "text_hash", "marks"), ["doc_id", "text_hash"]), window), "cut").dropDuplicates(["doc_id", "text_hash"])
+    gone = materialise(gone.select("doc_id", "text_hash", "marks"), "gone")
+    changed = materialise(cut(only(raw, gone).join(gone, ["doc_id", "text_hash"]), window), "cut").dropDuplicates(["doc_id", "text_hash"])
     copy = F.col("first").isNull() & (F.col("n_words") >= window)
     named = known.join(first.withColumn("first", F.lit(True)), ["sha", "doc_id"], "left").join(changed, ["doc_id", "text_hash"], "left")
     nothing, all_of_it = F.array().cast("array<struct<start:long,end:long>>"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
