@@ -85,31 +85,44 @@ def season_date(day_month: str | Column, year: str | Column) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", col(day_month), col(year).cast("string")), F.lit("d MMM yyyy")).cast("date")
 
 
+def any_date(text: str | Column) -> Column:
+    """"5 JUN 2026", an ISO date or time, a date: as a date; null for anything else."""
+    c = F.trim(col(text).cast("string"))
+    return F.coalesce(F.try_to_timestamp(c, F.lit("d MMM yyyy")), F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(c))).cast("date")
+
+
 def last_date_in(text: str | Column, year: str | Column) -> Column:
-    """The last "12 June" or "12 June 2026" in running text; the year is filled in where it is missing."""
-    found = F.element_at(F.regexp_extract_all(col(text), F.lit(r"(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*(?: \d{4})?)"), F.lit(1)), -1)
+    """The last "12 June" or "12 June 2026" in running text; the year is filled in where it is missing. Null without a date."""
+    found = F.try_element_at(F.regexp_extract_all(col(text), F.lit(r"(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?(?: \d{4})?)"), F.lit(1)), F.lit(-1))
     parts = F.split(found, " ")
     full = F.concat_ws(" ", F.get(parts, F.lit(0)), F.substring(F.get(parts, F.lit(1)), 1, 3), F.coalesce(F.get(parts, F.lit(2)), col(year).cast("string")))
     return F.try_to_timestamp(full, F.lit("d MMM yyyy")).cast("date")
 
 
 def day_month(date: str | Column) -> Column:
-    return F.date_format(col(date), "dd MMM")
+    return F.date_format(any_date(date), "dd MMM")
 
 
 def iso(date: str | Column) -> Column:
-    return F.date_format(col(date), "yyyy-MM-dd")
+    """A shown date, "27 AUG 2026", as 2026-08-27; null for anything that is no date."""
+    return F.date_format(any_date(date), "yyyy-MM-dd")
+
+
+def birth_date(text: str | Column) -> Column:
+    """A birth date as ISO text; of a year alone, that year; null for anything else."""
+    c = F.trim(col(text).cast("string"))
+    return F.when(c.rlike(r"^\d{4}$"), c).otherwise(F.date_format(F.try_to_timestamp(c, F.lit("d MMM yyyy")), "yyyy-MM-dd"))
 
 
 def season_week(date: str | Column) -> Column:
-    """Whole weeks since 1 May, from 0 to 20."""
-    d = F.to_date(col(date))
-    return F.least(F.lit(MAX_WEEK), F.greatest(F.lit(0), F.floor(F.datediff(d, F.make_date(F.year(d), F.lit(5), F.lit(1))) / 7))).cast("int")
+    """Whole weeks since 1 May, from 0 to 20; null without a date."""
+    d = any_date(date)
+    return F.when(d.isNotNull(), F.least(F.lit(MAX_WEEK), F.greatest(F.lit(0), F.floor(F.datediff(d, F.make_date(F.year(d), F.lit(5), F.lit(1))) / 7)))).cast("int")
 
 
 def age_years(born: str | Column, on: str | Column) -> Column:
     """Years to one decimal, ties to even."""
-    return F.bround(F.datediff(F.to_date(col(on)), F.to_date(col(born))) / 365.25, 1)
+    return F.bround(F.datediff(any_date(on), any_date(born)) / 365.25, 1)
 
 
 def wind_reading(text: str | Column) -> Column:
@@ -141,7 +154,7 @@ def ordinal(n: str | Column) -> Column:
 
 def date_number(date: str | Column) -> Column:
     """yyyymmdd; undated rows lowest."""
-    return F.coalesce(F.date_format(col(date), "yyyyMMdd").cast("int"), F.lit(0))
+    return F.coalesce(F.date_format(any_date(date), "yyyyMMdd").cast("int"), F.lit(0))
 
 
 def fade_weight(seasons_ago: str | Column, last_season: float, per_year: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlens.functions.marks import col
+from meetlens.operators.order import join_null_safe, quantiles
 
 Keys = list[str]
 
@@ -100,9 +101,12 @@ def career_progression(sources: list[DataFrame], keys: Keys, season: str, date:
 
 
 def depth_stats(df: DataFrame, group: Keys, score: str, indoor: Column | None = None) -> DataFrame:
-    """Count, whole-number median, largest score and share indoors of each group."""
+    """Count, whole-number median, largest score and share indoors of each group. The median is exact, over counts by value."""
     extra = [F.round(F.avg(indoor.cast("double")), 4).alias("indoor_share")] if indoor is not None else []
-    return df.groupBy(*group).agg(F.count("*").alias("n"), F.floor(F.percentile(score, 0.5)).cast("long").alias("median_score"), F.max(score).alias("top_score"), F.min(score).alias("low_score"), *extra)
+    middle = quantiles(df, group, F.col(score), {"_median": 0.5})
+    sums = df.groupBy(*group).agg(F.count("*").alias("n"), F.max(score).alias("top_score"), F.min(score).alias("low_score"), *extra)
+    named = join_null_safe(sums, middle, group, "left")
+    return named.select(*group, "n", F.floor("_median").cast("long").alias("median_score"), "top_score", "low_score", *(["indoor_share"] if extra else []))
 
 
 def corpus_counts(df: DataFrame, season: Column, venue: str, date: Column) -> DataFrame:
@@ -161,10 +165,14 @@ def relay_squads(df: DataFrame, team: Keys, athlete: str, meet: str, round_id: s
 
 
 def field_gap(df: DataFrame, partition: Keys, value: str, higher_is_better: bool, name: str = "field_gap") -> DataFrame:
-    """How far behind the field's best, in sample deviations of the field; 0 where there is no spread."""
-    w = Window.partitionBy(*partition)
-    behind = F.max(value).over(w) - F.col(value) if higher_is_better else F.col(value) - F.min(value).over(w)
-    return df.withColumn(name, F.coalesce(behind / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)), F.lit(0.0)))
+    """How far behind the field's best, in sample deviations of the field; 0 where there is no spread.
+
+    The best and the deviation are aggregates, joined back: no field is gathered in one task.
+    """
+    best = F.max(value) if higher_is_better else F.min(value)
+    fields = df.groupBy(*partition).agg(best.alias("_best"), F.stddev_samp(value).alias("_sd"))
+    behind = F.col("_best") - F.col(value) if higher_is_better else F.col(value) - F.col("_best")
+    return join_null_safe(df, fields, partition).withColumn(name, F.coalesce(behind / F.nullif(F.col("_sd"), F.lit(0.0)), F.lit(0.0))).drop("_best", "_sd")
 
 
 def score_context(df: DataFrame, group: Keys, score: str, at: DataFrame) -> DataFrame:
@@ -181,10 +189,15 @@ def score_context(df: DataFrame, group: Keys, score: str, at: DataFrame) -> Data
 
 
 def depth_index(df: DataFrame, group: Keys, score: str, athlete: str, chance: str) -> DataFrame:
-    """Per field: spread of scores, best athlete, median, gap between the two best chances; rank 1 is the closest field."""
-    w = Window.partitionBy(*group).orderBy(F.desc(chance), athlete)
-    two = df.withColumn("_next", F.lead(chance).over(w)).withColumn("_n", F.row_number().over(w))
-    out = two.groupBy(*group).agg((F.max(score) - F.min(score)).alias("spread"), F.max_by(athlete, F.struct(F.col(score), (-F.hash(athlete)).alias("h"))).alias("best_athlete"), F.median(score).alias("median_score"), F.max(F.when(F.col("_n") == 1, F.col(chance) - F.col("_next"))).alias("chance_gap"), F.count("*").alias("n"))
+    """Per field: spread of scores, best athlete, median, gap between the two best chances; rank 1 is the closest field.
+
+    The two best chances come from a top-2 cut, which Spark makes before the shuffle; the median is exact, over counts by value.
+    """
+    two = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(chance), athlete))).where("_n <= 2")
+    gaps = two.groupBy(*group).agg(F.max(F.when(F.col("_n") == 1, F.col(chance))).alias("_a"), F.max(F.when(F.col("_n") == 2, F.col(chance))).alias("_b"))
+    sums = df.groupBy(*group).agg((F.max(score) - F.min(score)).alias("spread"), F.max_by(athlete, F.struct(F.col(score), (-F.hash(athlete)).alias("h"))).alias("best_athlete"), F.count("*").alias("n"))
+    both = join_null_safe(join_null_safe(sums, gaps, group), quantiles(df, group, F.col(score), {"median_score": 0.5}), group, "left")
+    out = both.select(*group, "spread", "best_athlete", "median_score", (F.col("_a") - F.col("_b")).alias("chance_gap"), "n")
     return out.withColumn("depth_rank", F.row_number().over(Window.orderBy("spread", *group)))
 
 

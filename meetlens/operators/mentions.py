@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meetlens.sources.shared import materialise
+
 Keys = list[str]
 
 
@@ -21,18 +23,31 @@ def aliases(athletes: DataFrame, key: str, name: str, ambiguous: list[str] = ())
     return full.unionByName(unique_tokens(rest, key, "_r", ambiguous).withColumn("surname_only", F.lit(True)))
 
 
+_WORDS = r"(\w+)"
+
+
+def positions(texts: DataFrame, text_id: str, text: str) -> DataFrame:
+    """The positional word index: a row (text_id, _p, _w) for each word of each text."""
+    return texts.select(text_id, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_WORDS), F.lit(1))).alias("_p", "_w"))
+
+
 def mentions(texts: DataFrame, text_id: str, text: str, alias_table: DataFrame, key: str, alias: str) -> DataFrame:
-    """text_id, key, alias: names that occur as whole words. An equi-join on the words of both sides; no theta join.
+    """text_id, key, alias: names that occur as whole words, once a text. Equi-joins on the positional word index; no theta join.
 
-    An alias of several words is found by its first and then compared with the words that follow.
+    Of the index only words that some alias has are kept, and written once. An alias is looked up by its rarest word, which gives the
+    place where it would start; its other words are then joined by text, place and word. Aliases of one word need the first step only.
     """
-    words = texts.select(text_id, F.regexp_extract_all(F.col(text), F.lit(r"(\w+)"), F.lit(1)).alias("_ws"))
-    parts = alias_table.select(key, alias, F.regexp_extract_all(F.col(alias), F.lit(r"(\w+)"), F.lit(1)).alias("_as")).withColumn("_w", F.get("_as", F.lit(0)))
-    single = words.select(text_id, F.explode(F.array_distinct("_ws")).alias("_w")).join(parts.where(F.size("_as") == 1), "_w").select(text_id, key, alias)
-    several = parts.where(F.size("_as") > 1)
-    spread = words.select(text_id, "_ws", F.explode(F.array_distinct("_ws")).alias("_w")).join(several, "_w")
-    at = F.filter(F.sequence(F.lit(1), F.size("_ws")), lambda i: F.slice("_ws", i, F.size("_as")) == F.col("_as"))
-    return single.unionByName(spread.where(F.size(at) > 0).select(text_id, key, alias))
+    named = alias_table.select(key, alias, F.regexp_extract_all(F.col(alias), F.lit(_WORDS), F.lit(1)).alias("_as")).where(F.size("_as") > 0).distinct()
+    parts = named.select(key, alias, "_as", F.posexplode("_as").alias("_o", "_w"))
+    known = materialise(positions(texts, text_id, text).join(parts.select("_w").distinct(), "_w", "left_semi"), "positions")
+    often = parts.join(known.groupBy("_w").agg(F.count("*").alias("_c")), "_w")
+    rarest = often.groupBy(key, alias, "_as").agg(F.min(F.struct("_c", "_o", "_w")).alias("_r"), F.count("*").alias("_n")).where(F.col("_n") == F.size("_as"))
+    anchors = rarest.select(key, alias, "_as", F.col("_r._o").alias("_o"), F.col("_r._w").alias("_w"))
+    starts = known.join(anchors, "_w").select(text_id, key, alias, (F.col("_p") - F.col("_o")).alias("_s"), "_as")
+    single = starts.where(F.size("_as") == 1).select(text_id, key, alias)
+    wanted = starts.where(F.size("_as") > 1).select(text_id, key, alias, "_s", F.size("_as").alias("_n"), F.posexplode("_as").alias("_o", "_w")).withColumn("_p", F.col("_s") + F.col("_o"))
+    met = wanted.join(known, [text_id, "_p", "_w"]).groupBy(text_id, key, alias, "_s", "_n").agg(F.count("*").alias("_m")).where("_m = _n")
+    return single.union(met.select(text_id, key, alias)).distinct()
 
 
 def superseded(flags: DataFrame, returns: DataFrame, keys: Keys, flagged: str, back: str) -> DataFrame:

@@ -37,20 +37,45 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
     return a.join(other, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], how).drop(*(f"__of_{k}" for k in keys))
 
 
-def with_standing(df: DataFrame, groups: list[str], value: Column, below: str = "below", ties: str = "ties", size: str = "size") -> DataFrame:
-    """Adds three longs: the rows of the same group with a smaller value, with the same one, and all; null is below any value.
-
-    Rows are dealt by ranges of group and value, those with equal values too (by a salt), and written once. From there on only a row
-    for each task and value moves, but for one join of the rows to them, whose key has the task.
-    """
-    v, salted = "__value", df.withColumn("__value", value).withColumn(_SALT, F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(1 << 20)))
-    dealt = materialise(salted.repartitionByRange(*groups, v, _SALT).withColumn(_TASK, F.spark_partition_id()).drop(_SALT), "standing")
-    counts = dealt.groupBy(_TASK, *groups, v).agg(F.count("*").alias("__n"))
+def _standings(counts: DataFrame, groups: list[str], v: str, below: str, ties: str, size: str) -> DataFrame:
+    """_TASK, groups, v, below, ties, size from counts (_TASK, groups, v, __n) that were dealt by ranges of groups and v."""
     sums = counts.groupBy(_TASK, *groups).agg(F.sum("__n").alias("__sum"))
     along = Window.partitionBy(*groups).orderBy(_TASK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the group
     starts = sums.select(_TASK, *groups, F.coalesce(F.sum("__sum").over(along), F.lit(0)).alias(_BEFORE), F.sum("__sum").over(Window.partitionBy(*groups)).alias(size))
     inside = Window.partitionBy(_TASK, *groups).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
     placed = join_null_safe(counts.withColumn(_AT, F.coalesce(F.sum("__n").over(inside), F.lit(0))), starts, [_TASK, *groups])
     same = Window.partitionBy(*groups, v)  # a row for each task that holds the value
-    known = placed.select(_TASK, *groups, v, size, F.min(F.col(_AT) + F.col(_BEFORE)).over(same).alias(below), F.sum("__n").over(same).alias(ties))
+    return placed.select(_TASK, *groups, v, size, F.min(F.col(_AT) + F.col(_BEFORE)).over(same).alias(below), F.sum("__n").over(same).alias(ties))
+
+
+def with_standing(df: DataFrame, groups: list[str], value: Column, below: str = "below", ties: str = "ties", size: str = "size") -> DataFrame:
+    """Adds three longs: the rows of the same group with a smaller value, with the same one, and all; null is below any value.
+
+    Rows are dealt by ranges of group and value, those with equal values too (by a salt), and written once. From there on only a row
+    for each task and value moves, but for one join of the rows to them, whose key has the task.
+    """
+    v, salt = "__value", F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(1 << 20))
+    salted = df.withColumns({v: value, _SALT: salt}).repartitionByRange(*groups, v, _SALT)
+    dealt = materialise(salted.withColumn(_TASK, F.spark_partition_id()).drop(_SALT), "standing")
+    known = _standings(dealt.groupBy(_TASK, *groups, v).agg(F.count("*").alias("__n")), groups, v, below, ties, size)
     return join_null_safe(dealt, known, [_TASK, *groups, v]).drop(_TASK, v)
+
+
+def quantiles(df: DataFrame, groups: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """groups and a double for each name in shares: that quantile of the group's values, exact, between neighbours by their distance.
+
+    Values are counted before they move and their counts dealt by ranges, so a group of any size is split; null values do not count, and
+    a group without values has no row.
+    """
+    v = "__value"
+    counts = df.where(value.isNotNull()).groupBy(*groups, value.cast("double").alias(v)).agg(F.count("*").alias("__n"))
+    dealt = materialise(counts.repartitionByRange(*groups, v).withColumn(_TASK, F.spark_partition_id()), "counts")
+    known = _standings(dealt, groups, v, "__below", "__ties", "__size")
+
+    def read(share: float) -> Column:
+        at = F.lit(float(share)) * (F.max("__size") - 1)
+        # the value at a whole place is the largest one with that many or fewer below it
+        low, high = (F.max(F.when(F.col("__below") <= whole(F.lit(float(share)) * (F.col("__size") - 1)), F.col(v))) for whole in (F.floor, F.ceil))
+        return low + (high - low) * (at - F.floor(at))
+
+    return known.groupBy(*groups).agg(*(read(share).alias(name) for name, share in shares.items()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlens.functions.marks import col
+from meetlens.operators.order import with_standing
 
 Keys = list[str]
 
@@ -17,19 +18,22 @@ def directed(value: str | Column, higher_is_better: bool | Column) -> Column:
     return F.when(higher_is_better, col(value)).otherwise(-col(value))
 
 
-def average_rank(partition: Keys, value: Column) -> Column:
-    """Rank in ascending order of value; equal values share the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(*partition).orderBy(value)).cast("double") + (F.count("*").over(Window.partitionBy(*partition, value)).cast("double") - 1) / 2
-
-
 def with_season_rank(df: DataFrame, partition: Keys, value: str, higher_is_better: bool | Column) -> DataFrame:
-    """season_rank (1 is best, ties averaged) and percentile: the rank in the other direction as a share of the field."""
+    """season_rank (1 is best, ties averaged) and percentile: the rank in the other direction as a share of the field.
+
+    Rows without a value have neither, and do not count. Ranks are exact and no group is sorted in one task (order.with_standing).
+    """
     good = directed(value, higher_is_better)
-    return df.withColumns({"season_rank": average_rank(partition, -good), "percentile": average_rank(partition, good) / F.count("*").over(Window.partitionBy(*partition))})
+    known = with_standing(df.where(good.isNotNull()), partition, good, "_below", "_ties", "_size")
+    extra = (F.col("_ties").cast("double") - 1) / 2
+    ranked = known.withColumns({"season_rank": (F.col("_size") - F.col("_below") - F.col("_ties") + 1).cast("double") + extra, "percentile": ((F.col("_below") + 1).cast("double") + extra) / F.col("_size")})
+    none = F.lit(None).cast("double")
+    return ranked.drop("_below", "_ties", "_size").unionByName(df.where(good.isNull()).withColumns({"season_rank": none, "percentile": none}))
 
 
 def with_min_rank(df: DataFrame, partition: Keys, value: Column, name: str = "min_rank") -> DataFrame:
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*partition).orderBy(value)))
+    """Competition rank in ascending order of value, null first: one more than the rows below."""
+    return with_standing(df, partition, value, "_below", "_ties", "_size").withColumn(name, F.col("_below") + 1).drop("_below", "_ties", "_size")
 
 
 def top_k(df: DataFrame, partition: Keys, order: list[Column], k: int, rank: str = "rn") -> DataFrame:

@@ -262,13 +262,3 @@ def forest_walk_forward(t):
     past = runs(t).where("y < 1996").groupBy("athlete").agg(F.avg("place").alias("mean_place"), F.max("v").alias("career_best"))
     rows = r.join(past, "athlete").withColumn("label", (F.col("place") <= 3).cast("int")).select("race", "athlete", "place", "y", "balance", "mean_place", "career_best", "label")
     return E.hit_rates(forest.folds(rows, ["balance", "mean_place", "career_best"], ["race"], "athlete", "place", "y", [1997, 1998]), ["fold"])
-
-
-@query()
-def field_model_backtest(t):
-    """Rank-order model on finals of season bests, walked forward by season. Rows only."""
-    x = totals(t)
-    fields = x.withColumn("n", F.row_number().over(Window.partitionBy("grp", "y").orderBy(F.desc("v"), "id"))).where("n <= 8")
-    rows = fields.join(x.groupBy("athlete").agg(F.avg("v").alias("mean_v"), F.count("*").cast("double").alias("races")), "athlete").select("grp", "y", "athlete", F.col("n").alias("place"), "mean_v", "races")
-    found = P.walk_forward(P.collect_finals(rows, ["grp", "y"], "athlete", ["mean_v", "races"], "place"), lambda k: k[1], [1994, 1995, 1996, 1997, 1998], ["mean_v", "races"])
-    return x.sparkSession.createDataFrame(found, "final string, year int, hits int, winner boolean, log_likelihood double")

@@ -160,6 +160,21 @@ def shown_dates(t):
     return o.select("o_orderkey", *[c.alias(k) for k, c in found.items()])
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d FROM orders), f AS (SELECT *, CASE WHEN k <= 1 THEN d END AS known FROM o)
+SELECT o_orderkey, strftime(known, '%d %b') AS shown, strftime(known, '%Y-%m-%d') AS iso, coalesce(CAST(strftime(known, '%Y%m%d') AS BIGINT), 0) AS number, CASE WHEN k = 5 THEN CAST(year(d) AS VARCHAR) WHEN k = 0 THEN strftime(d, '%Y-%m-%d') END AS born,
+ CASE WHEN known IS NOT NULL THEN least(20, greatest(0, floor((d - make_date(year(d), 5, 1)) / 7.0)))::BIGINT END AS week, round_even((DATE '1999-06-01' - known) / 365.25, 1)::DOUBLE AS age,
+ CASE WHEN k IN (0, 7) THEN d END AS last_date FROM f""")
+def uneven_dates(t):
+    """Dates as pages show them: upper case, ISO, a year alone, an impossible day, running text, a word, nothing, null."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    shown = F.date_format(d, "d MMM yyyy")
+    text = F.when(k == 0, F.concat(F.upper(F.substring_index(shown, " ", 2)), F.lit(" "), F.year(d).cast("string"))).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, "").when(k == 3, "DNF")
+    text = text.when(k == 5, F.year(d).cast("string")).when(k == 6, F.concat(F.lit("31 FEB "), F.year(d).cast("string"))).when(k == 7, F.concat(F.lit("on 3 May and then "), F.date_format(d, "d MMMM"), F.lit(" at Rome")))
+    o = t("orders").select("o_orderkey", text.alias("text"), F.year(d).alias("y"), F.when(k == 0, F.initcap(text)).otherwise(text).alias("running"))
+    found = {"shown": marks.day_month("text"), "iso": marks.iso("text"), "number": marks.date_number("text"), "born": marks.birth_date("text"), "week": marks.season_week("text"), "age": marks.age_years("text", F.lit("1999-06-01")), "last_date": marks.last_date_in("running", "y")}
+    return o.select("o_orderkey", *[c.alias(n) for n, c in found.items()])
+
+
 @query("""SELECT o_orderkey, CAST(o_orderkey % 1000 AS BIGINT) AS digits, o_totalprice AS loose, o_orderkey % 2 = 0 AS is_number,
 CASE WHEN o_orderkey % 3 = 0 THEN 'Cup ' || year(o_orderdate) ELSE 'Cup ' || year(o_orderdate) END AS label,
 greatest(0.01, least(0.99, (o_orderkey % 100) / 100.0))::DOUBLE AS clamped, 0.9 * pow(0.8, o_orderkey % 4)::DOUBLE AS weight,

@@ -48,6 +48,18 @@ def mention_join(t):
     return M.mentions(_heads(t), "doc_id", "x", _aliases(t), "id", "alias")
 
 
+@query("""WITH items AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')), ' ') AS w FROM benchmark),
+a AS (SELECT DISTINCT item_id AS id, array_to_string(w[k:k + n - 1], ' ') AS alias FROM items, (VALUES (1, 2), (2, 3), (4, 5)) AS v(k, n) WHERE len(w) >= k + n - 1),
+d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') || ' ' AS x FROM documents)
+SELECT doc_id, id, alias FROM d JOIN a ON contains(x, ' ' || alias || ' ')""")
+def mention_phrases(t):
+    """Aliases of two, three and five words: phrases of the benchmark's items, wherever a document has them."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)"), F.lit(1))
+    phrases = F.array(*(F.when(F.size(words) >= k + n - 1, F.array_join(F.slice(words, k, n), " ")) for k, n in ((1, 2), (2, 3), (4, 5))))
+    aliases = t("benchmark").select(F.col("item_id").alias("id"), F.explode(phrases).alias("alias")).where("alias IS NOT NULL")
+    return M.mentions(_heads(t), "doc_id", "x", aliases, "id", "alias")
+
+
 @query(f"""{CODES}, n AS (SELECT doc_id, x, unnest(['loser','scum','clown','moron']) AS name, strpos(x, 'idiot') AS kp FROM h WHERE contains(x, 'idiot')), p AS (SELECT *, strpos(x, name) AS pos FROM n WHERE contains(x, name))
 SELECT doc_id, arg_min(name, (abs(pos - kp), pos)) AS nearest FROM p GROUP BY 1""")
 def keyword_nearest(t):
