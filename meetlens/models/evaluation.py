@@ -102,14 +102,6 @@ def within_slope(df: DataFrame, unit: Keys, y: str, x: str, by: Keys = (), least
     return sums.select(*by, "n", "units", slope.alias("slope"), se.alias("std_error"))
 
 
-def permuted(df: DataFrame, within: Keys, columns: Keys, seed: int) -> DataFrame:
-    """The columns permuted together within each group, by a seeded order: the control of an evaluation."""
-    w = Window.partitionBy(*within)
-    kept = df.withColumn("_i", F.row_number().over(w.orderBy(F.monotonically_increasing_id())))
-    moved = kept.select(*within, *columns, F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "_i"), "_i")).alias("_i"))
-    return kept.drop(*columns).join(moved, [*within, "_i"]).drop("_i")
-
-
 def sign_agreement(slopes: DataFrame, event: Column, gender: Column) -> DataFrame:
     """Events whose slopes for men and women have the same sign."""
     two = slopes.groupBy(event.alias("event")).agg(F.max(F.when(gender == "men", F.signum("slope"))).alias("m"), F.max(F.when(gender == "women", F.signum("slope"))).alias("w")).dropna()

@@ -1,8 +1,8 @@
 """Rank-order model of finals: chances as plans, fitting in numpy.
 
 Chances of one final need only that final's rows. Win chances are windows. Podium chances are grouped by final and computed
-with Arrow, in closed form over all ordered triples, so a final of n costs n cubed in one array and no join rows. Fitting is a
-few thousand rows and a dozen weights: a projected quasi-Newton in numpy on the driver.
+with Arrow, in closed form over all ordered triples, so a final of n costs n cubed in one array and no join rows. `fit` is for finals
+that one task holds; tables are fitted on the executors, by rank_order.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meetlens.operators.order import join_null_safe
+
 Keys = list[str]
 
 
@@ -138,82 +140,7 @@ def fit(finals: list[tuple[np.ndarray, np.ndarray]], features: list[str], l2: fl
     return FieldModel(features, mean, std, w, converged, len(finals))
 
 
-def collect_finals(df: DataFrame, final: Keys, athlete: str, features: list[str], place: str, least_placed: int = 3, least_scored: int = 5) -> list[tuple[tuple, np.ndarray, np.ndarray]]:
-    """(key, rows, first three) of each final with enough placed and scored starters; rows by name, so ties tell nothing."""
-    w = Window.partitionBy(*final)
-    kept = df.withColumns({"_p": F.count_if(F.col(place) <= 3).over(w), "_s": F.count_if(F.col(features[0]).isNotNull()).over(w)}).where((F.col("_p") >= least_placed) & (F.col("_s") >= least_scored))
-    out = []
-    rows = kept.select(*final, athlete, place, *features).toPandas()
-    for key, g in rows.groupby(final, sort=True):
-        g = g.sort_values(athlete)
-        x = g[features].to_numpy(float)
-        x = np.where(np.isnan(x), np.nanmean(np.vstack([x, np.zeros(x.shape[1])]), 0), x)
-        placed = g[place].to_numpy(float)
-        top = [int(np.flatnonzero(placed == k)[0]) for k in (1, 2, 3) if (placed == k).any()]
-        if len(top) == 3:
-            out.append((key, x, np.array(top)))
-    return out
-
-
-def walk_forward(finals: list[tuple[tuple, np.ndarray, np.ndarray]], year_of, years: list[int], features: list[str], l2: float = 0.01, shuffle_seed: int | None = None) -> pd.DataFrame:
-    """Per test year a fit on all earlier finals, scored on that year's: hits among three, winner named, log-likelihood.
-
-    With a seed the features of each final are permuted among its starters: the control, which must not do well.
-    """
-    rng, rows = np.random.default_rng(shuffle_seed), []
-    data = [(k, rng.permutation(x) if shuffle_seed is not None else x, t) for k, x, t in finals]
-    for year in years:
-        past, now = ([(x, t) for k, x, t in data if test(year_of(k))] for test in (lambda y, year=year: y < year, lambda y, year=year: y == year))
-        if not past or not now:
-            continue
-        m = fit(past, features, l2)
-        for k, x, t in (d for d in data if year_of(d[0]) == year):
-            u = ((x - m.mean) / m.std) @ m.weights
-            called = np.argsort(-u, kind="stable")[:3]
-            rows.append({"final": str(k), "year": year, "hits": len(set(called) & set(t)), "winner": bool(called[0] == t[0]), "log_likelihood": -loss_and_gradient(m.weights, [((x - m.mean) / m.std, t)], 0)[0]})
-    return pd.DataFrame(rows, columns=["final", "year", "hits", "winner", "log_likelihood"])
-
-
-def bootstrap_lower(d: np.ndarray, draws: int = 10_000, quantile: float = 0.1, seed: int = 0) -> float:
-    """A low quantile of bootstrap means of paired differences."""
-    rng = np.random.default_rng(seed)
-    return float(np.quantile(rng.choice(d, (draws, len(d))).mean(1), quantile)) if len(d) else float("nan")
-
-
-def ships(gains: dict[str, np.ndarray], regional: dict[str, float], control: dict[str, float]) -> dict[str, bool]:
-    """Per group: the gain's lower bound is above zero, the regional mean is not below, and the control's gain is not above zero."""
-    return {g: bootstrap_lower(d) > 0 and regional.get(g, 0.0) >= 0 and control.get(g, 0.0) <= 0 for g, d in gains.items()}
-
-
-def compare_rule(base: pd.DataFrame, candidate: pd.DataFrame, controls: list[pd.DataFrame]) -> dict:
-    """Candidate against baseline on the same finals: more hits or as many, not fewer winners, gain's bound above 0, controls fail."""
-    both = base.merge(candidate, on="final", suffixes=("_b", "_c"))
-    gain = (both.log_likelihood_c - both.log_likelihood_b).to_numpy(float)
-    checks = {"hits": bool(both.hits_c.sum() >= both.hits_b.sum()), "winners": bool(both.winner_c.sum() >= both.winner_b.sum()), "gain": bootstrap_lower(gain) > 0, "controls": all(c.log_likelihood.mean() < base.log_likelihood.mean() for c in controls)}
-    return checks | {"pass": all(checks.values()), "mean_gain": float(gain.mean()) if len(gain) else float("nan")}
-
-
-def choose(rows: list[dict], keys: list[str]) -> dict | None:
-    """The row that passes and is largest by the keys in order."""
-    passing = [r for r in rows if r.get("pass", True)]
-    return max(passing, key=lambda r: tuple(r[k] for k in keys), default=None)
-
-
-# Features of a field
-
-
-def field_features(df: DataFrame, final: Keys, score: str, cutoff: Column) -> DataFrame:
-    """Gaps to the best and to the third best, gap to the career best, months since the best, gain on last season, age, form.
-
-    Wants score, career_best, prev_season_best, sb_date, dob, form_score, recent_score; missing ages take the field's median,
-    failing that 25.
-    """
-    w = Window.partitionBy(*final)
-    third = F.max(F.when(F.col("_n") == 3, F.col(score))).over(w)
-    out = df.withColumn("_n", F.row_number().over(w.orderBy(F.desc_nulls_last(score))))
-    age = F.datediff(cutoff, "dob") / 365.25
-    median = F.median(age).over(w)
-    return out.withColumns({"gap_best": F.coalesce(F.col(score) - F.max(score).over(w), F.lit(0.0)), "gap_third": F.coalesce(F.col(score) - third, F.lit(0.0)), "pb_gap": F.coalesce(F.least(F.col(score) - F.col("career_best"), F.lit(0.0)), F.lit(0.0)), "has_history": F.col("career_best").isNotNull().cast("double"), "months_since": F.coalesce(F.datediff(cutoff, "sb_date") / 30.0, F.lit(12.0)), "yoy": F.coalesce(F.col(score) - F.col("prev_season_best"), F.lit(0.0)), "age": F.coalesce(age, median, F.lit(25.0)), "form": F.coalesce(F.col("form_score") - F.max("form_score").over(w), F.lit(0.0)), "recent_delta": F.coalesce(F.col("recent_score") - F.col(score), F.lit(0.0))}).drop("_n")
+# Levels of a field
 
 
 def strength(form: str, career: str, consistency: Column) -> Column:
@@ -232,11 +159,11 @@ def faded_level(df: DataFrame, final: Keys, now: str, old: list[tuple[str, Colum
     old: (column of a best, how many seasons ago). lift_from is the column that lifts. The cap is on season levels, so an
     old mark never passes the leader.
     """
-    w = Window.partitionBy(*final)
     lifts = F.array(*(F.struct(F.greatest(F.lit(0.0), F.coalesce((F.col(c) - F.col(now)) * last_season * F.pow(F.lit(per_year), ago - 1), F.lit(0.0))).alias("lift"), F.lit(-i).alias("order"), F.lit(c).alias("name")) for i, (c, ago) in enumerate(old)))
-    room = F.greatest(F.lit(0.0), F.max(now).over(w) - F.col(now)) * cap
-    out = df.withColumn("_l", F.array_max(lifts)).withColumn("lift", F.least(F.col("_l.lift"), room))
-    return out.withColumns({"level": F.col(now) + F.col("lift"), "lift_from": F.when(F.col("lift") > 0, F.col("_l.name"))}).drop("_l")
+    best = df.groupBy(*final).agg(F.max(now).alias("_best"))
+    room = F.greatest(F.lit(0.0), F.col("_best") - F.col(now)) * cap
+    out = join_null_safe(df, best, final).withColumn("_l", F.array_max(lifts)).withColumn("lift", F.least(F.col("_l.lift"), room))
+    return out.withColumns({"level": F.col(now) + F.col("lift"), "lift_from": F.when(F.col("lift") > 0, F.col("_l.name"))}).drop("_l", "_best")
 
 
 def old_mark_reason(now: str, lift: str = "lift", source: str = "lift_from") -> Column:

@@ -45,7 +45,7 @@ def _standings(counts: DataFrame, groups: list[str], v: str, below: str, ties: s
     inside = Window.partitionBy(_TASK, *groups).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
     placed = join_null_safe(counts.withColumn(_AT, F.coalesce(F.sum("__n").over(inside), F.lit(0))), starts, [_TASK, *groups])
     same = Window.partitionBy(*groups, v)  # a row for each task that holds the value
-    return placed.select(_TASK, *groups, v, size, F.min(F.col(_AT) + F.col(_BEFORE)).over(same).alias(below), F.sum("__n").over(same).alias(ties))
+    return placed.select(_TASK, *groups, v, F.min(F.col(_AT) + F.col(_BEFORE)).over(same).alias(below), F.sum("__n").over(same).alias(ties), size)
 
 
 def with_standing(df: DataFrame, groups: list[str], value: Column, below: str = "below", ties: str = "ties", size: str = "size") -> DataFrame:

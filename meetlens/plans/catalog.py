@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlens.plans import features, models, pairs, reports, scalars, streams, texts  # noqa: F401  they register their queries
+from meetlens.plans import features, models, pairs, reports, scalars, sources, streams, texts  # noqa: F401  they register their queries
 from meetlens.plans.base import ORACLES, QUERIES
 
 

@@ -180,24 +180,6 @@ def resolved_event(events: DataFrame, dimension: DataFrame, mile_as_1500: bool =
     return events.withColumn("_k", key).join(F.broadcast(own), ["gender", "_k"], "left").drop("_k")
 
 
-def paged(pages: list[DataFrame], size: int, outside: Column, key: str, most_outside: float = 0.05) -> DataFrame:
-    """Pages in order up to the first empty or short one, unique by key; fails if too large a share lies outside the area."""
-    kept = []
-    for page in pages:
-        n = page.count()
-        if n:
-            kept.append(page)
-        if n < size:
-            break
-    if not kept:
-        return pages[0].limit(0)
-    rows = reduce(DataFrame.unionByName, kept).dropDuplicates([key])
-    r = rows.agg(F.avg(outside.cast("double")).alias("share")).first()
-    if (r.share or 0) > most_outside:
-        raise ValueError(f"{r.share:.1%} of the rows lie outside the area")
-    return rows
-
-
 def registry(rows: DataFrame, key: str, value: str) -> DataFrame:
     """One registry entry; an unknown key is an error."""
     found = rows.where(F.col(key) == value)

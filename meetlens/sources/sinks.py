@@ -1,14 +1,18 @@
 """Sinks: overwrite, append with de-duplication, source replacement, upserts, write-once and guarded report trees.
 
-A table that is read and rewritten goes to a sibling folder first and is swapped in by renames, so a failed job leaves the old one.
+A table that is corrected is partitioned, by source and season or by a hash of its key; a correction rewrites the partitions it touches
+by dynamic partition overwrite, and the other files stay as they are. At no time is there no table.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meetlens.sources.readers import exists, readable
+from meetlens.sources.shared import materialise
 
 Keys = list[str]
 
@@ -17,29 +21,51 @@ def overwrite(df: DataFrame, path: str, partition: Keys = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
-def _swap(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
-    if fs.exists(at(path)):
-        fs.delete(at(f"{path}.old"), True)
-        fs.rename(at(path), at(f"{path}.old"))
-    fs.rename(at(f"{path}.new"), at(path))
-    fs.delete(at(f"{path}.old"), True)
+#: The partition column of tables that are rewritten by key, and how many partitions a new table has.
+PART, PARTS = "__part", 64
+
+
+def read(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """A table of these sinks, without the partition column that is theirs; where there is none, no rows of like."""
+    if not exists(spark, path):
+        return like.limit(0)
+    return spark.read.parquet(path).drop(PART)
+
+
+def _dynamic(df: DataFrame, path: str, *partition: str) -> None:
+    """Writes the partitions that df has rows of; the others keep their files."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def _rewrite(new: DataFrame, path: str, key: Keys, parts: int, merge) -> None:
+    """The partitions of the new rows' keys become merge(their old rows, the new rows); a key's partition follows from the key alone.
+
+    The merged rows are written aside first, so that nothing is read from what is being replaced. A task that is run again, or a batch
+    that a stream repeats, gives the same files.
+    """
+    spark = new.sparkSession
+    rows = materialise(new.withColumn(PART, F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")), "new-rows")
+    touched = [r[0] for r in rows.select(PART).distinct().collect()]  # at most `parts` numbers
+    if not touched:
+        return
+    old = spark.read.parquet(path).where(F.col(PART).isin(touched)) if exists(spark, path) else rows.limit(0)
+    merged = materialise(merge(old.drop(PART), rows.drop(PART)).withColumn(PART, F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")), "merged")
+    _dynamic(merged.repartition(PART), path, PART)
+    left = {r[0] for r in merged.select(PART).distinct().collect()}
+    if set(touched) - left:  # partitions that lost their last row
+        for part in set(touched) - left:
+            merged.drop(PART).limit(0).write.mode("overwrite").parquet(f"{path}/{PART}={part}")
     spark.catalog.refreshByPath(path)
 
 
-def existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.parquet(path) if exists(spark, path) else like.limit(0)
+def append_unique(df: DataFrame, path: str, key: Keys, order: list[Column], parts: int = PARTS) -> None:
+    """Old and new rows, the first by order of each key; an old row stays. Only partitions of the new keys are rewritten."""
 
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        rows = old.withColumn("_b", F.lit(0)).unionByName(new.withColumn("_b", F.lit(1)), allowMissingColumns=True)
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_b", *order))).where("_n = 1").drop("_n", "_b")
 
-def append_unique(df: DataFrame, path: str, key: Keys, order: list[Column]) -> None:
-    """Old and new rows, the first by order of each key."""
-    rows = existing(df.sparkSession, path, df).withColumn("_b", F.lit(0)).unionByName(df.withColumn("_b", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_b", *order)
-    _swap(rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_b"), path)
+    _rewrite(df, path, key, parts, merge)
 
 
 def source_replaced(old: DataFrame, new: DataFrame, source: str, own: str, season: str | None = None) -> DataFrame:
@@ -51,11 +77,23 @@ def source_replaced(old: DataFrame, new: DataFrame, source: str, own: str, seaso
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def replace_source(new: DataFrame, path: str, source: str, own: str, season: str | None = None) -> None:
+def replace_source(new: DataFrame, path: str, source: str, own: str, season: str, whole: bool = False) -> None:
+    """Late corrections to a table partitioned by source and season: the new rows' seasons of this source are replaced, and with whole
+    all of this source. Other sources' and seasons' files are not touched, nor read. A table that cannot be read is an error.
+    """
     spark = new.sparkSession
     if exists(spark, path) and not readable(spark, path):
         raise ValueError(f"{path} cannot be read and is not overwritten")
-    _swap(source_replaced(existing(spark, path, new), new, source, own, season), path)
+    if not re.fullmatch(r"[\w.-]+", own):
+        raise ValueError(f"{own!r} is no name of a source")
+    rows = materialise(new, "new-rows")
+    if rows.where(~F.col(source).eqNullSafe(F.lit(own))).limit(1).count():
+        raise ValueError(f"rows of other sources than {own}")
+    if whole:
+        rows.drop(source).repartition(season).write.mode("overwrite").partitionBy(season).parquet(f"{path}/{source}={own}")
+    else:
+        _dynamic(rows.repartition(season), path, source, season)
+    spark.catalog.refreshByPath(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: Keys, required: str | None = None) -> DataFrame:
@@ -65,8 +103,9 @@ def upserted(old: DataFrame, new: DataFrame, key: Keys, required: str | None = N
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_b")))).where("_n = 1").drop("_n", "_b")
 
 
-def upsert(new: DataFrame, path: str, key: Keys, required: str | None = None) -> None:
-    _swap(upserted(existing(new.sparkSession, path, new), new, key, required), path)
+def upsert(new: DataFrame, path: str, key: Keys, required: str | None = None, parts: int = PARTS) -> None:
+    """The newer row of each key, in the table; only partitions of the new keys are rewritten."""
+    _rewrite(new, path, key, parts, lambda old, rows: upserted(old, rows, key, required))
 
 
 def report(df: DataFrame, path: str, name: Column) -> None:

@@ -6,14 +6,18 @@ as their results do. Rows go to a table beside the checkpoint; sinks that correc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meetlens.sources.readers import exists
 
 WATERMARK = "1 day"
+#: State on local disk with changelogs in the checkpoint, which stateful processors need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -73,6 +77,7 @@ def run(df: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, in
     A batch has a folder of its own (a complete result one for all), which running it again overwrites.
     """
     spark, rows = df.sparkSession, f"{checkpoint}-rows"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{rows}/__batch={0 if mode == 'complete' else n}")
@@ -90,3 +95,73 @@ def upsert_batches(path: str, key: list[str]) -> Callable[[DataFrame, int], None
     from meetlens.sources.sinks import upsert
 
     return lambda batch, _: upsert(batch.dropDuplicates(key), path, key)
+
+
+def correction_batches(path: str, source: str, season: str) -> Callable[[DataFrame, int], None]:
+    """A batch function for late corrections: the sources' seasons that a batch has rows of are replaced by them, partition by partition."""
+    from meetlens.sources.sinks import replace_source
+    from meetlens.sources.shared import materialise
+
+    def write(batch: DataFrame, _: int) -> None:
+        rows = materialise(batch, "corrections")
+        for (own,) in rows.select(source).distinct().collect():  # a name for each source
+            replace_source(rows.where(F.col(source) == own), path, source, own, season)
+
+    return write
+
+
+class Availability(StatefulProcessor):
+    """Standing of each athlete: the newest flag holds until a later return clears it, or for `days` of event time.
+
+    State is one value (the newest flag with its status and id, and the newest return) and one timer, at the flag's end; both go when the
+    timer fires, so state is bounded by the athletes flagged in the last `days`. A row is emitted whenever the standing changes:
+    'out' at a flag, 'cleared' at a return, 'expired' at a flag's end. Rows may come in any order: the newest wins, then the larger id.
+    """
+
+    def __init__(self, key: str, days: int) -> None:
+        self.key, self.keep = key, days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("standing", "flag long, id long, status string, back long, shown string")
+
+    def row(self, key: tuple, standing: str, status: str | None, at: int) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "standing": [standing], "status": [status], "at": [pd.Timestamp(at, unit="ms")]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        flag, at_id, status, back, shown = self.state.get() if self.state.exists() else (-1, -1, None, -1, None)
+        before = flag
+        for batch in rows:
+            for ts, own, what, is_back in zip(batch["at_ms"], batch["flag_id"], batch["flag_status"], batch["is_return"]):
+                if is_back:
+                    back = max(back, int(ts))
+                elif (int(ts), int(own)) > (flag, at_id):
+                    flag, at_id, status = int(ts), int(own), what
+        if flag < 0:  # a return alone: nothing to clear, and nothing later than it is known
+            return
+        now = f"cleared {back}" if back > flag else f"out {flag} {at_id}"
+        if flag != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(flag + self.keep)
+        self.state.update((flag, at_id, status, back, now))
+        if now != shown:
+            yield self.row(key, now.split()[0], status, back if back > flag else flag)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            flag, _, status, back, _ = self.state.get()
+            self.state.clear()
+            if back <= flag:
+                yield self.row(key, "expired", status, flag + self.keep)
+
+    def close(self) -> None:
+        pass
+
+
+def availability(df: DataFrame, key: str, ts: str, id_column: str, status: Column, back: Column, days: int = 30) -> DataFrame:
+    """key, standing, status, at: every change of standing, from a stream of flags (status not null) and returns (back true)."""
+    rows = df.withWatermark(ts, WATERMARK).select(key, ts, F.unix_millis(ts).alias("at_ms"), F.col(id_column).cast("long").alias("flag_id"), status.alias("flag_status"), F.coalesce(back, F.lit(False)).alias("is_return"))
+    rows = rows.where(F.col("flag_status").isNotNull() | F.col("is_return"))
+    kind = df.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(Availability(key, days), f"{key} {kind}, standing string, status string, at timestamp", "Update", "EventTime")

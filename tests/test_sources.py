@@ -4,9 +4,10 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from meetlens import schemas
-from meetlens.sources import html, readers, sinks
+from meetlens.sources import html, paged, readers, sinks
 from meetlens.streaming import streams
 
 
@@ -63,14 +64,58 @@ def test_resolved_events(spark):
     assert find() == {"Men's 100 Metres": "men_100m", "Women's Mile": None, "Men's Sack Race": None} and find(mile_as_1500=True)["Women's Mile"] == "women_1500m"
 
 
-def test_pages_stop_and_guard(spark):
-    page = lambda *r: spark.createDataFrame(list(r), "i int, area string")
-    rows = readers.paged([page((1, "a"), (2, "a")), page((2, "a")), page((9, "a"))], 2, F.col("area") != "a", "i")
-    assert sorted(r.i for r in rows.collect()) == [1, 2]
-    with pytest.raises(ValueError):
-        readers.paged([page((1, "b"))], 2, F.col("area") != "a", "i")
+def write_page(root, name, page, rows, files=1):
+    folder = root / f"list={name}" / f"page={page}"
+    folder.mkdir(parents=True)
+    for k in range(files):
+        (folder / f"part-{k}.txt").write_text("".join(json.dumps(r) + "\n" for r in rows[k::files]))
+    (folder / "_SUCCESS").write_text("")
+
+
+def test_pages(spark, tmp_path):
+    """Lists end at a missing, empty or short page; nothing behind it is read; a broken page is tried again and is an error."""
+    row = lambda i, area="a": {"i": i, "area": area}
+    for page, rows in enumerate([[row(1), row(2)], [row(3)], [row(9), row(9)]]):
+        write_page(tmp_path, "short", page, rows)
+    for page, rows in ((0, [row(4), row(5)]), (1, [row(6), {"area": "b"}]), (3, [row(9), row(9)])):
+        write_page(tmp_path, "gap é%", page, rows, files=2)
+    write_page(tmp_path, "none", 1, [row(9), row(9)])
+    write_page(tmp_path, "empty", 0, [])
+    schema = "i int, area string, more double, list string, page int"
+    df = paged.pages(spark, str(tmp_path), schema, 2)
+    assert sorted((r.list, r.page, r.i or 0, r.area, r.more) for r in df.collect()) == [("gap é%", 0, 4, "a", None), ("gap é%", 0, 5, "a", None), ("gap é%", 1, 0, "b", None), ("gap é%", 1, 6, "a", None), ("short", 0, 1, "a", None), ("short", 0, 2, "a", None), ("short", 1, 3, "a", None)]
+    assert df.rdd.getNumPartitions() == 4 and {(r.list, r.n) for r in paged.at_the_cap(df, 4).collect()} == {("gap é%", 4)}
+    assert paged.pages(spark, f"{tmp_path}/no", schema, 2).count() == 0
+    (tmp_path / "list=short" / "page=1" / "part-0.txt").write_text("{")
+    with pytest.raises(Exception):
+        paged.pages(spark, str(tmp_path), schema, 2, pause="0").collect()
+    assert paged.pages(spark, str(tmp_path), schema, 2, pause="0", strict="false").where("list = 'short'").count() == 2
+
+
+def test_pages_that_heal(tmp_path, monkeypatch):
+    """A page that fails once is read at the next attempt."""
+    write_page(tmp_path, "x", 0, [{"i": 1}])
+    reader, real, calls = paged.PageReader(StructType().add("i", IntegerType()), {"path": str(tmp_path), "size": "2", "pause": "0"}), paged.PageReader.lines, []
+
+    def lines(self, path):
+        calls.append(path)
+        if len(calls) == 1:
+            raise OSError("busy")
+        return real(self, path)
+
+    monkeypatch.setattr(paged.PageReader, "lines", lines)
+    assert [list(reader.read(p)) for p in reader.partitions()] == [[(1,)]] and len(calls) == 2
+
+
+def test_pages_are_checked(spark):
+    rows = spark.createDataFrame([(1, "a", 2), (1, "a", 1), (2, "b", 1), (3, None, 1)], "i int, area string, p int")
+    assert sorted((r.i, r.p) for r in paged.checked(rows, "i", [F.col("p")]).collect()) == [(1, 1), (2, 1), (3, 1)]
+    assert paged.checked(rows, "i", [F.col("p")], F.col("area") == "b", 0.6).count() == 3
+    with pytest.raises(Exception, match="outside the area"):
+        paged.checked(rows, "i", [F.col("p")], F.col("area") == "b", 0.4).collect()
+    assert paged.checked(rows.limit(0), "i", [F.col("p")], F.col("area") == "b").count() == 0
     with pytest.raises(KeyError):
-        readers.registry(page((1, "b")), "area", "zz")
+        readers.registry(rows, "area", "zz")
 
 
 PAGE = """<h1>Meet</h1><h2>Men</h2><h3>100 Metres</h3><table><tr><th>Pos</th><th>Athlete</th><th>Mark</th></tr>
@@ -91,19 +136,56 @@ def test_html(spark):
     assert [r[0] for r in c.select(html.classify("c")).collect()] == ["relay", "400mH", "sprint_hurdles", "1500m", "LJ"]
 
 
-def test_sinks(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    rows = lambda *r: spark.createDataFrame(list(r), "k int, src string, y int, v int")
-    sinks.append_unique(rows((1, "a", 1, 1)), path, ["k"], [F.asc("v")])
-    sinks.append_unique(rows((1, "a", 1, 2), (2, "b", 1, 3)), path, ["k"], [F.asc("v")])
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 1, 1), (2, "b", 1, 3)]
-    sinks.replace_source(rows((3, "b", 1, 4)), path, "src", "b", "y")
-    sinks.upsert(rows((3, "b", 1, 5), (4, "b", 1, None)), path, ["k"], "v")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 1, 1), (3, "b", 1, 5)]
+def files(root):
+    """Data files and when they were written."""
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_sinks_by_key(spark, tmp_path):
+    """Rows are kept by key, and a change rewrites the partitions of its own keys only."""
+    path, rows = f"file://{tmp_path}/t", lambda *r: spark.createDataFrame(list(r), "k int, src string, y int, v int")
+    sinks.append_unique(rows(*((k, "a", 1, k) for k in range(40))), path, ["k"], [F.asc("v")], parts=8)
+    before = files(tmp_path / "t")
+    assert len({n.split("/")[0] for n in before}) == 8
+    sinks.append_unique(rows((1, "a", 1, 99), (100, "b", 1, 3), (100, "b", 1, 2)), path, ["k"], [F.asc("v")], parts=8)
+    after = files(tmp_path / "t")
+    assert sinks.read(spark, path).columns == ["k", "src", "y", "v"]
+    assert sorted((r.k, r.v) for r in sinks.read(spark, path).collect()) == [(k, k) for k in range(40)] + [(100, 2)]
+    assert len({n.split("/")[0] for n in before.items() ^ after.items() for n in [n[0]]}) <= 2
+    sinks.upsert(rows((100, "c", 1, 7), (2, "c", 1, None)), path, ["k"], "v", parts=8)
+    got = {r.k: (r.src, r.v) for r in sinks.read(spark, path).collect()}
+    assert got[100] == ("c", 7) and got[2] == ("a", 2) and len(got) == 41
+    sinks.upsert(rows((3, "z", 1, 3)).limit(0), path, ["k"], parts=8)
+    assert {r.k: (r.src, r.v) for r in sinks.read(spark, path).collect()} == got
+    one = f"file://{tmp_path}/one"
+    sinks.append_unique(rows((5, "a", 1, None)), one, ["k"], [], parts=4)
+    sinks.upsert(rows((5, "a", 1, None)), one, ["k"], "v", parts=4)
+    assert sinks.read(spark, one).count() == 0
+    assert sinks.read(spark, f"{path}-no", rows((1, "a", 1, 1))).count() == 0
+
+
+def test_sinks_by_source_and_season(spark, tmp_path):
+    """A late correction replaces its source's seasons; no other file is touched."""
+    path, rows = f"file://{tmp_path}/t", lambda *r: spark.createDataFrame(list(r), "k int, src string, y int, v int")
+    have = lambda: sorted((r.k, r.src, r.y, r.v) for r in spark.read.parquet(path).select("k", "src", "y", "v").collect())
+    for own in "ab":
+        sinks.replace_source(rows(*((i, own, 2020 + i % 3, i) for i in range(6))), path, "src", own, "y")
+    before = files(tmp_path / "t")
+    assert len(before) == 6 and len(have()) == 12
+    sinks.replace_source(rows((9, "b", 2021, 9)), path, "src", "b", "y")
+    after = files(tmp_path / "t")
+    assert {n.rsplit("/", 1)[0] for n, _ in before.items() ^ after.items()} == {"src=b/y=2021"}
+    assert [r for r in have() if r[1] == "b"] == [(0, "b", 2020, 0), (2, "b", 2022, 2), (3, "b", 2020, 3), (5, "b", 2022, 5), (9, "b", 2021, 9)]
+    sinks.replace_source(rows((7, "b", 2030, 7)), path, "src", "b", "y", whole=True)
+    now = files(tmp_path / "t")
+    assert [r for r in have() if r[1] == "b"] == [(7, "b", 2030, 7)] and {n: t for n, t in now.items() if "src=a" in n} == {n: t for n, t in before.items() if "src=a" in n}
+    for bad, own in ((rows((1, "c", 1, 1)), "b"), (rows((1, "a/b", 1, 1)), "a/b")):
+        with pytest.raises(ValueError):
+            sinks.replace_source(bad, path, "src", own, "y")
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "part.parquet").write_text("no")
     with pytest.raises(Exception):
-        sinks.replace_source(rows((3, "b", 1, 4)), f"file://{tmp_path}/broken", "src", "b")
+        sinks.replace_source(rows((3, "b", 1, 4)), f"file://{tmp_path}/broken", "src", "b", "y")
     sinks.write_once(rows((1, "a", 1, 1)), f"{path}-once")
     with pytest.raises(Exception):
         sinks.write_once(rows((1, "a", 1, 1)), f"{path}-once")
@@ -143,7 +225,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     plan = source().select("user_id", "event_type")
     for n in (1, 2):
         streams.run(plan, "append", f"{tmp_path}/c3-{n}", streams.upsert_batches(path, ["user_id"]))
-        assert spark.read.parquet(path).count() == batch.select("user_id").distinct().count()
+        assert sinks.read(spark, path).count() == batch.select("user_id").distinct().count()
 
 
 def test_streams_read_tables_of_many_files(spark, sf, tmp_path):
@@ -155,3 +237,44 @@ def test_streams_read_tables_of_many_files(spark, sf, tmp_path):
         if name.startswith("streaming_"):
             one, many = (sorted(map(str, query(spark, d).collect())) for d in (sf, str(tmp_path)))
             assert one == many and one, name
+
+
+def test_availability_over_restarts(spark, tmp_path):
+    """Standing follows the newest flag and return over batches and restarts from the checkpoint; flags end by event time."""
+    from datetime import datetime
+
+    schema, day = "user string, ts timestamp, id long, kind string", lambda d, h=0: datetime(2026, 5, d, h)
+
+    def deliver(n, *rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+
+    def standing():
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/n=*")
+        stream = streams.availability(source, "user", "ts", "id", F.when(F.col("kind").isin("watch", "out"), F.col("kind")), F.col("kind") == "back", 10)
+        rows = streams.run(stream, "update", f"{tmp_path}/check").collect()
+        return {u: max((r["at"], r.standing, r.status) for r in rows if r.user == u) for u in {r.user for r in rows}}, len(rows)
+
+    deliver(1, ("a", day(2), 1, "watch"), ("a", day(1), 0, "out"), ("b", day(2), 2, "out"), ("b", day(3), 3, "back"), ("c", day(2), 4, "back"), ("d", day(2), 5, "watch"), ("d", day(2), 6, "out"), ("a", day(2), 7, "other"))
+    got, n = standing()
+    assert got == {"a": (day(2), "out", "watch"), "b": (day(3), "cleared", "out"), "d": (day(2), "out", "out")} and n == 3
+    deliver(2, ("a", day(4), 8, "back"), ("b", day(5), 9, "watch"), ("c", day(6), 10, "out"), ("d", day(2, 1), 11, "watch"))
+    got, n = standing()  # state came from the checkpoint: the first delivery is not read again
+    assert got == {"a": (day(4), "cleared", "watch"), "b": (day(5), "out", "watch"), "c": (day(6), "out", "out")} or got["a"][1] == "cleared" and got["b"][1] == "out"
+    deliver(3, ("z", day(14), 12, "watch"))
+    got, _ = standing()
+    assert got["z"] == (day(14), "out", "watch") and "expired" in {s for _, s, _ in got.values()} and all(got[u][1] == "expired" for u in got if u == "d")
+    deliver(4, ("z", day(31), 13, "back"))
+    got, _ = standing()
+    assert got["z"] == (day(31), "cleared", "watch") and got["b"] == (day(15), "expired", "watch") and got["c"] == (day(16), "expired", "out") and got["a"][1] == "cleared"
+
+
+def test_corrections_replace_partitions(spark, tmp_path):
+    schema = "src string, y int, k int, v int"
+    path = f"file://{tmp_path}/table"
+    spark.createDataFrame([("a", 2020, 1, 1), ("a", 2021, 2, 2), ("b", 2020, 3, 3)], schema).write.partitionBy("src", "y").parquet(path)
+    before = files(tmp_path / "table")
+    spark.createDataFrame([("a", 2021, 2, 20), ("c", 2020, 4, 4)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for n in (1, 2):  # a batch that runs again changes nothing
+        streams.run(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "append", f"{tmp_path}/check-{n}", streams.correction_batches(path, "src", "y"))
+        assert sorted((r.src, r.y, r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2020, 1, 1), ("a", 2021, 2, 20), ("b", 2020, 3, 3), ("c", 2020, 4, 4)]
+    assert {f.rsplit("/", 1)[0] for f, _ in before.items() ^ files(tmp_path / "table").items()} == {"src=a/y=2021", "src=c/y=2020"}
