@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from meetlens.functions.marks import col
+from meetlens.functions.names import fold_latin
 
 
 def contains_any(text: str | Column, words: list[str]) -> Column:
@@ -38,16 +39,23 @@ def is_about(text: str | Column, target: Column, names: Column, keyword: Column,
 
 
 def part_of_double_name(headline: str | Column, alias: Column) -> Column:
-    """The alias stands beside a hyphen in the headline as written."""
-    return F.regexp_like(F.lower(col(headline)), F.concat(F.lit(r"(-"), alias, F.lit(r"\b)|(\b"), alias, F.lit("-)")))
-
-
-def recovery_weeks(text: str | Column, ranges: dict[str, tuple[int, int]], severe: list[str], very_severe: list[str], mild: list[str]) -> Column:
-    """(low, high) weeks of the most severe body part named; severity words widen or halve the range; null if none."""
-    rows = F.array(*(F.struct(F.lit(high).alias("high"), F.lit(low).alias("low"), F.lit(part).alias("part")) for part, (low, high) in ranges.items()))
-    worst = F.array_max(F.filter(rows, lambda r: F.contains(col(text), r["part"])))
-    high = F.when(contains_any(text, very_severe), F.greatest(worst["high"], F.lit(26))).when(contains_any(text, severe), F.greatest(worst["high"], F.lit(12))).when(contains_any(text, mild), F.greatest(F.floor(worst["high"] / 2), F.lit(1)).cast("int")).otherwise(worst["high"])
-    low = F.when(contains_any(text, mild), F.greatest(F.floor(worst["low"] / 2), F.lit(1)).cast("int")).otherwise(worst["low"])
+    """The alias is half of a hyphenated name in the headline as written; a dash between spaces is no hyphen."""
+    text = F.lower(fold_latin(headline))
+    return F.regexp_like(text, F.concat(F.lit(r"(\b"), alias, F.lit(r"[\u2010-\u2015-]\w)|(\w[\u2010-\u2015-]"), alias, F.lit(r"\b)")))
+
+
+def recovery_weeks(text: str | Column, ranges: dict[str, tuple[int, int]], longer: list[str], shorter: list[str]) -> Column:
+    """(low, high) weeks of the body part named with the largest high; null if none is named, as a whole word.
+
+    Words of a severe injury widen the range to 12 and 26 weeks at least; else words of a slight one halve it, to one week at least.
+    """
+    rows = F.array(*(F.struct(F.lit(high).alias("high"), F.lit(-i).alias("order"), F.lit(low).alias("low"), F.lit(part).alias("part")) for i, (part, (low, high)) in enumerate(ranges.items())))
+    word = lambda w: F.regexp_like(col(text), F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
+    worst = F.array_max(F.filter(rows, lambda r: word(r["part"])))
+    severe, slight = (F.exists(F.array(*map(F.lit, words)), word) for words in (longer, shorter))
+    half = lambda n: F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
+    low = F.when(severe, F.greatest(worst["low"], F.lit(12))).when(slight, half(worst["low"])).otherwise(worst["low"])
+    high = F.when(severe, F.greatest(worst["high"], F.lit(26))).when(slight, half(worst["high"])).otherwise(worst["high"])
     return F.when(worst.isNotNull(), F.struct(low.alias("low"), high.alias("high")))
 
 
@@ -81,5 +89,5 @@ def around(text: str | Column, name: Column, before: int = 100, after: int = 300
 
 def evidence(matches: Column) -> Column:
     """The last match as a quoted headline with source and date."""
-    last = F.element_at(matches, -1)
+    last = F.try_element_at(matches, F.lit(-1))
     return F.when(F.size(matches) > 0, F.concat(F.lit('"'), last["headline"], F.lit('" ('), F.concat_ws(", ", last["source"], last["published"]), F.lit(")")))

@@ -106,3 +106,22 @@ def results_articles(t):
 def honours_rollup(t):
     d = t("documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
     return d.groupBy("source").agg(F.count_distinct("lang").alias("langs"), F.count("*").alias("n"), F.count_if(F.col("n") <= 2).alias("firsts"))
+
+
+PARTS = {"knee": (6, 20), "hamstring": (3, 12), "back": (2, 8), "ankle": (3, 20)}
+STORY_SQL = """h AS (SELECT o_orderkey AS k, 'Tara Davis' || CASE k % 4 WHEN 0 THEN '-Woodhall' WHEN 1 THEN ' - Woodhall' WHEN 2 THEN '' ELSE '\u2013Woodhall' END || CASE k % 5 WHEN 0 THEN ' tears knee' WHEN 1 THEN ' has hamstring and ankle trouble' WHEN 2 THEN ' is back' WHEN 3 THEN ' kneels' ELSE ' hamstring' END
+ || CASE k % 3 WHEN 0 THEN ', surgery next' WHEN 1 THEN ', minor' ELSE '' END || CASE k % 2 WHEN 0 THEN ' and dnf' ELSE ', a long way behind all others in it: dnf' END AS x FROM (SELECT *, o_orderkey AS k FROM orders)),
+w AS (SELECT *, CASE k % 5 WHEN 0 THEN [6, 20] WHEN 1 THEN [3, 20] WHEN 2 THEN [2, 8] WHEN 4 THEN [3, 12] END AS r FROM h)"""
+
+
+@query(f"""WITH {STORY_SQL} SELECT k, k % 4 IN (0, 3) AS half, CASE WHEN r IS NULL THEN NULL WHEN k % 3 = 0 THEN greatest(r[1], 12) WHEN k % 3 = 1 THEN greatest(r[1] // 2, 1) ELSE r[1] END::BIGINT AS low, CASE WHEN r IS NULL THEN NULL WHEN k % 3 = 0 THEN greatest(r[2], 26) WHEN k % 3 = 1 THEN greatest(r[2] // 2, 1) ELSE r[2] END::BIGINT AS high,
+regexp_matches(substr(x, strpos(x, 'Davis') + 5, 40), '\\bdnf\\b') AS dnf, substr(x, 1, 11) AS near FROM w""")
+def story_rules(t):
+    """Halves of double names, weeks of recovery by body part and severity, non-finishers behind a name, text about it."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("Tara Davis"), F.when(k % 4 == 0, "-Woodhall").when(k % 4 == 1, " - Woodhall").when(k % 4 == 2, "").otherwise("\u2013Woodhall"))
+    hurt = F.when(k % 5 == 0, " tears knee").when(k % 5 == 1, " has hamstring and ankle trouble").when(k % 5 == 2, " is back").when(k % 5 == 3, " kneels").otherwise(" hamstring")
+    end = F.when(k % 3 == 0, ", surgery next").when(k % 3 == 1, ", minor").otherwise("")
+    o = t("orders").select(k.alias("k"), F.concat(name, hurt, end, F.when(k % 2 == 0, " and dnf").otherwise(", a long way behind all others in it: dnf")).alias("x"))
+    weeks = T.recovery_weeks("x", PARTS, ["surgery", "rupture"], ["minor", "slight"])
+    return o.select("k", T.part_of_double_name("x", F.lit("davis")).alias("half"), weeks["low"].alias("low"), weeks["high"].alias("high"), T.did_not_finish_near("x", F.lit("Davis")).alias("dnf"), T.around("x", F.lit("Davis"), 100, 6).alias("near"))

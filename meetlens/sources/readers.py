@@ -29,8 +29,8 @@ def csv(spark: SparkSession, path: str, schema: str, by_position: bool = True) -
 
 
 def with_discipline(df: DataFrame) -> DataFrame:
-    """The discipline and season from the file's name (men_100m_2026.csv)."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
+    """The discipline and season from the file's name (men_100m_2026.csv), which may be a folder of part files."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.csv(?:/part-[^/]*)?$", 1)
     return df.withColumns({"discipline": F.regexp_replace(name, r"(_\d{4})?(_meetings)?$", ""), "file_year": F.regexp_extract(name, r"_(\d{4})", 1).try_cast("int")})
 
 
@@ -69,8 +69,9 @@ def race_log(sources: list[DataFrame]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1 AND is_final").drop("_n")
 
 
-def profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PROFILE).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schemas.PROFILE)
+def profiles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Profiles, a document a file, or a line each."""
+    return spark.read.schema(schemas.PROFILE).option("multiLine", not lines).json(path) if exists(spark, path) else spark.createDataFrame([], schemas.PROFILE)
 
 
 def profile_results(df: DataFrame) -> DataFrame:
@@ -79,9 +80,11 @@ def profile_results(df: DataFrame) -> DataFrame:
     return events.select("athlete_id", F.col("e.discipline").alias("discipline"), F.col("e.indoor").alias("indoor"), F.explode("e.results").alias("r")).select("athlete_id", "discipline", "indoor", "r.*")
 
 
-def seasons(spark: SparkSession, path: str) -> DataFrame:
-    """Files {year}.json, each a map of athlete id to results by event: year, athlete_id, event, result."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.json$", 1).cast("int").alias("year"), F.from_json("value", f"map<string,map<string,array<{schemas.RESULT}>>>").alias("m"))
+def seasons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files {year}.json, each a map of athlete id to results by event: year, athlete_id, event, result. Text that is no such map gives
+    none. lines: each line is a map of its own, so that a season of any size is read in parts; the file may be a folder of part files.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.json(?:/part-[^/]*)?$", 1).cast("int").alias("year"), F.from_json("value", f"map<string,map<string,array<{schemas.RESULT}>>>").alias("m"))
     return raw.select("year", F.explode("m").alias("athlete_id", "events")).select("year", "athlete_id", F.explode("events").alias("event", "rs")).select("year", "athlete_id", "event", F.explode("rs").alias("r")).select("year", "athlete_id", "event", "r.*")
 
 
