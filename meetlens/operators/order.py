@@ -79,3 +79,22 @@ def quantiles(df: DataFrame, groups: list[str], value: Column, shares: dict[str,
         return low + (high - low) * (at - F.floor(at))
 
     return known.groupBy(*groups).agg(*(read(share).alias(name) for name, share in shares.items()))
+
+
+def latest_before(asked: DataFrame, known: DataFrame, groups: list[str], at: str, name: str) -> DataFrame:
+    """asked with name: the largest `at` of known's rows of the same group that is below its own; null if there is none.
+
+    Both are one table, dealt by ranges of group and `at`, so a group of any size is split. A running maximum inside each task meets
+    that of the tasks before it (a row for each task and group): no rows of asked and known are paired. `at` may be a struct.
+    """
+    payload, kind, task, best, carried = "__payload", "__kind", _TASK, "__best", "__carried"
+    mine = asked.select(*groups, at, F.lit(0).alias(kind), F.struct(*asked.columns).alias(payload))
+    theirs = known.select(*groups, at).distinct().select(*groups, at, F.lit(1).alias(kind), F.lit(None).cast(mine.schema[payload].dataType).alias(payload))
+    dealt = materialise(mine.unionByName(theirs).repartitionByRange(*groups, at, kind).withColumn(task, F.spark_partition_id()), "before")
+    value = F.when(F.col(kind) == 1, F.col(at))
+    ends = dealt.groupBy(task, *groups).agg(F.max(value).alias(best))
+    along = Window.partitionBy(*groups).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the group
+    carry = ends.select(task, *groups, F.max(best).over(along).alias(carried)).where(F.col(carried).isNotNull())
+    inside = Window.partitionBy(task, *groups).orderBy(at, kind).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn(best, F.max(value).over(inside)).where(F.col(kind) == 0).select(task, *groups, payload, best)
+    return own.join(carry, [task, *groups], "left").select(f"{payload}.*", F.coalesce(best, carried).alias(name))
