@@ -1,15 +1,19 @@
 """Quotation linking: messages to the messages that they quote, and conversations in reply order without quotes.
 
-A line's quote level is the number of `>` before it. Quoted lines are normalised (case, white space), hashed and joined to the
-earliest message that wrote the line as its own: in the same conversation before the message; failing that, in any other,
-earlier by (turn, conversation), so that no cycle can arise. Both sides of these joins have one row per hash, so a line that
-very many messages share costs no pairs. Each level of a message links to the original with the most matching lines; level 1
-names the parent. Depth and root follow by pointer doubling. Replies come after what they reply to when rows are ordered by
-root and depth; a thread is never gathered in one place.
+A line's quote level is the number of `>` before it. The lines of one level are a message's passage of that level. Passages are
+normalised (case, white space, empty lines) and hashed: whole, and in runs of 1, 2 and 4 lines, so that a passage that was cut or
+mixed still links. Hashes of quoted passages are joined to those of messages' own text: to the latest message before in the same
+conversation; failing that, to the latest in any other that is earlier by (turn, conversation), so that no cycle can arise. These are
+as-of look-ups over ranges (order.latest_before): a line that very many messages share makes no pairs, and its rows are split over tasks.
+
+Of several originals of a passage the one that holds all of it comes first, then that with the longest run, with most lines, of the
+same conversation, and the latest. Level 1 names the parent. Depth and root follow by pointer doubling. Replies come after what
+they reply to when rows are ordered by root and depth; a thread is never gathered in one place.
 
 Defined cases: a null text has a null own text and no quotes; empty lines (of fewer than MIN_CHARS normalised characters) link to
 nothing; a message with a null conversation or turn is returned and neither quoted nor linked; repeated rows are each
-returned; an empty table gives no rows; extra columns are ignored.
+returned; very long texts are hashed whole and by runs, in proportion to their lines; an empty table gives no rows; extra columns are
+ignored. conv_id may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meetlens.llm.common import materialise
+from meetlens.operators.order import latest_before
 
-MIN_CHARS, MARKS = 1, r"^(?: ?>)+ ?"
+#: Least characters of a normalised line, the marks before a quoted line, and lines of the runs that are hashed.
+MIN_CHARS, MARKS, RUNS = 1, r"^(?: ?>)+ ?", (1, 2, 4)
 
 
 def level(line: Column) -> Column:
@@ -39,25 +45,38 @@ def quoted(text: Column, levels: int = 1) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.concat(F.lit(">" * levels + " "), line)), "\n")
 
 
-def lines(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, h: each line that is long enough."""
-    one = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
-    norm = F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", MARKS, ""), r"\s+", " ")))
-    return one.select("conv_id", "turn", level(F.col("line")).alias("level"), norm.alias("norm")).where(F.length("norm") >= MIN_CHARS).select("conv_id", "turn", "level", F.xxhash64("norm").alias("h"))
+def passages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, h, n, whole: the hashes of each message's passage of each level, whole (n: its lines) and by runs of n."""
+    norm = lambda line: F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"\s+", " ")))
+    split = F.transform(F.split("text", "\n"), lambda line: F.struct(level(line).alias("level"), norm(line).alias("norm")))
+    kept = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.filter(split, lambda x: F.length(x["norm"]) >= MIN_CHARS).alias("ls"))
+    by_level = kept.select("conv_id", "turn", "ls", F.explode(F.array_distinct(F.transform("ls", lambda x: x["level"]))).alias("level"))
+    one = by_level.select("conv_id", "turn", "level", F.transform(F.filter("ls", lambda x: x["level"] == F.col("level")), lambda x: x["norm"]).alias("ls"))
+
+    def item(i: Column | int, n: Column, whole: bool) -> Column:
+        return F.struct(F.xxhash64(F.lit(-1) if whole else n, F.array_join(F.slice("ls", i, n), "\n")).alias("h"), n.cast("int").alias("n"), F.lit(whole).alias("whole"))
+
+    def runs_of(n: int) -> Column:
+        return F.when(F.size("ls") >= n, F.transform(F.sequence(F.lit(1), F.size("ls") - (n - 1)), lambda i: item(i, F.lit(n), False)))
+
+    every = F.array(item(1, F.size("ls"), True))
+    return one.select("conv_id", "turn", "level", F.inline(F.array_distinct(F.concat(every, *(F.coalesce(runs_of(n), F.slice(every, 1, 0)) for n in RUNS)))))
 
 
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, to_conv, to_turn, n_lines: for each quote level, the message quoted."""
-    parsed = materialise(lines(messages), "lines")
-    own = parsed.where("level = 0")
-    here = own.groupBy("conv_id", "h").agg(F.min("turn").alias("here"))
-    anywhere = own.groupBy("h").agg(F.min(F.struct("turn", "conv_id")).alias("x"))
-    asked = parsed.where("level > 0").join(here, ["conv_id", "h"], "left").join(anywhere, "h", "left")
-    inside, outside = F.col("here") < F.col("turn"), F.struct("x.turn", "x.conv_id") < F.struct("turn", "conv_id")
-    found = asked.where(inside | outside & (F.col("x.conv_id") != F.col("conv_id"))).select("conv_id", "turn", "level", F.when(inside, F.col("conv_id")).otherwise(F.col("x.conv_id")).alias("to_conv"), F.when(inside, F.col("here")).otherwise(F.col("x.turn")).alias("to_turn"))
-    votes = found.groupBy("conv_id", "turn", "level", "to_conv", "to_turn").agg(F.count("*").alias("n"))
-    top = F.max(F.struct("n", (F.col("to_conv") == F.col("conv_id")).alias("same"), "to_turn", (-F.col("to_conv")).alias("c")))
-    return votes.groupBy("conv_id", "turn", "level").agg(top.alias("x")).select("conv_id", "turn", "level", (-F.col("x.c")).alias("to_conv"), F.col("x.to_turn").alias("to_turn"), F.col("x.n").alias("n_lines"))
+    parsed = materialise(passages(messages), "passages")
+    own = parsed.where("level = 0").select("conv_id", "turn", "h", F.struct("turn", "conv_id").alias("at"))
+    asked = parsed.where("level > 0").select("conv_id", "turn", "level", "h", "n", "whole")
+    once = asked.select("conv_id", "h", "turn").distinct()
+    here = materialise(latest_before(once, own, ["conv_id", "h"], "turn", "to_turn"), "here")
+    rest = here.where("to_turn IS NULL").select("conv_id", "turn", "h", F.struct("turn", "conv_id").alias("at"))
+    there = latest_before(rest, own, ["h"], "at", "x").where("x IS NOT NULL AND x.conv_id <> conv_id")
+    found = here.where("to_turn IS NOT NULL").select("conv_id", "turn", "h", F.col("conv_id").alias("to_conv"), "to_turn").union(there.select("conv_id", "turn", "h", "x.conv_id", "x.turn"))
+    votes = asked.join(found, ["conv_id", "turn", "h"]).groupBy("conv_id", "turn", "level", "to_conv", "to_turn").agg(F.max("whole").alias("whole"), F.max("n").alias("longest"), F.sum(F.when(~F.col("whole") & (F.col("n") == 1), 1).otherwise(0)).alias("lines"))
+    best = F.max(F.struct("whole", "longest", "lines", (F.col("to_conv") == F.col("conv_id")).alias("same"), "to_turn", "to_conv"))
+    lines = F.when(F.col("x.whole"), F.col("x.longest")).otherwise(F.greatest("x.lines", "x.longest")).cast("long")
+    return votes.groupBy("conv_id", "turn", "level").agg(best.alias("x")).select("conv_id", "turn", "level", "x.to_conv", "x.to_turn", lines.alias("n_lines"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
