@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -46,12 +49,17 @@ _HOLDER: list = [None, None]
 def hold(name: str, release: Callable[[], None]) -> None:
     """Called by an operator that remembers things in its worker: what another operator remembered there goes.
 
-    Workers are used again by later stages; a pipeline's operators would otherwise fill them one after the other.
+    Workers are used again by later stages; a pipeline's operators would otherwise fill them one after the other. What is freed goes
+    back to the system: an allocator that keeps it would count against the executor for good.
     """
     if _HOLDER[0] != name:
         if _HOLDER[1]:
             _HOLDER[1]()
         _HOLDER[:] = [name, release]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:

@@ -209,8 +209,11 @@ class Reader:
         return out
 
 
-def fit(docs: DataFrame, learn_from: Column, rows: int = ROWS) -> Model:
-    """Fits on at most `rows` documents of each language (those with the smallest hashes of id and language) that meet learn_from."""
+def fit(docs: DataFrame, learn_from: Column, rows: int = ROWS, runs: int | None = RUNS) -> Model:
+    """Fits on at most `rows` documents of each language (those with the smallest hashes of id and language) that meet learn_from.
+
+    Of each document `runs` runs are learned from, spread evenly over it; None: all of them.
+    """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from).withColumn("_h", F.xxhash64("doc_id", "lang"))
     place = F.rank().over(Window.partitionBy("lang").orderBy("_h"))  # hashes alone, so that no task gathers texts it will not use
     least = known.select("lang", "_h").withColumn("_k", place).where(F.col("_k") <= rows).select("lang", "_h").distinct()
@@ -221,7 +224,7 @@ def fit(docs: DataFrame, learn_from: Column, rows: int = ROWS) -> Model:
             found = []
             for text in batch.column("text").to_pylist():
                 own = cut(text.encode()) if lettered(text) else np.zeros((0, RUN), np.uint8)
-                found.append(own[np.linspace(0, len(own) - 1, RUNS).astype(int) if len(own) > RUNS else slice(None)].tobytes())
+                found.append(own[np.linspace(0, len(own) - 1, runs).astype(int) if runs and len(own) > runs else slice(None)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("_h"), pa.array(found, pa.binary())], ["lang", "h", "runs"])
 
     found: dict[str, list] = {}

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from meetlens.llm.common import columns, hold, materialise, slices
 
 WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, K1, B = 4096, 2, 2_000_000, 1 << 15, 1.2, 0.75
-#: A term that one document in so many of a shard has is held as a row over all of the shard's documents.
-DENSE = 8
+#: A term that one document in so many of a shard has is held as a row over all of the shard's documents, in so many bytes of rows.
+DENSE, DENSE_BYTES = 8, 1 << 25
 #: Units that a worker remembers.
 CACHE = 250_000
 
@@ -53,7 +53,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         parts |= {"normalizer": None, "post_processor": None, "added_tokens": []}
@@ -200,6 +199,7 @@ def routed(tokens: DataFrame, kind: str, shared) -> DataFrame:
     """The tokens with first, second (strongest terms that another document has, -1: none) and tie (a hash of the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("routing", lambda: None)  # the encoder goes
         idf, mean, several = shared.value
         common = np.where(several, idf, 0)
         for batch in slices(batches):
@@ -230,17 +230,21 @@ class Shard:
             counts.append(n.astype(np.float32))
         sizes = np.array([len(t) for t in terms], np.int64)
         self.starts = np.append(0, np.cumsum(sizes))
-        term = np.concatenate(terms).astype(np.int32) if docs else np.zeros(0, np.int32)
-        tf = np.concatenate(counts) if docs else np.zeros(0, np.float32)
-        lengths = np.array([len(d) for d in docs], np.float32)
+        self.term = np.concatenate(terms) if docs else np.zeros(0, np.uint16)
+        force = np.concatenate(counts) if docs else np.zeros(0, np.float32)
+        del terms, counts
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        self.impact = impacts(tf, idf[term], lengths[owner], mean).astype(np.float32)
-        self.term = term
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        self.posting_doc, self.posting_impact = owner[order], self.impact[order]
-        self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        for i, d in enumerate(docs):  # in place, a document at a time
+            at = slice(self.starts[i], self.starts[i + 1])
+            force[at] = impacts(force[at], idf[self.term[at]], np.float32(len(d)), mean)
+        order = np.argsort(self.term, kind="stable")
+        self.bounds = np.searchsorted(self.term[order], np.arange(len(idf) + 1)).astype(np.int32)
+        self.posting_doc, self.posting_impact = owner[order], force[order]
+        del owner, force, order
         self.free, self.n = np.ones(len(docs), bool), len(docs)
         often = np.flatnonzero(np.diff(self.bounds) * DENSE > self.n)
+        if len(often) * self.n * 4 > DENSE_BYTES:  # the most frequent terms save most
+            often = np.sort(often[np.argsort(-np.diff(self.bounds)[often], kind="stable")][: DENSE_BYTES // (4 * self.n)])
         self.row, self.rows = np.full(len(idf), -1, np.int32), np.zeros((len(often), self.n), np.float32)
         self.row[often] = np.arange(len(often))
         for k, t in enumerate(often):
@@ -249,7 +253,7 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """Of every document for all terms of the seed."""
-        own = self.term[self.starts[seed] : self.starts[seed + 1]]
+        own = self.term[self.starts[seed] : self.starts[seed + 1]].astype(np.int64)
         row = self.row[own]
         out = self.rows[row[row >= 0]].sum(0) if (row >= 0).any() else np.zeros(self.n, np.float32)
         few = own[row < 0]
@@ -323,6 +327,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     dealt = routed(tokens, _kind(size), shared).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("shards", lambda: None)
         (idf, mean, _), kind = shared.value, _kind(size)
         part, number = TaskContext.get().partitionId() << 40, 0
 
