@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlens.functions.marks import col
-from meetlens.operators.order import join_null_safe, quantiles
+from meetlens.operators.order import join_null_safe, quantiles, share_at_most
 
 Keys = list[str]
 
@@ -178,14 +178,11 @@ def field_gap(df: DataFrame, partition: Keys, value: str, higher_is_better: bool
 def score_context(df: DataFrame, group: Keys, score: str, at: DataFrame) -> DataFrame:
     """For probe scores (group keys, probe): the share of all rows and of the group's rows at or below, in percent.
 
-    Probes are few (a page's athletes) and broadcast; rows are counted where they are, before any shuffle, so a group of any
-    size costs no task more than its share. Scores are first counted by value.
+    Probes may be many: each meets a running count (order.share_at_most), so neither side is broadcast and no pairs are made.
     """
-    under = lambda n: F.sum(F.when(F.col(score) <= F.col("probe"), F.col("_c")).otherwise(0)).alias(n)
-    counts = df.groupBy(*group, score).agg(F.count("*").alias("_c"))
-    inside = counts.join(F.broadcast(at.select(*group, "probe").distinct()), group).groupBy(*group, "probe").agg(under("_below"), F.sum("_c").alias("_n"))
-    overall = counts.crossJoin(F.broadcast(at.select("probe").distinct())).groupBy("probe").agg(under("_under"), F.sum("_c").alias("_total"))
-    return inside.join(F.broadcast(overall), "probe").select(*group, "probe", F.round(100.0 * F.col("_under") / F.col("_total"), 4).alias("overall_percentile"), F.round(100.0 * F.col("_below") / F.col("_n"), 4).alias("group_percentile"))
+    probes = at.select(*group, "probe").distinct()
+    both = share_at_most(share_at_most(probes, df, [], F.col(score), "probe", "_overall"), df, group, F.col(score), "probe", "_inside")
+    return both.select(*group, "probe", F.round(100.0 * F.col("_overall"), 4).alias("overall_percentile"), F.round(100.0 * F.col("_inside"), 4).alias("group_percentile"))
 
 
 def depth_index(df: DataFrame, group: Keys, score: str, athlete: str, chance: str) -> DataFrame:

@@ -61,21 +61,41 @@ def with_standing(df: DataFrame, groups: list[str], value: Column, below: str =
     return join_null_safe(dealt, known, [_TASK, *groups, v]).drop(_TASK, v)
 
 
+def standings(df: DataFrame, groups: list[str], value: Column, name: str = "value") -> DataFrame:
+    """groups, the value, below, ties, size: each distinct value of each group, how many rows are smaller and equal, and the group's rows.
+
+    Values are counted before they move and their counts dealt by ranges, so a group of any size is split; null values do not count.
+    """
+    counts = df.where(value.isNotNull()).groupBy(*groups, value.alias(name)).agg(F.count("*").alias("__n"))
+    dealt = materialise(counts.repartitionByRange(*groups, name).withColumn(_TASK, F.spark_partition_id()), "counts")
+    return _standings(dealt, groups, name, "below", "ties", "size").drop(_TASK)
+
+
+def share_at_most(probes: DataFrame, df: DataFrame, groups: list[str], value: Column, probe: str, name: str) -> DataFrame:
+    """probes with name: the share of the rows of their group whose value is the probe's at most; null for a group without values.
+
+    A probe meets the running count at the last value that is not above it (latest_before): no pairs of probes and values.
+    """
+    known = materialise(standings(df, groups, value.cast("double"), "__v"), "standings")
+    ends = known.select(*groups, F.struct(F.col("__v").alias("v"), (F.col("below") + F.col("ties")).alias("c")).alias("__at"))
+    asked = probes.withColumn("__at", F.struct(F.col(probe).cast("double").alias("v"), F.lit((1 << 63) - 1).alias("c")))
+    met = latest_before(asked, ends, groups, "__at", "__x")
+    sizes = known.groupBy(*groups).agg(F.max("size").alias("__size"))
+    sized = met.join(sizes, groups, "left") if groups else met.crossJoin(F.broadcast(sizes))  # one row
+    return sized.withColumn(name, F.coalesce(F.col("__x.c"), F.lit(0)) / F.col("__size")).drop("__at", "__x", "__size")
+
+
 def quantiles(df: DataFrame, groups: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
     """groups and a double for each name in shares: that quantile of the group's values, exact, between neighbours by their distance.
 
-    Values are counted before they move and their counts dealt by ranges, so a group of any size is split; null values do not count, and
-    a group without values has no row.
+    Read from `standings`: null values do not count, and a group without values has no row.
     """
-    v = "__value"
-    counts = df.where(value.isNotNull()).groupBy(*groups, value.cast("double").alias(v)).agg(F.count("*").alias("__n"))
-    dealt = materialise(counts.repartitionByRange(*groups, v).withColumn(_TASK, F.spark_partition_id()), "counts")
-    known = _standings(dealt, groups, v, "__below", "__ties", "__size")
+    known = standings(df, groups, value.cast("double"), "__v")
 
     def read(share: float) -> Column:
-        at = F.lit(float(share)) * (F.max("__size") - 1)
+        at = F.lit(float(share)) * (F.max("size") - 1)
         # the value at a whole place is the largest one with that many or fewer below it
-        low, high = (F.max(F.when(F.col("__below") <= whole(F.lit(float(share)) * (F.col("__size") - 1)), F.col(v))) for whole in (F.floor, F.ceil))
+        low, high = (F.max(F.when(F.col("below") <= whole(F.lit(float(share)) * (F.col("size") - 1)), F.col("__v"))) for whole in (F.floor, F.ceil))
         return low + (high - low) * (at - F.floor(at))
 
     return known.groupBy(*groups).agg(*(read(share).alias(name) for name, share in shares.items()))

@@ -36,6 +36,11 @@ def with_min_rank(df: DataFrame, partition: Keys, value: Column, name: str = "mi
     return with_standing(df, partition, value, "_below", "_ties", "_size").withColumn(name, F.col("_below") + 1).drop("_below", "_ties", "_size")
 
 
+def with_row_number(df: DataFrame, partition: Keys, order: Column, name: str = "rn") -> DataFrame:
+    """Places from 1 in ascending order of a value that no two rows of a group share (a struct, say), for groups of any size."""
+    return with_min_rank(df, partition, order, name)
+
+
 def top_k(df: DataFrame, partition: Keys, order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first k rows of each partition; without partition keys, of the table. Spark cuts each task's rows to k before the shuffle."""
     if partition:

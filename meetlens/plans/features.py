@@ -96,7 +96,7 @@ SELECT *, row_number() OVER (ORDER BY spread, grp) AS depth_rank, CASE WHEN coun
 def depth_index(t):
     b = totals(t).groupBy("grp", "athlete").agg(F.max("v").alias("v"))
     totals_ = b.groupBy("grp").agg(F.sum("v").alias("s"), F.count("*").alias("_c"))
-    f = b.join(F.broadcast(totals_), "grp").withColumn("chance", F.col("v") / F.col("s"))
+    f = b.join(totals_, "grp").withColumn("chance", F.col("v") / F.col("s"))
     out = A.depth_index(f, ["grp"], "v", "athlete", "chance").drop("best_athlete")
     out = out.withColumns({"spread": F.round("spread", 4), "median_score": F.round("median_score", 4), "chance_gap": F.round("chance_gap", 9)})
     return out.crossJoin(F.broadcast(out.agg(F.count("*").alias("_n")))).withColumn("verdict", R.tercile("depth_rank", "_n")).drop("_n")

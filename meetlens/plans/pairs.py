@@ -80,7 +80,7 @@ def h2h_top3_net(t):
 x AS (SELECT a.*, a.points + 2 * 8 AS ceiling, (SELECT count(*) FROM s b WHERE b.grp = a.grp AND b.points > a.points + 16) AS above, (SELECT count(*) FROM s b WHERE b.grp = a.grp AND b.name <> a.name AND b.points + 16 >= a.points) AS reach, max(CASE WHEN rk = 8 THEN points END) OVER (PARTITION BY grp) AS cut FROM s a)
 SELECT grp, name, points, rk, round(ceiling, 2) AS ceiling, cut, above, reach, CASE WHEN points IS NULL THEN 'unknown' WHEN above >= 8 THEN 'out' WHEN reach < 8 THEN 'safe' WHEN rk <= 8 THEN 'in' ELSE 'chasing' END AS status, round(cut - points, 2) AS gap FROM x""")
 def qualification_race(t):
-    s = R.top_k(t("customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("name"), F.col("c_acctbal").alias("points")), ["grp"], [F.desc("points"), F.asc("name")], 1 << 30, "rk")
+    s = R.with_row_number(t("customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("name"), F.col("c_acctbal").alias("points")), ["grp"], F.struct(-F.col("points"), "name"), "rk")
     out = H.qualification(s.withColumn("qual_limit", F.lit(8)), ["grp"], "name", "points", "rk", "qual_limit", F.lit(2))
     return out.withColumn("ceiling", F.round("ceiling", 2)).drop("qual_limit")
 

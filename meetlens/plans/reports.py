@@ -239,14 +239,14 @@ def storylines(t):
 SELECT grp, athlete, rank, CASE WHEN rank <= 8 THEN 'in_field' WHEN athlete % 9 = 0 THEN 'injured' WHEN rank <= 30 THEN 'points_cut' ELSE 'out_of_reach' END AS reason FROM one""")
 def field_status(t):
     n = totals(t).where("y = 1997").groupBy("grp", "athlete").agg(F.max("v").alias("v"))
-    r = n.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("v"), "athlete")))
+    r = R.with_row_number(n, ["grp"], F.struct(-F.col("v"), "athlete"), "rank")
     return Q.status(r, [("in_field", F.col("rank") <= 8), ("injured", F.col("athlete") % 9 == 0), ("points_cut", F.col("rank") <= 30)], "out_of_reach").select("grp", "athlete", "rank", F.col("reason"))
 
 
 @query(f"""WITH {TOTALS_SQL}, b AS (SELECT athlete, grp, min(v) AS v FROM totals GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v, athlete) AS r FROM b) SELECT athlete, grp, v, r AS rank FROM k""")
 def search_index(t):
     b = totals(t).groupBy("athlete", "grp").agg(F.min("v").alias("v"))
-    return Q.search_index([b.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("v", "athlete")))], "athlete", "grp", "rank")
+    return Q.search_index([R.with_row_number(b, ["grp"], F.struct("v", "athlete"), "rank")], "athlete", "grp", "rank")
 
 
 @query(f"""WITH {CHANCE_SQL}, h AS (SELECT t.grp, t.athlete, t.d, t.v FROM totals t JOIN field f ON f.grp = t.grp AND f.athlete = t.athlete WHERE f.n <= 4) SELECT grp, athlete, count(*) AS races, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d, v) AS dates FROM h GROUP BY 1, 2""")

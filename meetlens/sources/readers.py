@@ -180,7 +180,7 @@ def resolved_event(events: DataFrame, dimension: DataFrame, mile_as_1500: bool =
 
     key = F.when(F.lit(mile_as_1500) & (event_key("event") == "mile"), F.lit("1500m")).otherwise(event_key("event"))
     own = dimension.select(F.col("gender"), F.lower("event").alias("_k"), F.col("key").alias("discipline"))
-    return events.withColumn("_k", key).join(F.broadcast(own), ["gender", "_k"], "left").drop("_k")
+    return events.withColumn("_k", key).join(own, ["gender", "_k"], "left").drop("_k")
 
 
 def registry(rows: DataFrame, key: str, value: str) -> DataFrame:
