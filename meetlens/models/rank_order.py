@@ -336,6 +336,15 @@ def ship_decisions(results: DataFrame, control: DataFrame, group: str, key: list
     return both.withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
+def blocks(results: DataFrame, by: list[str], cuts: list[str]) -> DataFrame:
+    """Per by, overall and by each cut (grouping sets): finals, medallists named by the model and by the scores, winners, places on the
+    podium, mean log-likelihood, mean chance of the favourite and how often it won.
+    """
+    sets = [[F.col(c) for c in by], *([*(F.col(c) for c in by), F.col(cut)] for cut in cuts)]
+    sums = [F.count("*").alias("finals"), F.sum("hits").alias("hits"), F.sum("points_hits").alias("points_hits"), F.sum("possible").alias("possible"), F.count_if("winner").alias("winners"), F.avg("log_likelihood").alias("log_likelihood"), F.avg("favourite_win").alias("favourite_win"), F.avg(F.col("winner").cast("double")).alias("favourite_won")]
+    return results.groupingSets(sets, *(F.col(c) for c in [*by, *cuts])).agg(*sums, *(F.grouping(F.col(c)).alias(f"all_{c}") for c in cuts))
+
+
 def compare(base: DataFrame, candidate: DataFrame, controls: list[DataFrame], key: list[str], regional: Column, draws: int = DRAWS) -> dict:
     """Candidate against baseline on the same finals: the bound of its mean gain in log-likelihood is above 0, it names as many
     medallists, its gain is not below 0 on regional finals, and no control (its new columns permuted) passes the first.

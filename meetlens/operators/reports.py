@@ -124,6 +124,42 @@ def unranked(entrants: DataFrame, ranked: DataFrame, keys: Keys, reason: Column)
     return entrants.join(ranked.select(*keys).distinct(), keys, "left_anti").withColumn("reason", reason)
 
 
+def event_report(entrants: DataFrame, featured: DataFrame, event: Keys, athlete: str, score: str, model, flags: DataFrame, least: int = 3) -> DataFrame:
+    """Each event's call: event, athlete, score, called_by, rank, podium_chance, win_chance, reason.
+
+    Events with `least` scored entrants are called by the model (over featured: the scored entrants with its features), the others by
+    points, without chances. Entrants without a score are 'unranked', with the flag's reason or noMark. flags: athlete, status, reason.
+    """
+    from meetlens.models import plackett_luce as P
+
+    called = called_events(featured, event, score, least)
+    by_model = called.where("called_by = 'model'").withColumn("_u", model.utility())
+    chances = P.podium_chances(P.win_chances(by_model, event, "_u"), event, "_u")
+    order = Window.partitionBy(*event).orderBy(F.desc(F.round("podium_chance", 9)), F.desc(score), athlete)
+    columns = [*event, athlete, score, "called_by", "rank", "podium_chance", "win_chance", "reason"]
+    none = lambda kind: F.lit(None).cast(kind)
+    modelled = chances.withColumns({"rank": F.row_number().over(order), "reason": none("string")}).select(columns)
+    points = called.where("called_by = 'points'").withColumn("_a", none("int"))
+    pointed = ranked_by_points(points, event, score, "_a", athlete).select(*event, athlete, score, "called_by", F.col("points_rank").alias("rank"), none("double").alias("podium_chance"), none("double").alias("win_chance"), none("string").alias("reason"))
+    rest = unranked(entrants, featured, [*event, athlete], F.lit("noMark"))
+    flagged = with_flags(rest, flags, [athlete]).select(*event, athlete, score, F.lit("unranked").alias("called_by"), none("int").alias("rank"), none("double").alias("podium_chance"), none("double").alias("win_chance"), F.coalesce("flag_reason", "reason").alias("reason"))
+    return modelled.union(pointed).union(flagged)
+
+
+def qualification_state(race: DataFrame, calendar: DataFrame, group: Keys, name: str, last_day: str, today: Column, is_final: Column) -> DataFrame:
+    """The rows of a qualification race with the calendar's state: meetings left before the final, and the next one's name and day."""
+    from meetlens.operators.ranking import meeting_status, meetings_left
+
+    stated = meeting_status(calendar, group, last_day, today, is_final, [name])
+    state = stated.groupBy(*group).agg(meetings_left("status").alias("meetings_left"), F.max(F.when(F.col("status") == "next", F.struct(F.col(name).alias("meeting"), F.col(last_day).alias("day")))).alias("_n"))
+    return race.join(state, group, "left").withColumns({"meetings_left": F.coalesce("meetings_left", F.lit(0)), "next_meeting": F.col("_n.meeting"), "next_day": F.col("_n.day")}).drop("_n")
+
+
+def preferred(*values: Column, otherwise: float) -> Column:
+    """The first of several figures that is a number; failing all, a stated one."""
+    return F.coalesce(*(v.try_cast("double") for v in values), F.lit(otherwise))
+
+
 def removed(flags: DataFrame, evidence: Column) -> DataFrame:
     return flags.where(F.col("status") == "remove").withColumn("reason", evidence)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from meetlens.models import field_features as FF
 from meetlens.models import rank_order as RO
+from meetlens.models.plackett_luce import FieldModel
 from meetlens.operators import asof
+from meetlens.operators import reports as Q
 from meetlens.plans.base import PLACED_SQL, query, runs
 
 ALL = [*FF.FEATURES, *FF.RACE_FEATURES, *FF.LEVEL_FEATURES]
@@ -27,7 +30,8 @@ def featured(t):
     return FF.field_features(fields(t), ["final"], "cutoff")
 
 
-@query(f"""WITH {PLACED_SQL}, e AS (SELECT race AS final, athlete, d AS cutoff, y, place FROM runs WHERE tier LIKE '1%'),
+#: States, records and levels of every scored entrant of every final, in SQL.
+FIELDS_SQL = f"""WITH {PLACED_SQL}, e AS (SELECT race AS final, athlete, d AS cutoff, y, place FROM runs WHERE tier LIKE '1%'),
 x AS (SELECT e.final, e.athlete, any_value(e.cutoff) AS cutoff, any_value(e.y) AS y, max(CASE WHEN r.y = e.y THEN r.v END) AS now, arg_max(r.d, (r.v, -epoch(CAST(r.d AS TIMESTAMP)))) FILTER (r.y = e.y) AS now_date,
  max(CASE WHEN r.y = e.y - 1 THEN r.v END) AS prev, arg_max(r.d, (r.v, -epoch(CAST(r.d AS TIMESTAMP)))) FILTER (r.y = e.y - 1) AS prev_date, max(CASE WHEN r.y = e.y - 2 THEN r.v END) AS two, max(CASE WHEN r.y <= e.y - 3 THEN r.v END) AS older,
  arg_max(r.y, (r.v, r.y)) FILTER (r.y <= e.y - 3) AS older_year, max(CASE WHEN r.y < e.y THEN r.v END) AS career, (list(r.v ORDER BY r.v DESC) FILTER (r.y = e.y))[1:3] AS top,
@@ -41,7 +45,10 @@ c AS (SELECT k.*, coalesce((w - l)::DOUBLE / nullif(w + l, 0), 0) AS h2h, coales
 g AS (SELECT *, CASE WHEN career IS NULL OR f >= career THEN f ELSE (0.5 + 0.5 * cons) * f + (0.5 - 0.5 * cons) * career END AS strong,
  f + least(greatest(0, coalesce(0.35 * greatest(0, prev - f), 0), coalesce(0.35 * 0.3 * greatest(0, two - f), 0), coalesce(0.35 * pow(0.3, greatest(3, y - older_year) - 1) * greatest(0, older - f), 0)), 0.75 * greatest(0, max(f) OVER w - f)) AS level FROM c WINDOW w AS (PARTITION BY final)),
 z AS (SELECT *, list(s) OVER w AS ss, list(strong) OVER w AS gs, list(level) OVER w AS ls, date_diff('day', dob, cutoff) / 365.25 AS years FROM g WINDOW w AS (PARTITION BY final)),
-u AS (SELECT *, list_reverse_sort(ss)[least(3, len(ss))] AS s3, list_reverse_sort(gs)[least(3, len(ss))] AS g3, list_reverse_sort(ls)[least(3, len(ss))] AS l3, median(years) OVER (PARTITION BY final) AS mid FROM z)
+u AS (SELECT *, list_reverse_sort(ss)[least(3, len(ss))] AS s3, list_reverse_sort(gs)[least(3, len(ss))] AS g3, list_reverse_sort(ls)[least(3, len(ss))] AS l3, median(years) OVER (PARTITION BY final) AS mid FROM z)"""
+
+
+@query(f"""{FIELDS_SQL}
 SELECT final, athlete, {", ".join(f"round({sql}, 6)::DOUBLE AS {name}" for name, sql in {
     "gap_best": "(s - list_max(ss)) / 100", "gap_third": "(s - s3) / 100", "pb_gap": "coalesce((career - s) / 100, 0)", "no_history": "CASE WHEN career IS NULL THEN 1 ELSE 0 END", "sb_months": "date_diff('day', sd, cutoff) / 30.44",
     "yoy": "CASE WHEN prior = 0 THEN coalesce((s - prev) / 100, 0) ELSE 0 END", "age": "coalesce(years, mid, 25)", "sb_prior_season": "prior", "form_gap": "(f - list_max(ss)) / 100", "recent_delta": "coalesce((recent - f) / 100, 0)",
@@ -88,3 +95,35 @@ def field_model_grid(t):
     grid = [RO.Spec(f"{family}-{l2}", l2=l2, columns=c) for family, c in families.items() for l2 in (0.001, 0.01, 0.1)]
     found = RO.walk_forward(packed(t, names), ["final"], names, YEARS[-2:], "y", settings=grid)
     return found.groupBy("setting").agg(F.sum("hits").alias("hits"), F.count_if("winner").alias("winners"), F.sum("log_likelihood").alias("log_likelihood"))
+
+
+CALL = FieldModel(["gap_best", "form_gap", "h2h_top"], np.zeros(3), np.ones(3), np.array([0.012, 0.008, 0.5]))
+
+
+@query(f"""{FIELDS_SQL}, v AS (SELECT final, athlete, s, count(*) OVER (PARTITION BY final) AS n, 0.012 * (s - list_max(ss)) / 100 + 0.008 * (f - list_max(ss)) / 100 + 0.5 * h2h AS x FROM u),
+q AS (SELECT *, exp(x - max(x) OVER (PARTITION BY final)) AS e FROM v), r AS (SELECT *, sum(e) OVER (PARTITION BY final) AS t FROM q),
+pb AS (SELECT a.final, a.athlete, sum(b.e / b.t * a.e / (a.t - b.e)) AS p FROM r a JOIN r b ON a.final = b.final AND a.athlete <> b.athlete GROUP BY 1, 2),
+pc AS (SELECT a.final, a.athlete, sum(b.e / b.t * c.e / (b.t - b.e) * a.e / (a.t - b.e - c.e)) AS p FROM r a JOIN r b ON a.final = b.final AND a.athlete <> b.athlete JOIN r c ON c.final = a.final AND c.athlete <> a.athlete AND c.athlete <> b.athlete GROUP BY 1, 2),
+z2 AS (SELECT r.*, CASE WHEN n <= 3 THEN 1 ELSE r.e / t + pb.p + pc.p END AS podium FROM r LEFT JOIN pb USING (final, athlete) LEFT JOIN pc USING (final, athlete))
+SELECT final, athlete, 'model' AS called_by, row_number() OVER (PARTITION BY final ORDER BY round(podium, 9) DESC, s DESC, athlete) AS rank, round(100 * podium, 4) AS podium_chance, round(100 * e / t, 4) AS win_chance, NULL AS reason FROM z2 WHERE n >= 3
+UNION ALL SELECT final, athlete, 'points', row_number() OVER (PARTITION BY final ORDER BY s DESC, athlete), NULL, NULL, NULL FROM z2 WHERE n < 3
+UNION ALL SELECT e.final, e.athlete, 'unranked', NULL, NULL, NULL, CASE WHEN e.athlete % 7 = 0 THEN 'injured' ELSE 'noMark' END FROM e ANTI JOIN u ON u.final = e.final AND u.athlete = e.athlete""")
+def event_reports(t):
+    """Every final called before it was run: by the model where three entrants are scored, else by points; the others with a reason."""
+    rows = RO.materialise(fields(t), "fields")
+    flags = t("supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("athlete"), F.lit("remove").alias("status"), F.lit("injured").alias("reason"))
+    out = Q.event_report(rows, FF.field_features(rows, ["final"], "cutoff"), ["final"], "athlete", "sb_score", CALL, flags)
+    return out.select("final", "athlete", "called_by", "rank", *(F.round(100 * F.col(c), 4).alias(c) for c in ("podium_chance", "win_chance")), "reason")
+
+
+@query()
+def field_model_compare(t):
+    """A candidate's features against a baseline's on the same held-out finals: sums overall, by tier, group and season, with the
+    verdict of the rule on every row. Rows only."""
+    names = [*FF.FEATURES, *FF.RACE_FEATURES]
+    base, new = list(range(len(FF.FEATURES))), list(range(len(FF.FEATURES), len(names)))
+    settings = [RO.Spec("baseline", columns=base), RO.Spec("candidate"), *(RO.Spec(f"control{i}", shuffled=new, seed=i) for i in range(2))]
+    found = RO.materialise(RO.walk_forward(packed(t, names), ["final"], names, YEARS[-2:], "y", settings=settings, keep=["grp"]), "judged")
+    side = lambda s: found.where(F.col("setting") == s)
+    verdict = RO.compare(side("baseline"), side("candidate"), [side("control0"), side("control1")], ["final"], F.col("final") % 5 == 0, 500)
+    return RO.blocks(found.where(F.col("setting").isin("baseline", "candidate")), ["setting"], ["grp", "y"]).withColumn("ships", F.lit(verdict["ships"]))

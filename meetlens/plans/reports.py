@@ -262,3 +262,23 @@ def forest_walk_forward(t):
     past = runs(t).where("y < 1996").groupBy("athlete").agg(F.avg("place").alias("mean_place"), F.max("v").alias("career_best"))
     rows = r.join(past, "athlete").withColumn("label", (F.col("place") <= 3).cast("int")).select("race", "athlete", "place", "y", "balance", "mean_place", "career_best", "label")
     return E.hit_rates(forest.folds(rows, ["balance", "mean_place", "career_best"], ["race"], "athlete", "place", "y", [1997, 1998]), ["fold"])
+
+
+@query("""WITH c AS (SELECT o_custkey AS name, o_orderpriority AS grp, sum(floor(o_totalprice / 10000)) AS points FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY points DESC, name) AS rk FROM c),
+m AS (SELECT DISTINCT o_orderpriority AS grp, 'M' || month(o_orderdate) AS meeting, last_day(CAST(o_orderdate AS DATE)) AS day FROM orders WHERE year(o_orderdate) = 1996),
+n AS (SELECT grp, count(*) FILTER (day >= DATE '1996-09-10' AND month(day) < 12) AS left_, arg_min(meeting, day) FILTER (day >= DATE '1996-09-10' AND month(day) < 12) AS next_meeting, min(day) FILTER (day >= DATE '1996-09-10' AND month(day) < 12) AS next_day FROM m GROUP BY 1)
+SELECT s.grp, name, points, rk, left_ AS meetings_left, next_meeting, next_day FROM s JOIN n USING (grp)""")
+def qualification_states(t):
+    """Standings of a season beside the state of its calendar: meetings left before the final, and the next one."""
+    o = t("orders").where(F.year("o_orderdate") == 1996)
+    points = o.groupBy(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("grp")).agg(F.sum(F.floor(F.col("o_totalprice") / 10000)).alias("points"))
+    race = R.with_row_number(points, ["grp"], F.struct(-F.col("points"), "name"), "rk")
+    meets = o.select(F.col("o_orderpriority").alias("grp"), F.concat(F.lit("M"), F.month("o_orderdate").cast("string")).alias("meeting"), F.last_day("o_orderdate").alias("day")).distinct()
+    return Q.qualification_state(race, meets, ["grp"], "meeting", "day", F.lit("1996-09-10").cast("date"), F.month("day") == 12)
+
+
+@query("""SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_retailprice END, CASE WHEN p_size % 3 = 1 THEN p_size::DOUBLE END, 44) AS quoted FROM part""")
+def preferred_metric(t):
+    """A metric with two fallbacks, some of which are no numbers."""
+    size = F.col("p_size") % 3
+    return t("part").select("p_partkey", Q.preferred(F.when(size == 0, F.col("p_retailprice").cast("string")).otherwise("n/a"), F.when(size == 1, F.col("p_size").cast("string")).when(size == 2, ""), otherwise=44.0).alias("quoted"))
