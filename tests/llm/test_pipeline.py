@@ -39,4 +39,4 @@ def test_awkward_rows(spark, awkward, tmp_path):
 def test_run_and_names(spark, sf):
     assert P.run(spark, sf).count() > 0
     names = queries.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
