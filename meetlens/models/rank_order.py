@@ -228,6 +228,12 @@ def fit_many(finals: DataFrame, final: list[str], features: list[str], specs: li
     return {specs[i].name: FieldModel(names[i], *scales[i][:2], s.w, s.converged, scales[i][2]) for i, s in searches.items()}
 
 
+def choose(settings: DataFrame, keys: list[str], passing: Column | None = None) -> DataFrame:
+    """The one row, of those that pass, that is largest by the keys in order; ties go to the smallest setting. No row if none passes."""
+    kept = settings if passing is None else settings.where(passing)
+    return kept.orderBy(*(F.desc_nulls_last(k) for k in keys), "setting").limit(1)
+
+
 RESULT = "model string, hits int, points_hits int, possible int, winner boolean, points_winner boolean, log_likelihood double, favourite_win double, chances array<double>"
 
 

@@ -136,6 +136,18 @@ def test_bootstrap_is_close_to_numpy(spark):
     assert ro.bootstrap_lower(df.limit(0), "v", ["i"], draws=10).first().lower is None
 
 
+def test_choose(spark):
+    rows = spark.createDataFrame([("a", 5, 1, True), ("b", 5, 2, True), ("c", 9, 9, False), ("d", 5, 2, True)], "setting string, hits int, winners int, ok boolean")
+    assert ro.choose(rows, ["hits", "winners"], F.col("ok")).first().setting == "b" and ro.choose(rows, ["hits"]).first().setting == "c"
+    assert ro.choose(rows, ["hits"], F.lit(False)).count() == 0
+
+
+def test_blocks(spark):
+    rows = spark.createDataFrame([("m", "g", 2000 + i % 2, i % 3, 1, 3, i % 2 == 0, -1.0, 0.5) for i in range(12)], "setting string, grp string, y int, hits int, points_hits int, possible int, winner boolean, log_likelihood double, favourite_win double")
+    got = {(r.grp, r.y): (r.finals, r.hits, r.winners, r.favourite_won) for r in ro.blocks(rows, ["setting"], ["grp", "y"]).collect()}
+    assert got == {(None, None): (12, 12, 6, 0.5), ("g", None): (12, 12, 6, 0.5), (None, 2000): (6, 6, 6, 1.0), (None, 2001): (6, 6, 0, 0.0)}
+
+
 def test_rules(spark):
     results = spark.createDataFrame([(i, "g", "asia" if i % 2 else "world", 3, 1, -2.0) for i in range(30)] + [(i, "h", "asia", 1, 1, -2.0) for i in range(30, 60)], "k int, grp string, tier string, hits int, points_hits int, log_likelihood double")
     control = results.withColumn("hits", F.lit(1))
