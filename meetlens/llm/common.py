@@ -5,8 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,50 @@ def slices(batches, rows: int = 512):
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
         pa.default_memory_pool().release_unused()
+
+
+#: Bits of a map of listed rows at most, and its pages.
+MOST_BITS, PAGES = 1 << 28, 64
+
+
+def listed(rows: DataFrame, key: tuple[str, ...]) -> Callable[..., Column]:
+    """A test of key columns: true for every key of the rows, and by chance for a few others, so that a join moves few rows in vain.
+
+    A bitmap of the keys' hashes, eight bits a row and MOST_BITS at most, is made by pages on the executors and broadcast: 32 MB
+    however many rows there are. Only the hashes go to the test's workers. Where nearly all bits are set it lets all rows through.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    bits = min(MOST_BITS, 1 << max(16, (8 * n).bit_length()))
+    page = bits // PAGES
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places = batch.column("place").to_numpy()
+            for part in np.split(places, np.flatnonzero(np.diff(places // page)) + 1):
+                if len(part):
+                    own = int(part[0] // page)
+                    if own not in found:
+                        yield from sent(found)
+                        found[own] = np.zeros(page, bool)
+                    found[own][part % page] = True
+        yield from sent(found)
+
+    def sent(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for own, held in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()])], ["page", "bits"])
+        found.clear()
+
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    pages = rows.select(place.alias("place")).repartition(F.floor(F.col("place") / page)).sortWithinPartitions("place").mapInArrow(fill, "page long, bits binary")
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        bitmap[row.page * page // 8 : (row.page + 1) * page // 8] = np.frombuffer(row.bits, np.uint8)
+    known = spark.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def test(place: pa.Array) -> pa.Array:
+        at = place.to_numpy(zero_copy_only=False)
+        return pa.array(known.value[at // 8] >> (at % 8).astype(np.uint8) & 1 == 1)
+
+    return lambda *key: test(F.pmod(F.xxhash64(*key), F.lit(bits)))

@@ -4,18 +4,18 @@ The general form of the fingerprint operator. Texts of one word sequence are one
 wide fingerprint is the SimHash of its distinct shingles: SEGMENTS pieces of BITS bits that index it and CHECK_BITS more that
 stay with each table entry. Multi-index hashing: a node is entered in the table of each segment under every value of the ball
 of radius 1 about its own, so two nodes meet if some segment differs in two bits or fewer. Where they meet, the complete
-distance over the check bits is verified (DISTANCE), and what passes is a candidate, if all bits of both fingerprints agree well enough too (WIDE). Candidates are linked only where the
-Jaccard similarity of their whole sets, computed exactly, is SIMILARITY: first each node with its nearest candidate and with
-the smallest, which a group shares, then the pairs that those links do not join yet.
+distance over the check bits is verified (DISTANCE), and what passes is a candidate. Candidates, and what they reach through others,
+are one group. In a group every node is compared with every other by the Jaccard similarity of their whole sets, computed exactly,
+unless links already join the two; a link is a pair of SIMILARITY.
 
 Texts of similarity 0.8 differ in 14 % of their bits, so a segment is within two bits with a probability of 0.3, and of 9
 segments one is with 0.96; at similarity 0.9 with 0.999. A table entry meets others by chance in proportion to rows / 2**BITS;
 BITS should grow with log2 of the rows (24 holds to some 10**9, 32 with twice the segments beyond).
 
-A value of up to BLOCK nodes compares all of them where they meet; of a larger one, blocks, and each with the first nodes.
-A node passes on its first LEADERS candidates of a value; the nodes with more, and those of values cut in blocks, go through
-rounds: linked groups are contracted to their root, MEET of a value meet all others, leave, and so on until no value holds
-two. So the rows of a round grow with the nodes, not with their square, and no candidate is dropped.
+No step makes pairs: a value passes on a forest of its candidates, and a set moves once to its group. A group of more than BLOCK nodes
+is cut in blocks, and up to MEET of its nodes stand in each of them; whatever these links leave outside the group's largest part then
+meets all of the group's blocks, with its own links known. So every two nodes that no links join have been compared, whatever the
+group's size, and rows grow with the nodes. Values of more than MOST nodes are cut and completed in the same way.
 
 Defined cases: null and empty texts are one node without shingles; a text of fewer words than a shingle is one shingle; extra
 columns are kept; an empty table gives no rows.
@@ -23,28 +23,27 @@ columns are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlens.llm.common import ascii_words, hold, materialise, slices
+from meetlens.llm.common import ascii_words, hold, listed, materialise, slices
 from meetlens.llm.graph import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: An entry is two numbers: segment (4 bits), its value (BITS) and the first check bits (LOW), then 64 more check bits.
 SEGMENTS, BITS, LOW = 9, 24, 35
 CHECK_BITS, DISTANCE = LOW + 64, 26
-#: Bits of all in which a pair may differ before its sets are compared: of 315, a pair of similarity 0.8 differs in 48, give or take 6.4.
-WIDE = 70
-#: Candidates that a node passes on at once, and nodes of a value that meet all others in a later round.
-LEADERS, MEET = 2, 32
-#: Bytes of a shingle's hash that travel in a set, and turns in which groups that are apart try their nearest pair only.
-SHIPPED, TURNS = 5, 1
-BLOCK, ROWS = 4096, 1 << 16
+#: Nodes of a group that meet in one task, and shingles of them; nodes of a cut group, and of a cut value, that stand in all its blocks.
+BLOCK, SHINGLES, MEET, LEADERS = 128, 1 << 22, 32, 2
+#: Bytes of a shingle's hash that travel in a set.
+SHIPPED = 5
+#: Entries that are held before values are compared, nodes of a value that are compared at once, and of a value that needs no forest.
+ROWS, MOST, FEW = 1 << 16, 1 << 20, 6
 _WORDS = -(-(SEGMENTS * BITS + CHECK_BITS) // 64)
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = np.int64((1 << LOW) - 1)
@@ -94,11 +93,53 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sets as shipped() gives them."""
-    a, b = unpacked(a), unpacked(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
+def spanned(n: int, meets: Callable[[np.ndarray, np.ndarray], np.ndarray], label: np.ndarray | None = None, own: np.ndarray | None = None, most: int = 1) -> np.ndarray:
+    """Pairs (2 rows) that span what links nodes 0 to n - 1, found from node to node among those not reached yet.
+
+    meets(nodes, others) is the matrix of links. Nodes of one label are joined already. Two nodes that are not own are not compared.
+    most: cells of a matrix, about.
+    """
+    left, out = np.arange(n), [np.zeros((2, 0), np.int64)]
+    while len(left) > 1:
+        queue, left = left[:1], left[1:]
+        if label is not None:
+            same = label[left] == label[queue[0]]
+            queue, left = np.append(queue, left[same]), left[~same]
+        while len(queue) and len(left):
+            c = max(1, most // len(left))
+            now, queue = queue[:c], queue[c:]
+            hit = meets(now, left)
+            if own is not None:
+                hit &= own[now][:, None] | own[left]
+            found = hit.any(0)
+            if found.any():
+                out.append(np.stack([left[found], now[hit[:, found].argmax(0)]]))
+                if label is not None:
+                    found = np.isin(label[left], label[left[found]])
+                queue, left = np.append(queue, left[found]), left[~found]
+    return np.concatenate(out, axis=1)
+
+
+def alike(sets: list[bytes], label: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """Pairs that span the sets (as shipped() gives them) of a Jaccard similarity of SIMILARITY."""
+    found = [unpacked(x) for x in sets]
+    size = np.array([len(x) for x in found])
+    names, flat = np.unique(np.concatenate(found), return_inverse=True)
+    ids = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.zeros(len(names), np.int32)
+
+    def meets(now: np.ndarray, left: np.ndarray) -> np.ndarray:
+        out, (u,) = np.zeros((1, len(left)), bool), now
+        fits = np.flatnonzero(np.minimum(size[left], size[u]) >= SIMILARITY * np.maximum(size[left], size[u]))
+        if len(fits):
+            to = left[fits]
+            mark[ids[u]] = 1
+            both = np.add.reduceat(mark[np.concatenate([ids[v] for v in to])], np.append(0, np.cumsum(size[to])[:-1]))
+            mark[ids[u]] = 0
+            out[0, fits] = both / (size[u] + size[to] - both) >= SIMILARITY
+        return out
+
+    return spanned(len(sets), meets, label, own)
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -122,41 +163,46 @@ def nodes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, `__node` long, `__size` long, `__own` array<long>, `__check` long")
 
 
-def compared(k: np.ndarray, check: np.ndarray, node: np.ndarray, whole: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of rows sorted by value and node: candidates (row, earlier row, distance), and the rows that have more of them or are a cut value's."""
+def _within(k: np.ndarray, check: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    bits = check.view(np.uint64)
+    return lambda i, j: np.bitwise_count((k[i][:, None] ^ k[j]) & _MASK) + np.bitwise_count(bits[i][:, None] ^ bits[j]) <= DISTANCE
+
+
+def compared(k: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Of rows sorted by value: pairs (row, earlier row) that span the candidates of each value."""
     key, n = k >> LOW, len(k)
-    first = np.append(True, key[1:] != key[:-1])
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    place, passed, more, out = np.arange(n) - start, np.zeros(n, np.int32), np.full(n, not whole), []
-    at, lag = np.flatnonzero(place > 0), 0
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(starts, append=n)
+    place = np.arange(n) - np.repeat(starts, sizes)
+    out, at, lag = [np.zeros((2, 0), np.int64)], np.flatnonzero((place > 0) & (np.repeat(sizes, sizes) <= FEW)), 1
     while len(at):
-        other = start[at] + lag
-        d = np.bitwise_count((k[at] ^ k[other]) & _MASK) + np.bitwise_count((check[at] ^ check[other]).view(np.uint64))
-        hit = (d <= DISTANCE) & (node[at] != node[other])
-        if hit.any():
-            i, j = at[hit], other[hit]
-            free = passed[i] < LEADERS
-            passed[i] += 1
-            out.append(np.stack([i[free], j[free], d[hit][free]]))
-            more[i[~free]] = more[j[~free]] = True
+        d = np.bitwise_count((k[at] ^ k[at - lag]) & _MASK) + np.bitwise_count((check[at] ^ check[at - lag]).view(np.uint64))
+        hit = at[d <= DISTANCE]
+        out.append(np.stack([hit, hit - lag]))
         lag += 1
-        at = at[place[at] > lag]
-    return out, more
+        at = at[place[at] >= lag]
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        a, b = spanned(size, _within(k[start : start + size], check[start : start + size]), most=ROWS)
+        root = np.arange(size)
+        for i, j in zip(a.tolist(), b.tolist()):  # in the order in which they were reached: j's root is known
+            root[i] = root[j]
+        out.append(np.stack([a, root[a]]) + start)
+    return np.concatenate(out, axis=1)
 
 
 def candidates(table: DataFrame) -> DataFrame:
-    """key, a, b, d of entries (k, check, node): candidates (key null) and, key and a alone, the nodes that have more."""
+    """key, a, b of entries (k, check, node): pairs that span the candidates of each value (key null), and the values that were cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(x: np.ndarray, whole: bool = True) -> pa.RecordBatch:
+        def rows(x: np.ndarray, cut: list[int]) -> pa.RecordBatch:
             k, check, node = x
-            out, more = compared(k, check, node, whole)
-            i, j, d = np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((3, 0), np.int64)
-            rest = np.flatnonzero(more)
-            null = np.append(np.zeros(len(i), bool), np.ones(len(rest), bool))
-            key = pa.array(np.append(np.zeros(len(i), np.int64), k[rest] >> LOW), mask=~null)
-            b = pa.array(np.append(node[j], rest), mask=null)
-            return pa.RecordBatch.from_arrays([key, pa.array(np.append(node[i], node[rest])), b, pa.array(np.append(d, rest), mask=null)], ["key", "a", "b", "d"])
+            i, j = compared(k, check)
+            found = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]), axis=1)
+            none = np.zeros(len(cut), np.int64)
+            null = np.append(np.ones(found.shape[1], bool), np.zeros(len(cut), bool))
+            made = [pa.array(np.append(np.zeros(found.shape[1], np.int64), np.array(cut, np.int64)), mask=null)]
+            made += [pa.array(np.append(x, none), mask=~null) for x in found]
+            return pa.RecordBatch.from_arrays(made, ["key", "a", "b"])
 
         held, parts, waiting = np.zeros((3, 0), np.int64), [], 0
         for batch in batches:
@@ -167,80 +213,108 @@ def candidates(table: DataFrame) -> DataFrame:
                 key = held[0] >> LOW
                 cut = int(np.searchsorted(key, key[-1]))  # the last value may go on
                 if cut:
-                    yield rows(held[:, :cut])
+                    yield rows(held[:, :cut], [])
                 held = held[:, cut:]
-                while held.shape[1] > 2 * BLOCK:  # a value of very many nodes: a block at a time, its first nodes with each
-                    yield rows(held[:, :BLOCK], False)
-                    held = np.concatenate([held[:, :LEADERS], held[:, BLOCK:]], axis=1)
+                while held.shape[1] > MOST:  # a value of very many nodes: a block at a time, its first nodes with each
+                    yield rows(held[:, :MOST], [int(held[0, 0] >> LOW)])
+                    held = np.concatenate([held[:, :LEADERS], held[:, MOST:]], axis=1)
         held = np.concatenate([held, *parts], axis=1)
         if held.shape[1]:
-            yield rows(held)
+            yield rows(held, [])
 
     dealt = table.repartition(F.shiftright("k", LOW)).sortWithinPartitions(F.shiftright("k", LOW), "node")
-    return dealt.mapInArrow(run, "key long, a long, b long, d long")
+    return dealt.mapInArrow(run, "key long, a long, b long")
+
+
+def pieces(dealt: DataFrame, found: Callable[[pa.RecordBatch, np.ndarray | None, np.ndarray], np.ndarray]) -> DataFrame:
+    """a, b: pairs of nodes that span each block (g, block) of rows with node, label (null: none yet), own and what `found` reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            x = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            label = None if x.column("label").null_count else x.column("label").to_numpy()
+            i, j = found(x, label, x.column("own").to_numpy(zero_copy_only=False))
+            node = x.column("node").to_numpy()
+            return node[i], node[j]
+
+        now, parts = None, []
+        for batch in batches:
+            out = []
+            at = np.stack([batch.column(c).to_numpy() for c in ("g", "block")])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if start == end:
+                    continue
+                if parts and now != tuple(at[:, start]):
+                    out.append(rows(parts))
+                    parts = []
+                now = tuple(at[:, start])
+                parts.append(batch.slice(start, end - start))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+        if parts:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows(parts))), ["a", "b"])
+
+    return materialise(dealt, "dealt").repartitionByRange("g", "block").sortWithinPartitions("g", "block", "node").mapInArrow(run, "a long, b long")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """node, shingles binary of rows (node, text)."""
+    """__row, shingles binary of rows (__row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shipped(shingles(ascii_words(t))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(sets, pa.binary())], ["__row", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("__row", "text").mapInArrow(run, "__row struct<k:long,t:long>, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """The rows (g, node) with the number of blocks of their group, from its n (nodes) and total (shingles), and their own block."""
+    by = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("g", blocks.cast("long").alias("blocks"))
+    return members.join(by, "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")))
-            good = [(a, b) for a, b, x, y in rows if jaccard(x, y) >= SIMILARITY]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def with_guests(own: DataFrame, guests: DataFrame) -> DataFrame:
+    """The rows of all blocks, and the guests in each block of their group that is not their own."""
+    every = guests.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("`to` <> block")
+    columns = ["g", "node", "label"]
+    return own.select(*columns, "block", F.lit(True).alias("own")).union(every.select(*columns, F.col("to").alias("block"), F.lit(False).alias("own")))
 
 
-def _alike(size: Column, other: Column) -> Column:
-    return F.least(size, other) >= SIMILARITY * F.greatest(size, other)
+def unjoined(members: DataFrame, found: DataFrame, blocks: Column) -> DataFrame:
+    """Of groups (g, node, size) that the links found so far do not join whole: all nodes by block, with what they are joined to as label,
+    and those outside the group's largest part in every block.
+    """
+    known = members.join(components(found), "node", "left").select("g", "node", "size", F.coalesce("root", "node").alias("label"))
+    known = materialise(known, "parts")
+    parts = known.groupBy("g", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+    apart = materialise(in_blocks(known, blocks).join(main.select("g", F.col("x.label").alias("main")), "g"), "parts")
+    return with_guests(apart, apart.where("label <> main"))
 
 
-def _distance(low: str, check: str, other_low: str, other_check: str) -> Column:
-    return F.bit_count(F.col(low).bitwiseXOR(F.col(other_low))) + F.bit_count(F.col(check).bitwiseXOR(F.col(other_check)))
+def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that span every group (g, node, size), whatever its size. sets: node, shingles."""
 
+    def found(x: pa.RecordBatch, label: np.ndarray | None, own: np.ndarray) -> np.ndarray:
+        return alike(x.column("shingles").to_pylist(), label, own)
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs that the links found so far do not join, with the roots ra < rb of the two groups that they would."""
-    root = components(found)
-    a, b = root.select(F.col("node").alias("a"), F.col("root").alias("ra")), root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
-    return joined.where("ra <> rb").select("a", "b", "d", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+    def needed(nodes: int) -> Column:
+        return F.greatest(F.ceil(F.col("n") / nodes), F.ceil(F.col("total") / SHINGLES))
 
+    own = materialise(in_blocks(members, needed(BLOCK)).withColumn("label", F.lit(None).cast("long")), "blocks")
+    cut = own.where("blocks > 1")
+    guests = cut.groupBy("g", F.pmod(F.xxhash64("node", "g"), F.lit(MEET)).alias("of")).agg(F.min(F.struct(*cut.columns)).alias("x")).select("x.*")
+    links = materialise(pieces(with_guests(own, guests).join(sets, "node"), found), "links")
+    if cut.isEmpty():
+        return links
+    left = unjoined(cut.select("g", "node", "size"), links, needed(8 * BLOCK))
+    return links.union(materialise(pieces(left.join(sets, "node"), found), "links"))
 
-def _in_turn(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links that span what the pairs (a, b, d) link: of each node the nearest and the smallest, then, of every two groups
-    that are still apart, their nearest pair, TURNS times, and at last all pairs that are left.
 
-    Sets move with the pairs of a turn, which are few for each group, not with all pairs of a dense one.
-    """
-    both = pairs.select("a", F.struct("d", "b").alias("x")).union(pairs.select(F.col("b").alias("a"), F.struct("d", F.col("a").alias("b")).alias("x")))
-    chosen = both.groupBy("a").agg(F.min("x").alias("x"), F.min("x.b").alias("low")).select("a", F.explode(F.array("x.b", "low")).alias("b"))
-    chosen = chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = materialise(verified(chosen, sets), "links")
-    left = pairs.join(chosen, ["a", "b"], "left_anti")
-    for turn in range(TURNS + 1):
-        left = materialise(_apart(left.select("a", "b", "d"), found), "apart")
-        if left.isEmpty():
-            break
-        if turn == TURNS:
-            return found.union(materialise(verified(left.select("a", "b"), sets), "links"))
-        tried = left.groupBy("ra", "rb").agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
-        found = found.union(materialise(verified(tried, sets), "links"))
-        left = left.join(tried, ["a", "b"], "left_anti")
-    return found
+#: The two parts of __row.
+ROW = ("__row.k", "__row.t")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -256,60 +330,65 @@ def named(docs: DataFrame) -> DataFrame:
     return materialise(own.groupBy("__row").agg(F.count("*").alias("__n"), *firsts), "rows")
 
 
-def one_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of the documents, one row of each __row that is wanted (__row, __n and more columns), with those columns but __n.
+def one_each(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of keyed rows, one of each __row that is wanted (__row, __n and more columns), with those columns but __n.
 
     The keys are written first: Spark then broadcasts them if they are small enough, and moves the texts to them if not.
     Repeated rows meet as partial aggregates, so that very many of them need no one task.
     """
-    found = keyed(docs).join(materialise(wanted, "wanted"), "__row")
+    found = found.join(materialise(wanted, "wanted"), "__row")
     columns = [c for c in found.columns if c not in ("__row", "__n")]
     repeated = found.where("__n > 1").groupBy("__row").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in columns))).alias("x"))
     return found.where("__n = 1").select(*(F.col(f"`{c}`") for c in columns)).union(repeated.select("x.*"))
 
 
+def grouped(known: DataFrame) -> DataFrame:
+    """node, root: the groups that candidates among the nodes (node, own, check) make; nodes without any are not listed."""
+    ball = F.array(*(F.lit(x).cast("long") for x in [0, *(1 << LOW + b for b in range(BITS))]))
+    every = F.flatten(F.transform("own", lambda k: F.transform(ball, lambda m: k.bitwiseXOR(m))))
+    entry = known.select(F.explode(every).alias("k"), "check", "node")
+    met = materialise(candidates(entry), "met")
+    # a node's partners are joined through the least of them: of a dense group, few pairs are left
+    partners = met.where("key IS NULL").groupBy("a").agg(F.collect_set("b").alias("b"))
+    pairs = partners.select(F.explode(F.array_union(F.array("a"), "b")).alias("a"), F.array_min("b").alias("b")).where("a <> b").distinct()
+    pairs = materialise(pairs, "pairs")
+    cut = met.where("key IS NOT NULL").select("key").distinct()
+    if not cut.isEmpty():
+
+        def found(x: pa.RecordBatch, label: np.ndarray | None, own: np.ndarray) -> np.ndarray:
+            k, check = (x.column(c).to_numpy() for c in ("k", "check"))
+            return spanned(len(k), _within(k, check), label, own, ROWS)
+
+        large = materialise(entry.withColumn("g", F.shiftright("k", LOW)).join(cut.withColumnRenamed("key", "g"), "g"), "cut")
+        left = unjoined(large.select("g", "node", F.lit(1).alias("size")), pairs, F.ceil(F.col("n") / MOST))
+        pairs = pairs.union(materialise(pieces(left.join(large, ["g", "node"]), found), "pairs"))
+    return components(pairs)
+
+
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: verified links among the nodes of rows (as named() gives them for docs). Sets are made of candidates only."""
     own = rows.where("__size > 0").groupBy(F.col("__node").alias("node"))
-    least = F.min(F.struct("__row", "__n")).alias("of")
-    known = own.agg(F.min("__size").alias("size"), least, F.min("__own").alias("own"), F.min("__check").alias("check"))
-    known = known.select("node", "size", "of.*", "own", "check")
-    known = materialise(known.withColumn("low", F.col("own")[0].bitwiseAND(int(_MASK))), "nodes")
-    ball = F.array(*(F.lit(x).cast("long") for x in [0, *(1 << LOW + b for b in range(BITS))]))
-    every = F.flatten(F.transform("own", lambda k: F.transform(ball, lambda m: k.bitwiseXOR(m))))
-    met = materialise(candidates(known.select(F.explode(every).alias("k"), "check", "node")), "met")
-    size = known.select(F.col("node").alias("b"), F.col("size").alias("other"), F.col("own").alias("theirs"))
-    pairs = met.where("key IS NULL").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("d").alias("d"))
-    pairs = pairs.join(known.select(F.col("node").alias("a"), "size", "own"), "a").join(size, "b").where(_alike(F.col("size"), F.col("other")))
-    apart = F.zip_with("own", "theirs", lambda x, y: F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), LOW)))
-    pairs = pairs.withColumn("d", F.col("d") + F.aggregate(apart, F.lit(0), lambda t, n: t + n)).where(F.col("d") <= WIDE)
-    pairs, rest = materialise(pairs.select("a", "b", "d"), "pairs"), met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(rest.select("node")).distinct()
-    texts = one_each(docs.select("doc_id", "text"), known.join(wanted, "node", "left_semi").select("node", "__row", "__n"))
-    sets = materialise(sets_of(texts), "sets")
-    found, tried = _in_turn(pairs, sets), pairs.select("a", "b")
-    while not rest.isEmpty():
-        now = rest.join(components(found), "node", "left").select("key", F.coalesce("root", "node").alias("node")).distinct()
-        several = now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        now = materialise(now.join(several, "key").join(known.select("node", "size", "low", "check"), "node"), "rest")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-        led = materialise(now.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MEET).drop("r"), "leaders")
-        led = led.withColumnsRenamed({"node": "leader", "size": "other", "low": "l", "check": "c"})
-        near = now.join(led, "key").where((F.col("node") != F.col("leader")) & _alike(F.col("size"), F.col("other")))
-        near = near.withColumn("d", _distance("low", "check", "l", "c")).where(F.col("d") <= DISTANCE)
-        near = near.groupBy(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).agg(F.min("d").cast("long").alias("d"))
-        near = materialise(near.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not near.isEmpty():
-            found, tried = found.union(_in_turn(near, sets)), tried.union(near.select("a", "b"))
-        rest = now.join(led.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-    return found
+    known = own.agg(F.min("__size").alias("size"), F.min("__row").alias("__row"), F.min("__own").alias("own"), F.min("__check").alias("check"))
+    known = materialise(known, "nodes")
+    wanted = known.select("node", "size", "__row").join(grouped(known), "node").select("node", "size", "__row", F.col("root").alias("g"))
+    wanted = materialise(wanted, "wanted")
+    among = keyed(docs.select("doc_id", "text"))
+    made = sets_of(among.where(listed(wanted, ROW)(*ROW))).groupBy("__row").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(made.join(wanted.select("__row", "node"), "__row").select("node", "shingles"), "sets")
+    return verified(wanted.select("g", "node", "size"), sets)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: the smallest id, nulls last, then the smallest hash of the text."""
+    """One row of each group of near copies: the smallest id, nulls last, then the smallest hash of the text.
+
+    Rows that neither go nor are repeated stay where they are; only the others are joined.
+    """
     rows = named(docs)
     root = components(links(rows, docs))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__row.t").alias("t"), "__row", "__n")
     least = rows.groupBy("__node").agg(F.min(order).alias("__o"))
     group = least.join(root, least["__node"] == root.node, "left").groupBy(F.coalesce("root", "__node").alias("g"))
-    return one_each(docs, group.agg(F.min("__o").alias("o")).select("o.__row", "o.__n")).select(docs.columns)
+    kept = materialise(group.agg(F.min("__o").alias("o")).select("o.__row", "o.__n"), "kept")
+    doubtful = rows.select("__row", "__n").join(kept.select("__row", F.lit(True).alias("stays")), "__row", "left").where("stays IS NULL OR __n > 1")
+    doubt, own = listed(materialise(doubtful.select("__row"), "doubtful"), ROW)(*ROW), keyed(docs)
+    return own.where(~doubt).select(docs.columns).union(one_each(own.where(doubt), kept).select(docs.columns))

@@ -101,3 +101,27 @@ def test_repeated_rows_are_one(spark):
     own = [(3, text)] * 50 + [(3, "other words of that id which nobody repeats at all")] + [(None, None)] * 20 + [(None, "")] * 5
     kept = sorted(((r.doc_id, r.text or "") for r in P.distinct(spark, rows(spark, own), "").collect()), key=str)
     assert kept == sorted([(3, text), (3, own[50][1]), (None, "")], key=str)
+
+
+def test_no_link_of_a_crowded_value_is_lost(spark, monkeypatch):
+    """Texts that change two words at a time, each with copies that are similar to it alone: every link counts, and values and
+    groups hold more texts than pass at once; whole, and with groups and values cut.
+    """
+    rng = np.random.default_rng(11)
+    words, own, fresh, free = [f"w{x}" for x in rng.integers(0, 9000, 300)], [], iter(range(10**6)), [*rng.permutation(np.arange(0, 300, 6))]
+
+    def changed(base, places):
+        return [f"new{next(fresh)}" if i in set(places) else w for i, w in enumerate(base)]
+
+    for _ in range(10):
+        own.append(words)
+        own += [changed(words, rng.choice(np.arange(3, 300, 6), 5, replace=False)) for _ in range(7)]
+        words = changed(words, [free.pop() for _ in range(3)])
+    own = [(i, " ".join(w)) for i, w in enumerate(own)]
+    docs = rows(spark, own)
+    want = first_of_groups(own)
+    assert want == {0}
+    for sizes in ({}, {"BLOCK": 16, "MEET": 2}, {"BLOCK": 16, "MEET": 2, "MOST": 12, "ROWS": 8}):
+        for name, n in sizes.items():
+            monkeypatch.setattr(near, name, n, raising=False)
+        assert {r.doc_id for r in P.distinct(spark, docs, "").collect()} == want
