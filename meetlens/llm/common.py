@@ -79,12 +79,43 @@ def slices(batches, rows: int = 512):
 MOST_BITS, PAGES = 1 << 28, 64
 
 
-def listed(rows: DataFrame, key: tuple[str, ...]) -> Callable[..., Column]:
-    """A test of key columns: true for every key of the rows, and by chance for a few others, so that a join moves few rows in vain.
+class Listed:
+    """A test of keys: true for every key of the rows, and by chance for a few others, so that a join moves few rows in vain.
 
     A bitmap of the keys' hashes, eight bits a row and MOST_BITS at most, is made by pages on the executors and broadcast: 32 MB
-    however many rows there are. Only the hashes go to the test's workers. Where nearly all bits are set it lets all rows through.
+    however many rows there are. Where nearly all bits are set it lets all rows through.
     """
+
+    def __init__(self, rows: DataFrame, key: tuple[str, ...]) -> None:
+        self.key, self.known = key, _bitmap(rows, key)
+        self.bits = 8 * len(self.known.value)
+
+    def place(self) -> Column:
+        """Of rows that have the key columns: where has() looks."""
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.bits))
+
+    def has(self) -> Callable[[pa.Array], np.ndarray]:
+        """The test of places, for a task's own use; a second Python worker in a task would double what workers remember."""
+        known = self.known
+
+        def test(place: pa.Array) -> np.ndarray:
+            at = place.to_numpy(zero_copy_only=False)
+            return known.value[at // 8] >> (at % 8).astype(np.uint8) & 1 == 1
+
+        return test
+
+    def column(self) -> Column:
+        """The test as a column; only places go to the workers."""
+        has = self.has()
+
+        @F.arrow_udf("boolean")
+        def test(place: pa.Array) -> pa.Array:
+            return pa.array(has(place))
+
+        return test(self.place())
+
+
+def _bitmap(rows: DataFrame, key: tuple[str, ...]):
     spark, n = rows.sparkSession, rows.count()
     bits = min(MOST_BITS, 1 << max(16, (8 * n).bit_length()))
     page = bits // PAGES
@@ -112,11 +143,4 @@ def listed(rows: DataFrame, key: tuple[str, ...]) -> Callable[..., Column]:
     bitmap = np.zeros(bits // 8, np.uint8)
     for row in pages.toLocalIterator():
         bitmap[row.page * page // 8 : (row.page + 1) * page // 8] = np.frombuffer(row.bits, np.uint8)
-    known = spark.sparkContext.broadcast(bitmap)
-
-    @F.arrow_udf("boolean")
-    def test(place: pa.Array) -> pa.Array:
-        at = place.to_numpy(zero_copy_only=False)
-        return pa.array(known.value[at // 8] >> (at % 8).astype(np.uint8) & 1 == 1)
-
-    return lambda *key: test(F.pmod(F.xxhash64(*key), F.lit(bits)))
+    return spark.sparkContext.broadcast(bitmap)

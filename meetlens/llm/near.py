@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlens.llm.common import ascii_words, hold, listed, materialise, slices
+from meetlens.llm.common import Listed, ascii_words, hold, materialise, slices
 from meetlens.llm.graph import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -227,7 +227,10 @@ def candidates(table: DataFrame) -> DataFrame:
 
 
 def pieces(dealt: DataFrame, found: Callable[[pa.RecordBatch, np.ndarray | None, np.ndarray], np.ndarray]) -> DataFrame:
-    """a, b: pairs of nodes that span each block (g, block) of rows with node, label (null: none yet), own and what `found` reads."""
+    """a, b: pairs of nodes that span each block (g, block) of rows with node, label (null: none yet), own and what `found` reads.
+
+    The rows are read twice, by ranges; they should have been written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,18 +258,20 @@ def pieces(dealt: DataFrame, found: Callable[[pa.RecordBatch, np.ndarray | None,
         if parts:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, rows(parts))), ["a", "b"])
 
-    return materialise(dealt, "dealt").repartitionByRange("g", "block").sortWithinPartitions("g", "block", "node").mapInArrow(run, "a long, b long")
+    return dealt.repartitionByRange("g", "block").sortWithinPartitions("g", "block", "node").mapInArrow(run, "a long, b long")
 
 
-def sets_of(texts: DataFrame) -> DataFrame:
-    """__row, shingles binary of rows (__row, text)."""
+def sets_of(texts: DataFrame, wanted: Listed) -> DataFrame:
+    """__row, shingles binary of those rows (__row, text) that may be wanted."""
+    has = wanted.has()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            batch = batch.filter(pa.array(has(batch.column("place"))))
             sets = [shipped(shingles(ascii_words(t))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(sets, pa.binary())], ["__row", "shingles"])
 
-    return texts.select("__row", "text").mapInArrow(run, "__row struct<k:long,t:long>, shingles binary")
+    return texts.select("__row", "text", wanted.place().alias("place")).mapInArrow(run, "__row struct<k:long,t:long>, shingles binary")
 
 
 def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
@@ -278,7 +283,7 @@ def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
 def with_guests(own: DataFrame, guests: DataFrame) -> DataFrame:
     """The rows of all blocks, and the guests in each block of their group that is not their own."""
     every = guests.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("`to` <> block")
-    columns = ["g", "node", "label"]
+    columns = [c for c in own.columns if c not in ("block", "blocks")]
     return own.select(*columns, "block", F.lit(True).alias("own")).union(every.select(*columns, F.col("to").alias("block"), F.lit(False).alias("own")))
 
 
@@ -291,11 +296,11 @@ def unjoined(members: DataFrame, found: DataFrame, blocks: Column) -> DataFrame:
     parts = known.groupBy("g", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
     apart = materialise(in_blocks(known, blocks).join(main.select("g", F.col("x.label").alias("main")), "g"), "parts")
-    return with_guests(apart, apart.where("label <> main"))
+    return with_guests(apart.drop("main", "size"), apart.where("label <> main"))
 
 
 def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links that span every group (g, node, size), whatever its size. sets: node, shingles."""
+    """a, b: links that span every group (g, node, size, __row), whatever its size. sets: __row, shingles."""
 
     def found(x: pa.RecordBatch, label: np.ndarray | None, own: np.ndarray) -> np.ndarray:
         return alike(x.column("shingles").to_pylist(), label, own)
@@ -305,12 +310,14 @@ def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     own = materialise(in_blocks(members, needed(BLOCK)).withColumn("label", F.lit(None).cast("long")), "blocks")
     cut = own.where("blocks > 1")
-    guests = cut.groupBy("g", F.pmod(F.xxhash64("node", "g"), F.lit(MEET)).alias("of")).agg(F.min(F.struct(*cut.columns)).alias("x")).select("x.*")
-    links = materialise(pieces(with_guests(own, guests).join(sets, "node"), found), "links")
+    guests = cut.groupBy("g", F.pmod(F.xxhash64("node", "g"), F.lit(MEET)).alias("of")).agg(F.min(F.struct("node", *(c for c in own.columns if c != "node"))).alias("x")).select("x.*")
+    dealt = materialise(with_guests(own.drop("size"), guests).join(sets, "__row").drop("__row"), "dealt")
+    links = materialise(pieces(dealt, found), "links")
     if cut.isEmpty():
         return links
-    left = unjoined(cut.select("g", "node", "size"), links, needed(8 * BLOCK))
-    return links.union(materialise(pieces(left.join(sets, "node"), found), "links"))
+    left = materialise(unjoined(cut.select("g", "node", "size"), links, needed(8 * BLOCK)), "left")
+    again = dealt.where("own").join(left.select("g").distinct(), "g", "left_semi").select("node", "shingles")
+    return links.union(materialise(pieces(materialise(left.join(again, "node"), "dealt"), found), "links"))
 
 
 #: The two parts of __row.
@@ -361,7 +368,7 @@ def grouped(known: DataFrame) -> DataFrame:
 
         large = materialise(entry.withColumn("g", F.shiftright("k", LOW)).join(cut.withColumnRenamed("key", "g"), "g"), "cut")
         left = unjoined(large.select("g", "node", F.lit(1).alias("size")), pairs, F.ceil(F.col("n") / MOST))
-        pairs = pairs.union(materialise(pieces(left.join(large, ["g", "node"]), found), "pairs"))
+        pairs = pairs.union(materialise(pieces(materialise(left.join(large, ["g", "node"]), "dealt"), found), "pairs"))
     return components(pairs)
 
 
@@ -372,10 +379,8 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     known = materialise(known, "nodes")
     wanted = known.select("node", "size", "__row").join(grouped(known), "node").select("node", "size", "__row", F.col("root").alias("g"))
     wanted = materialise(wanted, "wanted")
-    among = keyed(docs.select("doc_id", "text"))
-    made = sets_of(among.where(listed(wanted, ROW)(*ROW))).groupBy("__row").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(made.join(wanted.select("__row", "node"), "__row").select("node", "shingles"), "sets")
-    return verified(wanted.select("g", "node", "size"), sets)
+    made = sets_of(keyed(docs.select("doc_id", "text")), Listed(wanted, ROW)).groupBy("__row").agg(F.first("shingles").alias("shingles"))
+    return verified(wanted, made)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -390,5 +395,5 @@ def survivors(docs: DataFrame) -> DataFrame:
     group = least.join(root, least["__node"] == root.node, "left").groupBy(F.coalesce("root", "__node").alias("g"))
     kept = materialise(group.agg(F.min("__o").alias("o")).select("o.__row", "o.__n"), "kept")
     doubtful = rows.select("__row", "__n").join(kept.select("__row", F.lit(True).alias("stays")), "__row", "left").where("stays IS NULL OR __n > 1")
-    doubt, own = listed(materialise(doubtful.select("__row"), "doubtful"), ROW)(*ROW), keyed(docs)
+    doubt, own = Listed(materialise(doubtful.select("__row"), "doubtful"), ROW).column(), keyed(docs)
     return own.where(~doubt).select(docs.columns).union(one_each(own.where(doubt), kept).select(docs.columns))
