@@ -195,6 +195,29 @@ def impacts(counts: np.ndarray, idf: np.ndarray, length, mean: float) -> np.ndar
     return idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / max(mean, 1)))
 
 
+def strongest(docs: list[np.ndarray], force: np.ndarray, mean: float, most: int = 2) -> np.ndarray:
+    """The `most` terms of highest impact of each document (rows), ties to the smaller id, -1: none; force: each term's, zero if no term counts.
+
+    Documents of ids of one kind, none of them empty, are sorted as one array of document and id.
+    """
+    lengths = np.array([len(d) for d in docs])
+    ids = np.concatenate(docs)
+    bits, kind = 8 * ids.itemsize, f"<u{2 * ids.itemsize}"
+    own = np.sort(np.repeat(np.arange(len(docs)).astype(kind), lengths) << np.array(bits, kind) | ids)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    counts, own = np.diff(first, append=len(own)), own[first]
+    terms, doc = (own & np.array((1 << bits) - 1, kind)).astype(np.int64), (own >> np.array(bits, kind)).astype(np.int64)
+    now, starts = impacts(counts, force[terms], lengths[doc], mean), np.searchsorted(doc, np.arange(len(docs)))
+    out = []
+    for _ in range(most):
+        best = np.maximum.reduceat(now, starts)
+        at = np.flatnonzero(now == best[doc])
+        at = at[np.searchsorted(doc[at], np.arange(len(docs)))]
+        out.append(np.where(best > 0, terms[at], -1))
+        now[at] = 0
+    return np.stack(out, axis=1)
+
+
 def routed(tokens: DataFrame, kind: str, shared) -> DataFrame:
     """The tokens with first, second (strongest terms that another document has, -1: none) and tie (a hash of the ids)."""
 
@@ -203,18 +226,11 @@ def routed(tokens: DataFrame, kind: str, shared) -> DataFrame:
         idf, mean, several = shared.value
         common = np.where(several, idf, 0)
         for batch in slices(batches):
-            out = []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, kind)
-                terms, counts = counted(ids)
-                force, best = impacts(counts, common[terms], len(ids), mean), []
-                for _ in range(2):
-                    k = int(force.argmax())
-                    best.append(int(terms[k]) if force[k] > 0 else -1)
-                    force[k] = 0
-                out.append((*best, zlib.crc32(raw)))
-            made = [pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["doc_id", "ids", "first", "second", "tie"])
+            if batch.num_rows:
+                raw = batch.column("ids").to_pylist()
+                first, second = strongest([np.frombuffer(x, kind) for x in raw], common, mean).T
+                made = [pa.array(x, pa.int64()) for x in (first, second, list(map(zlib.crc32, raw)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["doc_id", "ids", "first", "second", "tie"])
 
     return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, first long, second long, tie long")
 

@@ -89,3 +89,17 @@ def test_neighbours_from_anywhere_meet(spark):
         of.setdefault(r.sequence_id, set()).add(r.doc_id)
     pairs = [(a % 30, b % 30) for own in of.values() for a in own for b in own if a < b]
     assert np.mean([a == b for a, b in pairs]) > 0.3  # 0.03 by chance
+
+
+def test_strongest_terms_of_many_documents_at_once():
+    """Against each document alone, with ties and documents whose terms do not count."""
+    rng = np.random.default_rng(3)
+    for kind in ("<u2", "<u4"):
+        force = np.where(rng.random(300) < 0.7, rng.integers(1, 4, 300), 0).astype(np.float32)
+        docs = [rng.integers(0, 300, n).astype(kind) for n in rng.integers(1, 60, 200)] + [np.flatnonzero(force == 0)[:5].astype(kind)]
+        want = []
+        for d in docs:
+            terms, counts = packing.counted(d)
+            by = sorted((-f, t) for f, t in zip(packing.impacts(counts, force[terms], len(d), 40.5).tolist(), terms.tolist()) if f > 0)
+            want.append(([t for _, t in by] + [-1, -1])[:2])
+        assert packing.strongest(docs, force, 40.5).tolist() == want
