@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from string import punctuation
 
 import numpy as np
@@ -34,7 +34,79 @@ WINDOW, END_ID, SHARD_TOKENS, SHARD_DOCS, K1, B = 4096, 2, 2_000_000, 1 << 15, 1
 #: A term that one document in so many of a shard has is held as a row over all of the shard's documents, in so many bytes of rows.
 DENSE, DENSE_BYTES = 8, 1 << 25
 #: Units that a worker remembers.
-CACHE = 250_000
+CACHE = 1_000_000
+
+
+class Units:
+    """Ids of the units that a worker has met, in a few arrays: 30 bytes a unit or so, where a dictionary of strings takes 200.
+
+    A unit is known by two sums of its bytes modulo 2**64, each byte times a random number that its place has. Two different units
+    share both sums with a chance under 2**-110. Units of over LONG bytes are found anew each time.
+    """
+
+    LONG = 64
+
+    def __init__(self, kind: str):
+        self.factors = np.random.default_rng().integers(0, 1 << 64, (2, self.LONG), np.uint64)
+        self.first, self.second = np.zeros((2, 0), np.uint64)  # the sums, by the first one
+        self.places = np.zeros(0, np.int64)  # where in ids, how many: two numbers of 32 bits as one
+        self.ids, self.used = np.zeros(1 << 16, kind), 0
+
+    def full(self) -> bool:
+        return len(self.first) > CACHE or self.used > 8 * CACHE
+
+    def sums(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both sums of each unit, and whether it is short enough to be kept."""
+        stops = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1]
+        raw = np.frombuffer(units.buffers()[2] or b"", np.uint8)[stops[0] : stops[-1]].astype(np.uint64) + np.uint64(1)
+        stops = stops - stops[0]
+        sizes = np.diff(stops)
+        place = np.minimum(np.arange(len(raw), dtype=np.int32) - np.repeat(stops[:-1], sizes), self.LONG - 1)
+        first, second = (np.diff(np.append(np.uint64(0), np.cumsum(raw * x[place]))[stops]) for x in self.factors)
+        return first, second, sizes <= self.LONG
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of units whose ids follow each other."""
+        start, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.append(self.ids[:start], np.zeros(self.used + self.used // 4 - start, self.ids.dtype))
+        self.ids[start : self.used] = ids
+        return np.stack([start + np.cumsum(sizes) - sizes, sizes], axis=1).astype(np.int32)
+
+    def find(self, units: pa.Array, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The place of each of the units, which differ; learn: the ids of units, one after the other, and each one's number of ids."""
+        if not len(units):
+            return np.zeros((0, 2), np.int32)
+        first, second, short = self.sums(units)
+        out, known = np.zeros((len(units), 2), np.int32), np.zeros(len(units), bool)
+        if len(self.first):
+            order = np.argsort(first)
+            at = np.empty(len(units), np.int64)
+            at[order] = np.minimum(np.searchsorted(self.first, first[order]), len(self.first) - 1)
+            known = short & (self.first[at] == first) & (self.second[at] == second)
+            out[known] = self.places[at[known]].view(np.int32).reshape(-1, 2)
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = self.append(*learn(units.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()))
+            new = new[short[new]]
+            new = new[np.argsort(first[new])]
+            at = np.searchsorted(self.first, first[new]) + np.arange(len(new))
+            old = np.ones(len(self.first) + len(new), bool)
+            old[at] = False
+            self.first, self.second, self.places = (_merged(old, at, *x) for x in ((self.first, first[new]), (self.second, second[new]), (self.places, out[new].view(np.int64)[:, 0])))
+        return out
+
+
+def _merged(old: np.ndarray, at: np.ndarray, before: np.ndarray, new: np.ndarray) -> np.ndarray:
+    out = np.empty(len(old), before.dtype)
+    out[old], out[at] = before, new
+    return out
+
+
+def laid(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids that start there, one after the other, and where each ends."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)], ends
 
 
 class WordEncoder:
@@ -60,71 +132,63 @@ class WordEncoder:
         self.merges = Tokenizer.from_str(json.dumps(parts))
         vocabulary = self.plain.get_vocab()
         self.size = max(vocabulary.values()) + 1
+        self.kind = _kind(self.size)
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.units: dict[str, bytes] = {}
+        self.units = Units(self.kind)
 
-    def _wholly(self, new: list[str]) -> None:
-        self.units.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(new, self.plain.encode_batch_fast(new, add_special_tokens=False)))
+    def _wholly(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.plain.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], self.kind), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _mixed(self, new: list[str]) -> None:
+    def _mixed(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that are not a word with one mark; an ASCII word before any run of punctuation is two units still."""
         parts = {}
-        for c in new:
+        for i, c in enumerate(new):
             word = c.rstrip(punctuation)
             if len(word) < len(c) and word.isascii() and word.isalpha():
-                parts[c] = word.lower(), c[len(word) :]
-        words, marks = ({x[k] for x in parts.values()} for k in (0, 1))
-        self._words([w for w in words if w not in self.units])
-        self._wholly([c for c in [*marks, *(c for c in new if c not in parts)] if c not in self.units])
-        self.units.update((c, self.units[word] + self.units[mark]) for c, (word, mark) in parts.items())
-
-    def _words(self, new: list[str]) -> None:
-        known, lines = self.units, [new[i : i + self.LINE] for i in range(0, len(new), self.LINE)]
+                parts[i] = word.lower(), c[len(word) :]
+        places, units, parted = np.zeros((len(new), 2, 2), np.int32), self.units, list(parts)
+        for k, learn in enumerate((self._words, self._wholly)):
+            coded = pa.array([x[k] for x in parts.values()], pa.string()).dictionary_encode()
+            places[parted, k] = units.find(coded.dictionary, learn)[coded.indices.to_numpy()]
+        used, others = units.used, [i for i in range(len(new)) if i not in parts]
+        places[others, 0] = units.append(*self._wholly([new[i] for i in others]))
+        ids, _ = laid(units.ids, *places.reshape(-1, 2).T)
+        units.used = used  # find() appends them again, with the parted ones
+        return ids, places[:, :, 1].sum(1)
+
+    def _words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines, out = [new[i : i + self.LINE] for i in range(0, len(new), self.LINE)], []
         for line, found in zip(lines, self.merges.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) == len(line):
-                raw, at = ids.tobytes(), 0
-                for word, stop in zip(line, stops):
-                    known[word] = raw[at:stop]
-                    at = stop
-            else:
-                self._wholly(line)
-
-    def _ids(self, units: list[str], learn) -> list[bytes]:
-        raw = list(map(self.units.get, units))
-        if new := [u for u, x in zip(units, raw) if x is None]:
-            learn(new)
-            raw = [self.units[u] for u in units]
-        return raw
+            ids = np.array(found.ids, self.kind)
+            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            out.append((ids, sizes) if len(sizes) == len(line) else self._wholly(line))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        if len(self.units) > CACHE:
-            self.units.clear()
+        if self.units.full():
+            self.units = Units(self.kind)
         lists = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
         coded = lists.flatten().dictionary_encode()
         chunks, at = coded.dictionary, coded.indices.to_numpy()
         if not len(at):
-            return [np.zeros(0, np.uint32)] * len(texts)
+            return [np.zeros(0, self.kind)] * len(texts)
         easy = pc.match_substring_regex(chunks, self.WORD)
         is_easy = easy.to_numpy(zero_copy_only=False)
         simple = chunks.filter(easy)
         words = pc.utf8_lower(pc.ascii_rtrim(simple, self.MARKS)).dictionary_encode()
-        raw = [b"", *self._ids(list(self.MARKS), self._wholly), *self._ids(words.dictionary.to_pylist(), self._words), *self._ids(chunks.filter(pc.invert(easy)).to_pylist(), self._mixed)]
-        first = 1 + len(self.MARKS)
-        unit = np.zeros((len(chunks), 2), np.int32)
-        unit[is_easy, 0] = words.indices.to_numpy() + first
-        unit[~is_easy, 0] = np.arange(first + len(words.dictionary), len(raw))
-        for k, mark in enumerate(self.MARKS, 1):
-            unit[np.flatnonzero(is_easy)[pc.ends_with(simple, mark).to_numpy(zero_copy_only=False)], 1] = k
-        ids, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
-        own = unit[at].ravel()
-        starts, each = np.cumsum(sizes, dtype=np.int32) - sizes, sizes[own]
-        ends = np.cumsum(each, dtype=np.int32)
-        flat = ids[np.repeat(starts[own] - (ends - each), each) + np.arange(ends[-1], dtype=np.int32)]
-        stops = np.append(0, ends[1::2])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        marks = self.units.find(pa.array(list(self.MARKS)), self._wholly)
+        places = np.zeros((len(chunks), 2, 2), np.int32)
+        places[is_easy, 0] = self.units.find(words.dictionary, self._words)[words.indices.to_numpy()]
+        places[~is_easy, 0] = self.units.find(chunks.filter(pc.invert(easy)), self._mixed)
+        for mark, place in zip(self.MARKS, marks):
+            places[np.flatnonzero(is_easy)[pc.ends_with(simple, mark).to_numpy(zero_copy_only=False)], 1] = place
+        own, ends = laid(self.units.ids, *places.reshape(-1, 2).T)
+        ends = np.append(np.int32(0), ends[1::2])  # both units of a chunk stand together now
+        flat, ends = laid(own, ends[at], np.diff(ends)[at])
+        stops = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [flat[a:b] for a, b in zip(stops, stops[1:])]
 
 
@@ -148,7 +212,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
         end = np.array([end_id], kind).tobytes()
         for batch in slices(batches, 2000):
             found = enc.encode(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(kind).tobytes() + end for x in found], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(kind, copy=False).tobytes() + end for x in found], pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 

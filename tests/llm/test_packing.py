@@ -103,3 +103,30 @@ def test_strongest_terms_of_many_documents_at_once():
             by = sorted((-f, t) for f, t in zip(packing.impacts(counts, force[terms], len(d), 40.5).tolist(), terms.tolist()) if f > 0)
             want.append(([t for _, t in by] + [-1, -1])[:2])
         assert packing.strongest(docs, force, 40.5).tolist() == want
+
+
+def test_a_worker_remembers_what_it_has_met(monkeypatch):
+    """Words of many batches are merged once; before, all were forgotten after 250,000."""
+    enc, learned = packing.WordEncoder(TOKENIZER), []
+    words = enc._words
+    monkeypatch.setattr(enc, "_words", lambda new: learned.extend(new) or words(new))
+    letters = np.random.default_rng(5).integers(ord("a"), ord("z") + 1, (300_000, 9), np.uint8).tobytes().decode()
+    texts = [" ".join(letters[i : i + 9] for i in range(at, at + 900_000, 9)) for at in range(0, 2_700_000, 900_000)]
+    first = enc.encode(pa.array(texts[:1]))[0]
+    for text in texts[1:]:
+        enc.encode(pa.array([text]))
+    learned.clear()
+    assert np.array_equal(enc.encode(pa.array(texts[:1]))[0], first)
+    assert learned == []
+
+
+def test_remembered_units_are_the_tokenizers(monkeypatch):
+    """Again and again, with slices, chunks too long to keep, units that share a sum, and a memory that is full after each batch."""
+    odd = ["", " \t", "Ab ab, ab!!! ab", "a" * 64 + " " + "a" * 65 + "?", "x" * 300 + "=" * 80, "1234 ab's ab1 Ångström. ÅNGSTRÖM", None, "word" + "?!" * 40, "ab\x00 ab", "  İx b"]
+    for kept, factor in ((1 << 20, 1), (1 << 20, 0), (5, 1)):
+        monkeypatch.setattr(packing, "CACHE", kept)
+        enc = packing.WordEncoder(TOKENIZER)
+        enc.units.factors[0] *= np.uint64(factor)
+        for at in (0, 3, 0, 5):
+            for text, found in zip(odd[at:], enc.encode(pa.array(odd).slice(at))):
+                assert [*found.tolist(), packing.END_ID] == plain(text), text
