@@ -157,3 +157,22 @@ def test_rules(spark):
     verdict = ro.compare(results, better, [results], ["k"], F.col("tier") == "asia", 200)
     assert verdict["ships"] and verdict["finals"] == 60 and verdict["mean_gain"] == 1
     assert not ro.compare(results, better, [better], ["k"], F.col("tier") == "asia", 200)["ships"]
+
+
+def test_podium_chances_take_finals_by_the_batch(spark, monkeypatch):
+    """Finals of all sizes at once, in few calls of Python; each as alone, with its own rows' columns."""
+    rng = np.random.default_rng(5)
+    rows = [(f if f else None, i, float(rng.normal()), "x") for f in range(400) for i in range(1 + f % 9)]
+    df = spark.createDataFrame(rows, "f int, i int, u double, more string").repartition(3)
+    found = pl.podium_chances(df, ["f"], "u")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString() and found.columns == ["f", "i", "u", "more", "podium_chance"]
+    got = {(r.f, r.i): r.podium_chance for r in found.collect()}
+    assert len(got) == len(rows)
+    for f in range(0, 400, 7):
+        own = [r for r in rows if r[0] == (f or None)]
+        u = np.array([r[2] for r in own])
+        e = np.exp(u)
+        n, t = len(e), e.sum()
+        third = lambda i: sum(e[j] / t * e[k] / (t - e[j]) * e[i] / (t - e[j] - e[k]) for j in range(n) for k in range(n) if len({i, j, k}) == 3)
+        want = [1.0 if n <= 3 else e[i] / t + sum(e[j] / t * e[i] / (t - e[j]) for j in range(n) if j != i) + third(i) for i in range(n)]
+        np.testing.assert_allclose([got[r[0], r[1]] for r in own], want, atol=1e-12)
