@@ -1,8 +1,8 @@
 """Fitting and judging rank-order models of finals on the executors.
 
 A final is one row (`pack`): its features as one array, its first three, its podium. Many models are fitted side by side: a model is a
-set of training finals (seasons before one, perhaps of one event group), a penalty, bounds, and a permutation or none. Each step is one
-job: every task adds up the loss and gradient of all models over its finals, the sums come back as a row for each model, and each model makes
+set of training finals (seasons before one, perhaps of one event group), a penalty, bounds, and a permutation or none. Finals to learn from
+are written once with their features as packed numbers; those of a batch with as many starters go together. Each step is one job: every task adds up the loss and gradient of all models over its finals, the sums come back as a row for each model, and each model makes
 its own limited-memory quasi-Newton step, projected into its bounds. So a walk-forward over seasons, groups and settings takes as many
 jobs as the slowest single fit, and nothing but sums and weights passes the driver.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlens.models.plackett_luce import FieldModel, podium_probabilities
+from meetlens.models.plackett_luce import FieldModel, by_size, podiums
 from meetlens.sources.shared import materialise
 
 #: Fewest placed and scored starters of a final; share of scored starters of a competition that makes its finals fit for training.
@@ -88,16 +88,52 @@ def matrix(x: list, k: int, spec: Spec, final: str) -> np.ndarray:
     return m if spec.columns is None else m[:, spec.columns]
 
 
-def final_loss(w: np.ndarray, x: np.ndarray, top: list[int]) -> tuple[float, np.ndarray]:
-    """Negative log-likelihood of the observed first three, and its gradient."""
-    u, free, loss, grad = x @ w, np.ones(len(x), bool), 0.0, np.zeros_like(w)
-    for i in top:
-        e = np.where(free, np.exp(u - u[free].max()), 0)
-        p = e / e.sum()
-        loss -= np.log(p[i])
-        grad -= x[i] - p @ x
-        free[i] = False
-    return loss, grad
+def top3_loss(u: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log-likelihood of the observed first three of each final (a row of utilities), and its slope in every utility."""
+    rows, free, loss, slope = np.arange(len(u)), np.ones(u.shape, bool), np.zeros(len(u)), np.zeros(u.shape)
+    for i in top.T:
+        e = np.where(free, u, -np.inf)
+        e = np.exp(e - e.max(1, keepdims=True))
+        p = e / e.sum(1, keepdims=True)
+        loss -= np.log(p[rows, i])
+        slope += p
+        slope[rows, i] -= 1
+        free[rows, i] = False
+    return loss, slope
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """A flat numpy array; nan for null."""
+    return np.asarray(column.to_numpy(zero_copy_only=False), float)
+
+
+def joined(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of a column of packed ones, one row after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def parted(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of so many numbers each, packed."""
+    ends = np.append(0, np.cumsum(sizes)) * numbers.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers).tobytes())])
+
+
+def encoded(finals: DataFrame, final: list[str], k: int, seeds: list[int], group: str | None, season: str) -> DataFrame:
+    """The finals to learn from with their features as packed numbers and every seed's permutation, which is drawn once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("x").value_lengths().to_numpy(zero_copy_only=False) // k
+            keys = batch.column("__key").to_pylist() if seeds else []
+            drawn = [permutation(n, seed, key) for n, key in zip(sizes, keys) for seed in seeds]
+            orders = np.concatenate(drawn).astype(np.int32) if drawn else np.zeros(0, np.int32)
+            top = batch.column("top").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            packed = [parted(numbers(batch.column("x").flatten()), sizes * k), parted(top, np.full(len(sizes), 3)), parted(orders, sizes * len(seeds))]
+            yield pa.RecordBatch.from_arrays([batch.column("__season"), batch.column("__group"), pa.array(sizes.astype(np.int32)), *packed], ["season", "grp", "n", "x", "top", "orders"])
+
+    grouped = group or season
+    rows = finals.where("trainable").select(F.concat_ws("|", *(F.col(c).cast("string") for c in final)).alias("__key"), "x", "top", F.col(season).cast("int").alias("__season"), F.col(grouped).cast("string").alias("__group"))
+    return rows.mapInArrow(run, "season int, grp string, n int, x binary, top binary, orders binary")
 
 
 class Search:
@@ -152,23 +188,37 @@ class Search:
         self.asked = np.clip(self.w + self.size * self.step, self.low, self.high)
 
 
-def _sums(finals: DataFrame, final: list[str], k: int, specs: list[Spec], group: str | None, season: str, of) -> dict[int, np.ndarray]:
-    """By model, the sum over its training finals of the vector of(model number, features, top); of None: how often, sums, squares."""
-    grouped = group or season
+def _sums(rows: DataFrame, k: int, specs: list[Spec], seeds: list[int], of) -> dict[int, np.ndarray]:
+    """By model, the sum of the vector of(model number, features, first three, the seed's permutations or none) over its finals.
+
+    Finals of a batch with the same season, group and number of starters go together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for key, x, top, year, name in zip(*(batch.column(c).to_pylist() for c in ("__key", "x", "top", "__season", "__group"))):
-                for i, spec in enumerate(specs):
-                    if spec.takes(year, name):
-                        v = of(i, matrix(x, k, spec, key), top)
+            sizes = batch.column("n").to_numpy()
+            x, top, orders = joined(batch.column("x"), float).reshape(-1, k), joined(batch.column("top"), np.int32).reshape(-1, 3), joined(batch.column("orders"), np.int32)
+            own: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(batch.column("season").to_pylist(), batch.column("grp").to_pylist())):
+                own.setdefault(key, []).append(row)
+            sets: dict[tuple, list[int]] = {}  # the finals of seasons and groups that the same models take
+            for (year, name), rows in own.items():
+                sets.setdefault(tuple(i for i, spec in enumerate(specs) if spec.takes(year, name)), []).extend(rows)
+            starts = np.cumsum(sizes) - sizes
+            for models, rows in sets.items():
+                rows = np.array(rows)
+                for n, at, _ in by_size(sizes[rows] if models else sizes[:0]):
+                    at = rows[at]
+                    fields, first = x[starts[at][:, None] + np.arange(n)], top[at]
+                    seeded = orders[(starts[at] * len(seeds))[:, None] + np.arange(len(seeds) * n)].reshape(-1, len(seeds), n).astype(np.int64)
+                    for i in models:
+                        v = of(i, fields, first, None if specs[i].shuffled is None else seeded[:, seeds.index(specs[i].seed)])
                         if v is not None:
                             total[i] = total[i] + v if i in total else v
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["model", "v"])
 
-    rows = finals.where("trainable").select(F.concat_ws("|", *(F.col(c).cast("string") for c in final)).alias("__key"), "x", "top", F.col(season).cast("int").alias("__season"), F.col(grouped).cast("string").alias("__group"))
     parts = rows.mapInArrow(run, "model int, v array<double>").select("model", F.posexplode("v").alias("at", "v"))
     sums = parts.groupBy("model", "at").agg(F.sum("v").alias("v"))  # a row for each model and weight
     out: dict[int, dict[int, float]] = {}
@@ -178,47 +228,65 @@ def _sums(finals: DataFrame, final: list[str], k: int, specs: list[Spec], group:
 
 
 def fit_many(finals: DataFrame, final: list[str], features: list[str], specs: list[Spec], season: str, group: str | None = None, steps: int = 200) -> dict[str, FieldModel]:
-    """A model for each spec that has training finals. finals: as `pack` makes them; they are written once.
+    """A model for each spec that has training finals. finals: as `pack` makes them; they are written once, packed.
 
     Features are standardised by the mean and population deviation over a model's own training starters (1 where there is none).
     """
     k = len(features)
-    kept = materialise(finals, "finals").persist()
+    seeds = sorted({s.seed for s in specs if s.shuffled is not None})
+    columns = [list(range(k)) if s.columns is None else list(s.columns) for s in specs]
+    kept = materialise(encoded(finals, final, k, seeds, group, season), "finals").persist()
     try:
-        shift = kept.where("trainable").select(F.posexplode("x").alias("at", "v")).groupBy((F.col("at") % k).alias("at")).agg(F.avg("v").alias("v"))
-        centre = np.zeros(k)
-        for r in shift.collect():  # a number for each feature
-            centre[r.at] = r.v or 0.0
 
-        def moments(i: int, x: np.ndarray, top: list[int]) -> np.ndarray:
-            c = centre if specs[i].columns is None else centre[specs[i].columns]
+        def firsts(i: int, x: np.ndarray, top: np.ndarray, order: np.ndarray | None) -> np.ndarray:
             known = ~np.isnan(x)
-            d = np.where(known, x - c, 0)
-            return np.concatenate([[1.0], known.sum(0), d.sum(0), (d * d).sum(0)])
+            return np.concatenate([[len(x)], known.sum((0, 1)), np.where(known, x, 0).sum((0, 1))])
+
+        means = {i: (int(v[0]), v[1 : 1 + k], v[1 + k :] / np.maximum(v[1 : 1 + k], 1)) for i, v in _sums(kept, k, specs, seeds, firsts).items()}
+
+        def squares(i: int, x: np.ndarray, top: np.ndarray, order: np.ndarray | None) -> np.ndarray:
+            d = np.nan_to_num(x - means[i][2])
+            return (d * d).sum((0, 1))
 
         scales, searches = {}, {}
-        for i, v in _sums(kept, final, k, specs, group, season, moments).items():
-            c = centre if specs[i].columns is None else centre[specs[i].columns]
-            m = len(c)
-            n = np.maximum(v[1 : 1 + m], 1)
-            mean = v[1 + m : 1 + 2 * m] / n
-            std = np.sqrt(np.maximum(v[1 + 2 * m :] / n - mean * mean, 0))
-            scales[i] = (c + mean, np.where(std < 1e-12, 1.0, std), int(v[0]))
-            edge = [specs[i].bounds.get(j, (None, None)) for j in (range(k) if specs[i].columns is None else specs[i].columns)]
+        for i, v in _sums(kept, k, specs, seeds, squares).items():
+            n, known, mean = means[i]
+            std = np.sqrt(v / np.maximum(known, 1))
+            scales[i] = (mean[columns[i]], np.where(std < 1e-12, 1.0, std)[columns[i]], n)
+            edge = [specs[i].bounds.get(j, (None, None)) for j in columns[i]]
             searches[i] = Search(np.array([-np.inf if a is None else a for a, _ in edge]), np.array([np.inf if b is None else b for _, b in edge]))
         for _ in range(steps):
             asked = {i: s.asked for i, s in searches.items() if not s.done}
             if not asked:
                 break
+            # by feature, for the columns that stay and for those that are permuted; the mean falls out of a softmax
+            weights = {}
+            for i, w in asked.items():
+                by = np.zeros((k, 2))
+                for j, v in zip(columns[i], w / scales[i][1]):
+                    by[j, int(j in (specs[i].shuffled or ()))] += v
+                weights[i] = by
 
-            def losses(i: int, x: np.ndarray, top: list[int], asked=asked) -> np.ndarray | None:
-                if i not in asked:
+            def losses(i: int, x: np.ndarray, top: np.ndarray, order: np.ndarray | None, weights=weights) -> np.ndarray | None:
+                if i not in weights:
                     return None
-                mean, std, _ = scales[i]
-                f, g = final_loss(asked[i], np.nan_to_num((x - mean) / std), top)
-                return np.concatenate([[f], g])
-
-            told = _sums(kept, final, k, specs, group, season, losses)
+                m, n, _ = x.shape
+                flat = x.reshape(m * n, k) - means[i][2]
+                if np.isnan(flat).any():
+                    flat = np.nan_to_num(flat)
+                if order is None:
+                    loss, slope = top3_loss((flat @ weights[i][:, 0]).reshape(m, n), top)
+                    grad = slope.reshape(-1) @ flat
+                else:
+                    stay, move = (flat @ weights[i]).T.reshape(2, m, n)
+                    loss, slope = top3_loss(stay + np.take_along_axis(move, order, 1), top)
+                    back = np.empty_like(slope)
+                    np.put_along_axis(back, order, slope, 1)
+                    grad = slope.reshape(-1) @ flat
+                    grad[specs[i].shuffled] = (back.reshape(-1) @ flat)[specs[i].shuffled]
+                return np.concatenate([[loss.sum()], grad[columns[i]] / scales[i][1]])
+
+            told = _sums(kept, k, specs, seeds, losses)
             for i, w in asked.items():
                 n, l2 = scales[i][2], specs[i].l2
                 searches[i].tell(told[i][0] / n + l2 * w @ w, told[i][1:] / n + 2 * l2 * w)
@@ -245,25 +313,39 @@ def judge(finals: DataFrame, final: list[str], features: list[str], models: dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for row, (key, which, x, scores, medal, won, top, possible) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__key", "__which", "x", "scores", "medal", "won", "top", "possible")))):
-                best = np.argsort(-np.array(scores), kind="stable")[:3]
-                for name in which:
-                    if name not in known:
-                        continue
-                    spec, m = known[name]
-                    u = np.nan_to_num((matrix(x, k, spec, key) - m.mean) / m.std) @ m.weights
-                    chance = podium_probabilities(u)
-                    called, e = np.argsort(-chance, kind="stable")[:3], np.exp(u - u.max())
-                    hits = [sum(medal[i] for i in picks) for picks in (called, best)]
-                    told = None if top is None else -final_loss(np.ones(1), u[:, None], top)[0]
-                    at.append(row)
-                    out.append({"model": name, "hits": hits[0], "points_hits": hits[1], "possible": possible, "winner": won[int(np.argmax(chance))], "points_winner": won[int(best[0])], "log_likelihood": told, "favourite_win": float(e.max() / e.sum()), "chances": chance.tolist()})
-            if out:
-                own = batch.take(pa.array(at))
-                schema = pa.schema([("model", pa.string()), ("hits", pa.int32()), ("points_hits", pa.int32()), ("possible", pa.int32()), ("winner", pa.bool_()), ("points_winner", pa.bool_()), ("log_likelihood", pa.float64()), ("favourite_win", pa.float64()), ("chances", pa.list_(pa.float64()))])
-                made = pa.RecordBatch.from_pylist(out, schema=schema)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in held), *made.columns], [*held, *made.schema.names])
+            lists = lambda c: batch.column(c).flatten()
+            flags = lambda c: lists(c).to_numpy(zero_copy_only=False).astype(bool)
+            x, scores, medal, won = numbers(lists("x")).reshape(-1, k), numbers(lists("scores")), flags("medal"), flags("won")
+            sizes, asked = batch.column("scores").value_lengths().to_numpy(zero_copy_only=False), {}
+            tops, keys, possible = batch.column("top").to_pylist(), batch.column("__key").to_pylist(), batch.column("possible").to_numpy(zero_copy_only=False)
+            for row, names in enumerate(batch.column("__which").to_pylist()):
+                for name in names:
+                    asked.setdefault(name, []).append(row)
+            for name, rows in asked.items():
+                if name not in known:
+                    continue
+                (spec, m), rows = known[name], np.array(rows)
+                for n, of, _ in by_size(sizes[rows]):
+                    own = rows[of]
+                    at = (np.cumsum(sizes) - sizes)[own][:, None] + np.arange(n)
+                    z = x[at]
+                    if spec.shuffled is not None:
+                        order = np.array([permutation(n, spec.seed, keys[r]) for r in own])
+                        z[:, :, spec.shuffled] = np.take_along_axis(z, order[:, :, None], 1)[:, :, spec.shuffled]
+                    if spec.columns is not None:
+                        z = z[:, :, spec.columns]
+                    u = np.nan_to_num((z - m.mean) / m.std) @ m.weights
+                    chance, e = podiums(u), np.exp(u - u.max(1, keepdims=True))
+                    called, best = (np.argsort(-v, axis=1, kind="stable")[:, :3] for v in (chance, scores[at]))
+                    hits, points = (np.take_along_axis(medal[at], picks, 1).sum(1).astype(np.int32) for picks in (called, best))
+                    wins, points_wins = (np.take_along_axis(won[at], picks, 1)[:, 0] for picks in (np.argmax(chance, 1)[:, None], best))
+                    none = np.array([tops[r] is None for r in own])
+                    told = np.zeros(len(own))
+                    if not none.all():
+                        told[~none] = -top3_loss(u[~none], np.array([tops[r] for r in own[~none]]))[0]
+                    made = [pa.array([name] * len(own)), pa.array(hits), pa.array(points), pa.array(possible[own].astype(np.int32)), pa.array(wins), pa.array(points_wins), pa.array(told, mask=none), pa.array(e.max(1) / e.sum(1)), pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * n, pa.array(chance.reshape(-1)))]
+                    taken = batch.take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in held), *made], [*held, *(c.split()[0] for c in RESULT.split(", "))])
 
     held = list(dict.fromkeys([*final, season, *keep]))
     rows = finals.select(*held, F.concat_ws("|", *(F.col(c).cast("string") for c in final)).alias("__key"), which.alias("__which"), *(c for c in ("x", "scores", "medal", "won", "top", "possible") if c not in held))

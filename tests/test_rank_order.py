@@ -176,3 +176,26 @@ def test_podium_chances_take_finals_by_the_batch(spark, monkeypatch):
         third = lambda i: sum(e[j] / t * e[k] / (t - e[j]) * e[i] / (t - e[j] - e[k]) for j in range(n) for k in range(n) if len({i, j, k}) == 3)
         want = [1.0 if n <= 3 else e[i] / t + sum(e[j] / t * e[i] / (t - e[j]) for j in range(n) if j != i) + third(i) for i in range(n)]
         np.testing.assert_allclose([got[r[0], r[1]] for r in own], want, atol=1e-12)
+
+
+def test_finals_are_read_by_the_batch(packed, monkeypatch):
+    """A step's Python work is in calls for sizes and models of a batch, not for each final; no task holds more than a batch."""
+    seen, whole = [], ro.top3_loss
+    monkeypatch.setattr(ro, "top3_loss", lambda u, top: seen.append(len(u)) or whole(u, top))
+    rows = ro.encoded(packed, ["meet", "y", "final"], 3, [3, 5], "grp", "y").collect()
+    want = [r for r in packed.collect() if r.trainable]
+    assert len(rows) == len(want) and sum(r.n for r in rows) == sum(len(r.names) for r in want)
+    found = {(r.season, r.grp, r.x): r for r in rows}
+    for r in want:
+        x = np.array(r.x, float)
+        own = found[r.y, r.grp, x.tobytes()]
+        assert list(np.frombuffer(own.top, np.int32)) == list(r.top)
+        n, orders = own.n, np.frombuffer(own.orders, np.int32)
+        assert list(orders[n:]) == list(ro.permutation(n, 5, f"{r.meet}|{r.y}|{r.final}"))
+    u = np.random.default_rng(1).normal(size=(50, 6))
+    top = np.array([np.random.default_rng(i).permutation(6)[:3] for i in range(50)])
+    loss, slope = ro.top3_loss(u, top)
+    for i in range(50):
+        one = pl.loss_and_gradient(np.ones(1), [(u[i][:, None], top[i])], 0)[0]
+        assert abs(one - loss[i]) < 1e-9 and abs(slope[i].sum()) < 1e-9
+    assert seen == [50]
