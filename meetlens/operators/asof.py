@@ -69,17 +69,24 @@ def as_of_states(entries: DataFrame, races: DataFrame, group: Keys, athlete: str
 
 def record_against_strongest(entries: DataFrame, races: DataFrame, final: Keys, group: Keys, athlete: str, cutoff: str, season: str, score: str, race: Keys, date: str, place: str, strongest: int = 3) -> DataFrame:
     """entries with h2h_top: (wins - losses) / (wins + losses) over the season's races before the cut-off against the `strongest` best
-    scores of the field but one's own; 0 without a decided meeting. A shared place is neither; each entry has at most `strongest` rivals, and
-    its own season's races, so the rows are few multiples of those.
+    scores of the field but one's own; 0 without a decided meeting. A shared place is neither. Meetings come from the races, once for both
+    of a pair, and meet the entries by pair and season: rows grow with meetings and entries, and not with all races of an entry's season.
     """
     ranked = entries.where(F.col(score).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(*final).orderBy(F.desc(score), athlete))).where(F.col("__n") <= strongest + 1)
     top = ranked.select(*final, F.col(athlete).alias("__rival"), "__n")
     pairs = entries.select(*final, *(c for c in [*group, cutoff, season] if c not in final), athlete).join(top, final).where(F.col(athlete) != F.col("__rival"))
-    pairs = pairs.withColumn("__k", F.row_number().over(Window.partitionBy(*final, athlete).orderBy("__n"))).where(F.col("__k") <= strongest).drop("__n", "__k")
+    pairs = pairs.withColumn("__k", F.row_number().over(Window.partitionBy(*final, athlete).orderBy("__n"))).where(F.col("__k") <= strongest)
+    first = F.col(athlete) < F.col("__rival")  # an entry's own side of the pair is its first
+    pairs = pairs.select(*final, *(c for c in group if c not in final), athlete, F.to_date(cutoff).alias("__cutoff"), F.col(season).alias("__season"), F.least(athlete, "__rival").alias("__a"), F.greatest(athlete, "__rival").alias("__b"), first.alias("__first"))
     run = races.where(F.col(place).isNotNull() & F.col(date).isNotNull())
-    mine = run.select(*group, athlete, season, *race, F.to_date(date).alias("__d"), F.col(place).alias("__mine"))
-    theirs = run.select(*group, F.col(athlete).alias("__rival"), *race, F.col(place).alias("__theirs"))
-    met = pairs.join(mine, [*group, athlete, season]).where(F.col("__d") < F.to_date(cutoff)).join(theirs, [*group, "__rival", *race])
-    sums = met.groupBy(*final, athlete).agg(F.count_if(F.col("__mine") < F.col("__theirs")).alias("__w"), F.count_if(F.col("__mine") > F.col("__theirs")).alias("__l"))
+    side = lambda n: run.select(*group, *(c for c in race if c not in group), F.col(athlete).alias(f"__{n}"), F.col(season).alias(f"__{n}y"), F.to_date(date).alias(f"__{n}d"), F.col(place).alias(f"__{n}p"))
+    both = side("a").join(side("b"), list(dict.fromkeys([*group, *race]))).where((F.col("__a") < F.col("__b")) & (F.col("__ap") != F.col("__bp")))
+    # a meeting counts by the season and day of one's own row; where these are the same for both, one row serves both
+    view = lambda n, whose: F.struct(F.col(f"__{n}y").alias("__season"), F.col(f"__{n}d").alias("__d"), F.lit(whose).cast("boolean").alias("__whose"))
+    same = F.col("__ay").eqNullSafe(F.col("__by")) & (F.col("__ad") == F.col("__bd"))
+    views = F.when(same, F.array(view("a", None))).otherwise(F.array(view("a", True), view("b", False)))
+    meetings = both.select(*group, "__a", "__b", (F.col("__ap") < F.col("__bp")).alias("__won"), F.explode(views).alias("__v")).select(*group, "__a", "__b", "__won", "__v.*")
+    met = pairs.join(meetings, [*group, "__a", "__b", "__season"]).where((F.col("__d") < F.col("__cutoff")) & F.coalesce(F.col("__whose") == F.col("__first"), F.lit(True)))
+    sums = met.groupBy(*final, athlete).agg(F.count_if(F.col("__won") == F.col("__first")).alias("__w"), F.count_if(F.col("__won") != F.col("__first")).alias("__l"))
     net = (F.col("__w") - F.col("__l")) / F.nullif(F.col("__w") + F.col("__l"), F.lit(0))
     return entries.join(sums, [*final, athlete], "left").withColumn("h2h_top", F.coalesce(net.cast("double"), F.lit(0.0))).drop("__w", "__l")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meetlens.models import plackett_luce as pl
 from meetlens.models import rank_order as ro
+from meetlens.operators import asof
 
 FEATURES = ["a", "b", "c"]
 SCHEMA = "meet string, y int, tier string, grp string, athlete string, place int, score double, a double, b double, c double"
@@ -199,3 +200,26 @@ def test_finals_are_read_by_the_batch(packed, monkeypatch):
         one = pl.loss_and_gradient(np.ones(1), [(u[i][:, None], top[i])], 0)[0]
         assert abs(one - loss[i]) < 1e-9 and abs(slope[i].sum()) < 1e-9
     assert seen == [50]
+
+
+def test_records_come_from_meetings(spark):
+    """Records against the strongest by brute force: own days and seasons, draws, several rows of a race; no join on all own races."""
+    rng = np.random.default_rng(2)
+    races = [(f"r{r}", "g" if r % 2 else "h", int(a), 2000 + r % 2 + int(r % 9 == 0 and a % 2 == 1), f"200{r % 2}-0{1 + r % 8}-1{int(r % 7 == 0 and a % 3 == 0)}", int(rng.integers(1, 5))) for r in range(60) for a in rng.choice(9, 5)]
+    entries = [(f"f{f}", "g" if f % 2 else "h", int(a), f"200{f % 2}-05-11", 2000 + f % 2, float(rng.integers(0, 4)) if a % 4 else None) for f in range(12) for a in rng.choice(9, 6, replace=False)]
+    e = spark.createDataFrame(entries, "final string, grp string, athlete int, cutoff string, y int, s double")
+    r = spark.createDataFrame(races, "race string, grp string, athlete int, y int, d string, place int")
+    found = asof.record_against_strongest(e, r, ["final"], ["grp"], "athlete", "cutoff", "y", "s", ["race"], "d", "place")
+    got = {(x.final, x.athlete): x.h2h_top for x in found.collect()}
+    assert len(got) == len(entries)
+    decided = 0
+    for final, grp, a, cutoff, y, _ in entries:
+        field = sorted((-s, b) for f, _, b, _, _, s in entries if f == final and s is not None)
+        rivals = [b for _, b in field if b != a][:3]
+        met = [(m[5], o[5]) for m in races if m[1:4] == (grp, a, y) and m[4] < cutoff for o in races if o[:2] == m[:2] and o[2] in rivals]
+        won, lost = sum(m < o for m, o in met), sum(m > o for m, o in met)
+        decided += won + lost
+        assert abs(got[final, a] - ((won - lost) / (won + lost) if won + lost else 0)) < 1e-12
+    assert decided > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join" in x and "__a#" in x and "__b#" in x]
