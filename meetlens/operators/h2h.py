@@ -46,11 +46,31 @@ def versus(df: DataFrame, race: Keys, athlete: str, place: str, date: str, who:
     return out.where(F.col("meetings") >= least).withColumn("win_rate", F.round(100.0 * F.col("wins") / F.col("meetings"), 1))
 
 
+#: Shares of a field, by its names' hashes, in which a row of a matrix is made.
+SHARES = 64
+
+
 def matrix(field: DataFrame, pairs: DataFrame, group: Keys, name: str) -> DataFrame:
-    """Every ordered pair of each group's field with wins and meetings; null where they never met. Fields are of bounded size."""
+    """Every ordered pair of each group's field with wins and meetings; null where they never met.
+
+    Cells are as many as pairs of a field, and are made last: those met stand beside an athlete as one array a share of the field, and the
+    share's names are laid out over it. So no cell is moved or sorted.
+    """
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)).cast("int").alias("__share")
+    known = [c for c in group if c in pairs.columns]
+    met = pairs.groupBy(*known, "athlete_a", share("athlete_b")).agg(F.collect_list(F.struct("athlete_b", "wins", "meetings")).alias("__met"))
+    names = field.where(F.col(name).isNotNull()).groupBy(*group, share(name)).agg(F.collect_list(name).alias("__names"))
+    rows = field.select(*group, F.col(name).alias("athlete_a"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("__share"))
+    beside = rows.join(met, [*known, "athlete_a", "__share"], "left").join(names, [*group, "__share"])
+    cells = beside.select(*group, "athlete_a", "__met", F.explode("__names").alias("athlete_b")).where("athlete_a <> athlete_b")
+    found = cells.select(*group, "athlete_a", "athlete_b", F.explode_outer(F.filter("__met", lambda m: m["athlete_b"] == F.col("athlete_b"))).alias("__m"))
+    return found.select(*group, "athlete_a", "athlete_b", "__m.wins", "__m.meetings", (F.col("__m.wins") / F.col("__m.meetings")).alias("win_rate"))
+
+
+def within(field: DataFrame, pairs: DataFrame, group: Keys, name: str) -> DataFrame:
+    """The pairs whose two athletes share a field, once for each field."""
     a, b = field.select(*group, F.col(name).alias("athlete_a")), field.select(*group, F.col(name).alias("athlete_b"))
-    grid = a.join(b, group).where("athlete_a <> athlete_b")
-    return grid.join(pairs, [c for c in (*group, "athlete_a", "athlete_b") if c in pairs.columns], "left").select(*group, "athlete_a", "athlete_b", "wins", "meetings", (F.col("wins") / F.col("meetings")).alias("win_rate"))
+    return a.join(pairs, [*(c for c in group if c in pairs.columns), "athlete_a"]).join(b, [*group, "athlete_b"]).where("athlete_a <> athlete_b")
 
 
 def matrix_rows(cells: DataFrame, group: Keys) -> DataFrame:
@@ -63,10 +83,17 @@ def matrix_coverage(cells: DataFrame, group: Keys) -> DataFrame:
     return cells.groupBy(*group).agg(F.round(100.0 * F.count("meetings") / F.count("*"), 1).alias("coverage"), F.count("*").alias("pairs"))
 
 
+def coverage(field: DataFrame, pairs: DataFrame, group: Keys, name: str) -> DataFrame:
+    """matrix_coverage of the field's matrix, without its cells: the pairs of a field are counted, those met are looked up."""
+    named = field.where(F.col(name).isNotNull()).where(" AND ".join(f"`{c}` IS NOT NULL" for c in group) or "true")
+    all_pairs = named.groupBy(*group, name).agg(F.count("*").alias("_c")).groupBy(*group).agg((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))).alias("pairs")).where("pairs > 0")
+    met = within(field, pairs, group, name).groupBy(*group).agg(F.count("meetings").alias("_m"))
+    return all_pairs.join(met, group, "left").select(*group, F.round(100.0 * F.coalesce("_m", F.lit(0)) / F.col("pairs"), 1).alias("coverage"), "pairs")
+
+
 def field_mean(field: DataFrame, edges: DataFrame, group: Keys, name: str, never: float = 0.5) -> DataFrame:
-    """Each athlete's mean rate against the others of its field; 0.5 where it met none."""
-    cells = field.select(*group, F.col(name).alias("athlete_a")).join(field.select(*group, F.col(name).alias("athlete_b")), group).where("athlete_a <> athlete_b")
-    met = cells.join(edges.select("athlete_a", "athlete_b", "win_rate"), ["athlete_a", "athlete_b"], "left").groupBy(*group, "athlete_a").agg(F.avg("win_rate").alias("_m"))
+    """Each athlete's mean rate against the others of its field; 0.5 where it met none. Only those it met are looked at."""
+    met = within(field, edges, group, name).groupBy(*group, "athlete_a").agg(F.avg("win_rate").alias("_m"))
     out = field.select(*group, F.col(name).alias("athlete_a")).join(met, [*group, "athlete_a"], "left")
     return out.select(*group, F.col("athlete_a").alias(name), F.coalesce("_m", F.lit(never)).alias("h2h_mean"))
 

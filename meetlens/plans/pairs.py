@@ -41,22 +41,27 @@ def _field(t):
     return t("supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("athlete"))
 
 
+def _field_pairs(t):
+    """Pairs of one field in a race: others have no cell."""
+    return H.pairwise(placed(t).join(_field(t).distinct(), "athlete"), ["race", "grp"], "athlete", "place")
+
+
 @query(f"""WITH {PLACED_SQL}, {PAIRS_SQL}, {FIELD_SQL}, r AS (SELECT athlete_a, athlete_b, CAST(sum(a_wins) AS BIGINT) AS wins, count(*) AS meetings FROM pairs GROUP BY 1, 2)
 SELECT a.grp, a.athlete AS athlete_a, b.athlete AS athlete_b, wins, meetings, round(CAST(wins AS DOUBLE) / meetings, 6) AS win_rate FROM field a JOIN field b ON a.grp = b.grp AND a.athlete <> b.athlete LEFT JOIN r ON r.athlete_a = a.athlete AND r.athlete_b = b.athlete""")
 def h2h_matrix(t):
-    cells = H.matrix(_field(t), H.rates(_pairs(t)).drop("win_rate"), ["grp"], "athlete")
+    cells = H.matrix(_field(t), H.rates(_field_pairs(t), ["grp"]).drop("win_rate"), ["grp"], "athlete")
     return cells.withColumn("win_rate", F.round("win_rate", 6))
 
 
 @query(f"""WITH {PLACED_SQL}, {PAIRS_SQL}, {FIELD_SQL}, r AS (SELECT DISTINCT athlete_a, athlete_b FROM pairs)
 SELECT a.grp, round(100e0 * count(r.athlete_a) / count(*), 1) AS coverage, count(*) AS pairs FROM field a JOIN field b ON a.grp = b.grp AND a.athlete <> b.athlete LEFT JOIN r ON r.athlete_a = a.athlete AND r.athlete_b = b.athlete GROUP BY 1""")
 def matrix_coverage(t):
-    return H.matrix_coverage(H.matrix(_field(t), H.rates(_pairs(t)).drop("win_rate"), ["grp"], "athlete"), ["grp"])
+    return H.coverage(_field(t), H.rates(_field_pairs(t), ["grp"]), ["grp"], "athlete")
 
 
 @query(f"""WITH {PLACED_SQL}, {PAIRS_SQL}, {RATES_SQL}, {FIELD_SQL} SELECT a.grp, a.athlete, round(coalesce(avg(win_rate), 0.5), 6) AS h2h_mean FROM field a LEFT JOIN field b ON a.grp = b.grp AND a.athlete <> b.athlete LEFT JOIN rates ON athlete_a = a.athlete AND athlete_b = b.athlete GROUP BY 1, 2""")
 def h2h_field_mean(t):
-    return H.field_mean(_field(t), H.rates(_pairs(t), least=2), ["grp"], "athlete").withColumn("h2h_mean", F.round("h2h_mean", 6))
+    return H.field_mean(_field(t), H.rates(_field_pairs(t), ["grp"], least=2), ["grp"], "athlete").withColumn("h2h_mean", F.round("h2h_mean", 6))
 
 
 @query(f"""WITH {PLACED_SQL}, {PAIRS_SQL}, c AS (SELECT DISTINCT make_date(year(o_orderdate), 9, 1) AS cutoff FROM orders), dated AS (SELECT p.*, CAST(o_orderdate AS DATE) AS d FROM pairs p JOIN orders ON o_orderkey = race)

@@ -381,3 +381,27 @@ def test_meeting_order(spark):
     df = spark.createDataFrame([("c", i, date(2026, 5, i)) for i in range(1, 6)], "c string, i int, d date")
     got = {k: r.status for k, r in table(R.meeting_status(df, ["c"], "d", F.lit("2026-05-03").cast("date"), F.col("i") == 5, ["i"]), "i").items()}
     assert got == {1: "done", 2: "done", 3: "next", 4: "upcoming", 5: "final"}
+
+
+def test_matrices_make_no_cells_to_join(spark):
+    """Matrix, coverage and mean rates of fields with a name twice, without a name, of one athlete: as by the grid; no grid is joined or sorted."""
+    from meetlens.operators import h2h
+
+    names = [("x", i % 7) for i in range(9)] + [("x", None), ("y", 3), (None, 1), (None, 2), ("z", 8), ("z", 9)]
+    met = [(a, b, a % 2, 2 + b % 3) for a in range(9) for b in range(9) if a != b and (a * b) % 3 == 1]
+    field = spark.createDataFrame(names, "grp string, athlete int")
+    pairs = spark.createDataFrame(met, "athlete_a int, athlete_b int, wins long, meetings long")
+    at = {(a, b): (w, m) for a, b, w, m in met}
+    grid = [(g, a, b, *at.get((a, b), (None, None))) for g, a in names for h, b in names if g == h and g is not None and None not in (a, b) and a != b]
+    order = lambda rows: sorted(rows, key=str)
+    cells = h2h.matrix(field, pairs, ["grp"], "athlete")
+    assert order(tuple(r)[:5] for r in cells.collect()) == order(grid)
+    want = {g: (round(100 * sum(c[4] is not None for c in own) / len(own), 1), len(own)) for g in "xz" if (own := [c for c in grid if c[0] == g])}
+    assert {r.grp: (r.coverage, r.pairs) for r in h2h.coverage(field, pairs, ["grp"], "athlete").collect()} == want == {r.grp: (r.coverage, r.pairs) for r in h2h.matrix_coverage(cells, ["grp"]).collect()}
+    means = h2h.field_mean(field, pairs.withColumn("win_rate", F.col("wins") / F.col("meetings")), ["grp"], "athlete")
+    for r in means.collect():
+        own = [c[3] / c[4] for c in grid if c[:2] == (r.grp, r.athlete) and c[4]]
+        assert abs(r.h2h_mean - (sum(own) / len(own) if own else 0.5)) < 1e-12
+    assert means.count() == len(names)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(__names") < plan.index("Join") and plan.count("Join") == 2
