@@ -211,7 +211,7 @@ def _sums(rows: DataFrame, k: int, specs: list[Spec], seeds: list[int], of) -> d
                 for n, at, _ in by_size(sizes[rows] if models else sizes[:0]):
                     at = rows[at]
                     fields, first = x[starts[at][:, None] + np.arange(n)], top[at]
-                    seeded = orders[(starts[at] * len(seeds))[:, None] + np.arange(len(seeds) * n)].reshape(-1, len(seeds), n).astype(np.int64)
+                    seeded = orders[(starts[at] * len(seeds))[:, None] + np.arange(len(seeds) * n)].reshape(len(at), len(seeds), n).astype(np.int64)
                     for i in models:
                         v = of(i, fields, first, None if specs[i].shuffled is None else seeded[:, seeds.index(specs[i].seed)])
                         if v is not None:
